@@ -1,9 +1,9 @@
 """Registered corpus queries, gathered from the operator modules."""
 
-from eventry.llm import exact_dedup
+from eventry.llm import exact_dedup, pii
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (exact_dedup,):
+for _module in (exact_dedup, pii):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
