@@ -1,9 +1,9 @@
 """Registered corpus queries, gathered from the operator modules."""
 
-from eventry.llm import decontaminate, exact_dedup, pii, simhash
+from eventry.llm import decontaminate, exact_dedup, mixing, pii, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (exact_dedup, pii, decontaminate, simhash):
+for _module in (exact_dedup, pii, decontaminate, simhash, mixing):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
