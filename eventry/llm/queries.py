@@ -1,9 +1,9 @@
 """Registered corpus queries, gathered from the operator modules."""
 
-from eventry.llm import decontaminate, exact_dedup, mixing, pii, simhash
+from eventry.llm import chat_format, decontaminate, exact_dedup, mixing, pii, simhash, token_count
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (exact_dedup, pii, decontaminate, simhash, mixing):
+for _module in (pii, exact_dedup, token_count, chat_format, decontaminate, simhash, mixing):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
