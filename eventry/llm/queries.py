@@ -1,9 +1,9 @@
 """Registered corpus queries, gathered from the operator modules."""
 
-from eventry.llm import chat_format, decontaminate, exact_dedup, mixing, pii, quality, simhash, token_count
+from eventry.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, pii, quality, simhash, token_count
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (pii, quality, exact_dedup, token_count, chat_format, decontaminate, simhash, mixing):
+for _module in (pii, quality, exact_dedup, token_count, chat_format, decontaminate, simhash, mixing, language_id):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
