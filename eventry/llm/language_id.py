@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +24,17 @@ REJECT = 0.3
 
 
 def _grams(word: str) -> list[str]:
-    """Prefixes and suffixes up to 3, n-grams of 2 and 3 with word edges, and the word."""
+    """Prefixes and suffixes of 1 to 3 letters, n-grams of 2 and 3 with the word's edges, and the word."""
     edged = f"<{word}>"
-    found = {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)} | {f"w{word}"}
-    return sorted(found | {edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)})
+    affixes = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
+    return [*affixes, f"w{word}", *(edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1))]
 
 
 def _features(word: str, lexicon: dict[str, int]) -> np.ndarray:
     """Hashed affix and n-gram features of a word, and its lexicon entries (a bit set of labels) as features of their own."""
-    h = [_fnv(g) for g in _grams(word[:40])]
     bits = lexicon.get(word, 0)
-    h += [_fnv(f"@{k}") for k in range(bits.bit_length()) if bits >> k & 1]
-    return np.array(h, np.int64)
-
-
-def _fnv(text: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 32)) & ((1 << BITS) - 1)
+    grams = [*_grams(word[:40]), *(f"@{k}" for k in range(bits.bit_length()) if bits >> k & 1)]
+    return np.array([crc32(g.encode("utf-8", "surrogatepass")) & (1 << BITS) - 1 for g in grams], np.int64)
 
 
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
