@@ -71,7 +71,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     whole corpus; only the rarest is joined with the documents' shingles. The place of that shingle in the window bounds where the window would start; it
     must fit the document on both sides, and its words are then compared one by one.
 
-    Returns one row per input row: ``doc_id, n_words, n_hit, n_items, items, contaminated``. Null texts, and texts and items
+    Returns one row per input row: ``doc_id, key, n_words, n_hit, n_items, items, contaminated`` (key: hash of id and text). Null texts, and texts and items
     without words, have no hits. Repeated rows, and rows without an id, each get their result. Empty tables are fine; other
     columns are ignored.
     """
@@ -101,8 +101,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     same = d["doc_id"].eqNullSafe(found["doc_id"]) & (d["_key"] == found["_key"])
     none = F.array().cast("array<string>")
     return d.join(found, same, "left").select(
-        d["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"),
-    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+        d["doc_id"], d["_key"].alias("key"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"),
+    ).select("doc_id", "key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns."""
+    found = find_contamination(docs, items, id_col, text_col)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_bad")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_bad"]), "left_anti").drop("_key")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
