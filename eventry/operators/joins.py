@@ -56,16 +56,12 @@ def attach_destination(df: DataFrame, by: list[str], order: list[str], sources:
     d = d.withColumn("_src", F.when(is_target, latest))
     near = F.col("_src").isNotNull() if tolerance_rows is None else (F.col("_n") - F.col("_src.n") <= tolerance_rows)
     best = (F.min if pick == "first" else F.max)(F.struct("_n", *value_cols, *([text_col] if text_col else []))).alias("_best")
-    hits = d.where(yes(near)).groupBy(*by, F.col("_src.id").alias("_sid")).agg(best)
-    keys = [d[c].eqNullSafe(hits[c]) for c in by]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    joined = d.where(~is_target).join(hits, cond & (d[id_col] == hits["_sid"]), "left")
-    out = [d[c] for c in df.columns if c != text_col]
-    out += [F.when(is_source, F.coalesce(F.col(f"_best.{c}"), d[c])).otherwise(F.lit(0.0)).alias(f"dest_{c}") for c in value_cols]
+    hits = d.where(yes(near)).groupBy(*by, F.col("_src.id").alias(id_col)).agg(best)
+    joined = _null_safe_join(d.where(~is_target), hits, [*by, id_col])
+    out = [F.col(c) for c in df.columns if c != text_col]
+    out += [F.when(is_source, F.coalesce(F.col(f"_best.{c}"), F.col(c))).otherwise(F.lit(0.0)).alias(f"dest_{c}") for c in value_cols]
     if text_col:
-        out.append(F.when(F.col("_best").isNotNull(), F.concat_ws(" | ", d[text_col], F.col(f"_best.{text_col}"))).otherwise(d[text_col]).alias(text_col))
+        out.append(F.when(F.col("_best").isNotNull(), F.concat_ws(" | ", F.col(text_col), F.col(f"_best.{text_col}"))).otherwise(F.col(text_col)).alias(text_col))
     return joined.select(*out)
 
 
