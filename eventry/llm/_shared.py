@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def binary_rows(array: pa.Array, width: int) -> np.ndarray:
 
 def small_batches(batch: pa.RecordBatch, text_at: int, limit: int = 8 << 20):
     """Slices of a batch whose texts hold about ``limit`` bytes, so that temporary arrays stay bounded."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
     ends, start, total = [], 0, 0
     for i, n in enumerate(sizes):
         total += int(n)
