@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import table
+from eventry.llm._shared import cut, table
 
 # The weights of the sources in code-point order, repeating; the share of all sizes; the most a source repeats.
 WEIGHTS, SHARE, REPEAT = (3.0, 1.0, 2.0), 1.5, 2.0
 # Sampling weight of a document by its quality label; without a label it is 1.
 QUALITY = {1: 2.0, 0: 0.5}
 # Documents that one prefix-sum bucket is meant to hold.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 512
 
 
 def word_count(text: Column) -> Column:
@@ -38,14 +38,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         "total": F.sum("source_size").over(all_) * F.lit(float(share)),
         "capped": F.coalesce(F.sum("cap").over(full), F.lit(0.0)),
         "open_w": F.sum("w").over(all_) - F.coalesce(F.sum("w").over(full), F.lit(0.0)),
+        "place": F.row_number().over(by_level),
     })
-    # The level if this source is the first that is not capped; the true one is the first that its own cap / weight exceeds.
+    # The level if the sources before this one are capped and it is not; the first in the order that bears this out is the true one.
     level = (F.col("total") - F.col("capped")) / F.col("open_w")
-    s = s.withColumn("level", F.min(F.when(level <= F.col("cap") / F.col("w"), level)).over(all_))
+    first = F.min(F.when(level <= F.col("cap") / F.col("w"), F.struct("place", level.alias("level")))).over(all_)
+    s = s.withColumn("level", first["level"])
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
     """How many words of each document a mix takes.
 
     Each source is repeated as often as whole epochs fit its target; the rest is drawn without replacement: documents in the
@@ -53,18 +55,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at the edge is taken if that comes nearer). Prefix sums go over key buckets first and within a bucket next, so the
     largest source is spread over many tasks, and everything is a function of the rows: reruns agree.
 
-    ``weight`` is a column of ``docs``, positive; null counts as 1. Returns one row per input row:
+    ``weights`` has one row per id (``doc_id, weight``, positive); ids without one have 1. Texts are measured before they
+    meet the weights, so no text is shuffled. Returns one row per input row:
     ``doc_id, source, size, source_size, target, epochs, taken, key``. Null and empty texts have size 0 and are never taken; a null
     source is a source of its own, the last; repeated rows and null ids are ordered by id and size, and rows that agree in both by nothing
     that matters. An empty table gives no rows; other columns are ignored.
     """
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 1.0) / float(16**13 + 1)
-    w = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), (-F.log(u) / w).alias("key"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), u.alias("_u"))
+    w = F.lit(1.0)
+    if weights is not None:
+        d = d.join(weights.select(F.col("doc_id").alias("_id"), "weight"), F.col("doc_id") == F.col("_id"), "left")
+        w = F.coalesce(F.col("weight").cast("double"), w)
+    d = cut(d.select("doc_id", "source", "size", (-F.log("_u") / w).alias("key")))
     by_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(by_source.select("source", "source_size"))
     largest = by_source.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    buckets = max(16, -(-largest // BUCKET_ROWS) * 4)
+    buckets = max(16, -(-largest // BUCKET_ROWS))
     # 1 - exp(-key) spreads the keys over (0, 1) in their order.
     d = d.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * buckets).cast("long"))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -86,15 +93,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def _weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with the sampling weight that their quality label gives (the largest label, if there are several)."""
-    q = labels.groupBy("doc_id").agg(F.max("quality").alias("_q")).select(F.col("doc_id").alias("_id"), "_q")
-    weight = F.coalesce(*[F.when(F.col("_q") == k, F.lit(v)) for k, v in QUALITY.items()], F.lit(1.0))
-    return docs.select("doc_id", "text", "source").join(q, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "source", weight.alias("_weight"))
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Sampling weights that quality labels give (the largest label of an id, if it has several)."""
+    q = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("_q"))
+    return q.select("doc_id", F.coalesce(*[F.when(F.col("_q") == k, F.lit(v)) for k, v in QUALITY.items()], F.lit(1.0)).alias("weight"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(_weighted(docs, table(spark, sf_dir, "labels")), weight=F.col("_weight"))
+    return mix(docs, weights=quality_weights(table(spark, sf_dir, "labels")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +116,10 @@ ORACLES = {
                        / CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
               FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
-        c AS (SELECT *, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
+        c AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS place, 1.5 * sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
                      coalesce(sum(2.0 * source_size) OVER b, 0) AS capped, coalesce(sum(w) OVER b, 0) AS capped_w
               FROM s WINDOW b AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        l AS (SELECT min((total - capped) / (all_w - capped_w)) AS level FROM c WHERE (total - capped) / (all_w - capped_w) <= cap / w),
+        l AS (SELECT arg_min((total - capped) / (all_w - capped_w), place) AS level FROM c WHERE (total - capped) / (all_w - capped_w) <= cap / w),
         t AS (SELECT source, source_size, least(cap, coalesce(w * level, cap)) AS target FROM c, l),
         e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
         r AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
