@@ -1,0 +1,78 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from eventry.llm import pii
+
+# The contract's patterns.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for k, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+TEXTS = [
+    None, "", "a@b.c.d@e.f x@y.zz", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112", "4111111111111111",
+    "5500005555555559 5500005555555559", "+1 (523) 555-1055 and +123 and +1 ((((", "é 日 a@b.co 4111111111111111 ü 10.0.0.1", "%%%a+b@x-y.z-.q-", "1" * 5000, "a" * 5000 + "@b.c", "4111  1111 1111 1111",
+    "@@ a@.b @a.b", ("x@y.zz " * 1200) + "10.0.0.1", "4111 1111 1111 1111 2", "12-34 4111-1111-1111-1111", "+1 523 555 1055 +44 20 7946 0958", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2",
+]
+
+
+def spans(docs, texts):
+    rows = pii.find_pii(docs([(i, t) for i, t in enumerate(texts)])).collect()
+    return {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind in pii.BASE] for r in rows}
+
+
+def test_base_spans_equal_plain_patterns(docs):
+    got = spans(docs, TEXTS)
+    assert len(got) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        assert got[i] == plain(t), t
+
+
+def test_random_texts(docs):
+    texts = []
+
+    @settings(max_examples=300, deadline=None, derandomize=True)
+    @given(st.text(alphabet="019. -+()@ab_%é", max_size=60))
+    def gather(t):
+        texts.append(t)
+
+    gather()
+    got = spans(docs, texts)
+    for i, t in enumerate(texts):
+        assert got[i] == plain(t), t
+
+
+def test_added_kinds_need_their_checks_and_context(docs):
+    texts = ["account GB82 WEST 1234 5698 7654 32 ok", "GB83 WEST 1234 5698 7654 32", "SSN: 123-45-6789", "order 123-45-6789", "ssn 000-12-3456"]
+    rows = pii.find_pii(docs(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.spans if s.kind not in pii.BASE] for r in rows] == [["iban"], [], ["ssn"], [], []]
+    assert rows[0].spans[-1].text.startswith("GB82") or rows[0].spans[0].text.startswith("GB82")
+
+
+def test_query_columns_and_empty_table(spark, docs, tmp_path):
+    docs([(1, "a@b.cc"), (1, "a@b.cc"), (None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op1_pii(spark, str(tmp_path)).toPandas()
+    assert len(got) == 3 and sorted(got.n_email) == [0, 1, 1]
+    assert {*got.base_sha256} == {hashlib.sha256(x).hexdigest() for x in (b"", b"email:0:6")}
+    assert pii.find_pii(docs([])).count() == 0
