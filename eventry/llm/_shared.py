@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def fold_case(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import LOWER, UPPER, fold_case, table
+from eventry.llm._shared import LOWER, UPPER, fold_case, fresh, table
 
 WINDOW = 10
 SHINGLE = 2
@@ -108,9 +108,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
     found = find_contamination(docs, items, id_col, text_col)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_bad")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_bad"]), "left_anti").drop("_key")
+    key = fresh(docs, "_key")
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["_bad_id"]) & (keyed[key] == bad["_bad_key"]), "left_anti").drop(key)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

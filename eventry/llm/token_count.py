@@ -16,17 +16,25 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Added to the smallest score for a character that no piece covers.
 UNKNOWN_PENALTY = -10.0
+# Scores at or below this mark pieces that no merge makes.
+UNMADE = -1e8
 # Words longer than this are not remembered; so many words are, in each task.
 _REMEMBER, _WORDS = 48, 200_000
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece file, without control, unknown, unused and byte pieces."""
+    """Pieces and scores of a SentencePiece file, without control, unknown, unused and byte pieces.
+
+    The file marks pieces that no merge makes with -1e9, next to which other scores vanish in the tokenizer's single-precision sums;
+    they get the smallest score of the others less one.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     skip = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not skip(i)]
+    pieces = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not skip(i)]
+    least = min(s for _, s in pieces if s > UNMADE)
+    return [(p, s if s > UNMADE else least - 1) for p, s in pieces]
 
 
 class Segmenter:
