@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventry.functions import scalars as C
 from eventry.operators import aggregates as A
 from eventry.operators import project as P
 from eventry.plans.registry import Registry
+from eventry.sources import tables as S
 from eventry.sources.tables import scan_events, scan_parquet
 from eventry.testmap import EV, SCORED, TRACKING, events, scored, table, tracking
 
 R = Registry()
+
+
+def _folder(spark) -> str:
+    """A new path in the folder that all executors share; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-eventry-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 QUERIES, ORACLES = R.queries, R.oracles
 
 
@@ -366,4 +378,163 @@ def a33_missing_by(spark, d):
     return A.missing_by(events(spark, d), ["player", "team"], "type")
 
 
-__all__ = ["ORACLES", "QUERIES"]
+@R.add("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s02_csv_round_trip(spark, d):
+    """S04 writes what S02 reads."""
+    path = _folder(spark)
+    S.sink_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    return S.scan_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double")
+
+
+@R.add("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def s03_sink_parquet(spark, d):
+    path = _folder(spark)
+    S.sink_parquet(table(spark, d, "nation"), path, ["n_regionkey"])
+    return scan_parquet(spark, path, ["n_regionkey"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@R.add("SELECT r_regionkey, r_name FROM region")
+def s05_sink_json(spark, d):
+    path = _folder(spark)
+    r = table(spark, d, "region").select("r_regionkey", "r_name")
+    S.sink_json(r, path)
+    return spark.read.schema(r.schema).json(path)
+
+
+@R.add("SELECT 'orders' AS artifact, count(*) AS n_rows, 6 AS n_columns, 'pass' AS gate FROM orders UNION ALL SELECT 'part', count(*), 6, 'pass' FROM part")
+def s06_append_manifest(spark, d):
+    path = _folder(spark)
+    for name in ("orders", "part"):
+        S.append_manifest(table(spark, d, name), name, f"{d}/{name}.parquet", path)
+    return spark.read.parquet(path).select("artifact", "n_rows", "n_columns", "gate")
+
+
+@R.add("SELECT vec_id, len(embedding) AS width, round(list_sum(embedding), 3) AS total FROM embeddings")
+def s08_sink_vectors(spark, d):
+    path = _folder(spark)
+    S.sink_vectors(table(spark, d, "embeddings"), ["vec_id"], "embedding", path)
+    v = spark.read.parquet(path)
+    return v.select("vec_id", F.size("embedding").cast("long").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+
+
+@R.add(f"WITH {EV} SELECT id, player FROM ev WHERE player IS NOT NULL AND player <> 'P5'")
+def f06_drop_null_entities(spark, d):
+    e = events(spark, d).withColumn("player", F.when(F.col("player") == "P5", "None").otherwise(F.col("player")))
+    return P.drop_null_entities(e, "player").select("id", "player")
+
+
+@R.add(f"WITH {EV} SELECT id FROM ev QUALIFY NOT (type IN ('whistle', 'goal') AND lead(id) OVER (PARTITION BY game, seq ORDER BY period, t, id) IS NULL)")
+def f07_drop_eos(spark, d):
+    from eventry.operators.windows import eos_flag
+
+    return P.drop_eos(eos_flag(events(spark, d))).select("id")
+
+
+@R.add(f"WITH {EV} SELECT game, id, type FROM ev")
+def f09_project_contract(spark, d):
+    return P.project_contract(events(spark, d), ["game", "id", "type"])
+
+
+@R.add(f"WITH {EV} SELECT id, -x AS x, y + 1 AS y FROM ev")
+def f11_coordinate_columns(spark, d):
+    e = events(spark, d).withColumns({"x_raw": F.col("x"), "y_raw": F.col("y"), "x_adj": -F.col("x"), "y_adj": F.col("y") + 1})
+    return P.coordinate_columns(e, "adjusted").select("id", "x", "y")
+
+
+@R.add(f"""WITH {EV}, a AS (SELECT id, type, x / 100 + CASE WHEN type = 'faceoff' THEN 0.02 ELSE 0 END AS f, y / 100 + CASE WHEN type = 'faceoff' THEN 0.2 ELSE 0 END AS g FROM ev)
+           SELECT id, f AS adj_for, g AS adj_against, f - g AS adj_net, CASE WHEN type = 'faceoff' THEN 'penalty_static' ELSE 'model' END AS adj_source FROM a""")
+def f17_adjust_penalty_taker(spark, d):
+    e = events(spark, d).withColumns({"delta_for": F.col("x") / 100, "delta_against": F.col("y") / 100})
+    return P.adjust_penalty_taker(e, penalty="faceoff").select("id", "adj_for", "adj_against", "adj_net", "adj_source")
+
+
+@R.add(f"WITH {EV} SELECT id, CASE WHEN player IS NULL THEN 0.0 ELSE x END AS track_x, CASE WHEN player IS NULL THEN 0.0 ELSE y END AS track_y, CASE WHEN player IS NULL THEN 1 ELSE 0 END AS is_imputed, CASE WHEN player IS NULL THEN 0 ELSE 1 END AS is_present FROM ev")
+def f18_impute_actor(spark, d):
+    known = F.col("player").isNotNull()
+    e = events(spark, d).withColumns({"track_x": F.when(known, F.col("x")), "track_y": F.when(known, F.col("y"))})
+    return P.impute_actor(e, mode="absent").select("id", "track_x", "track_y", "is_imputed", "is_present")
+
+
+@R.add(f"WITH {EV} SELECT game, id, player, 'save' AS type, coalesce(CASE WHEN id % 3 > 0 THEN value END, 0) AS credit_for, 0.0 AS credit_against, coalesce(CASE WHEN id % 3 > 0 THEN value END, 0) AS credit_net FROM ev WHERE type = 'whistle'")
+def f20_goalie_as_player_ledger(spark, d):
+    e = events(spark, d).where("type = 'whistle'").withColumns({"goalie": F.col("player"), "save_credit": F.when(F.col("id") % 3 > 0, F.col("value"))})
+    return P.goalie_as_player_ledger(e, ["game", "id"])
+
+
+@R.add(f"WITH {EV} SELECT game, id, type, team, x FROM ev WHERE type IN ('whistle', 'faceoff')")
+def f21_inspect_baselines(spark, d):
+    return P.inspect_baselines(events(spark, d), ["game", "id", "type", "team", "x"])
+
+
+@R.add("SELECT p_partkey, replace(replace(replace(lower(p_type), 'a', 'x'), 'xx', 'y'), 'e', '') AS text FROM part")
+def c02_rewrite_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.rewrite_text(F.lower("p_type"), (("a", "x"), ("xx", "y"), ("e", ""))).alias("text"))
+
+
+@R.add("""WITH t AS (SELECT item_id, [trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ,._:-') FOR x IN regexp_split_to_array(lower(text), '[,;|/]')] AS a FROM benchmark)
+          SELECT item_id, nullif(array_to_string([x FOR x, i IN a IF x <> '' AND list_position(a, x) = i AND NOT regexp_matches(x, '\\bthe\\b') AND x <> 'in'], ', '), '') AS flags FROM t""")
+def c05_filter_tokens(spark, d):
+    return table(spark, d, "benchmark").select("item_id", C.filter_tokens(C.tokenize_flags(F.col("text")), ("in",), leaks=r"\bthe\b").alias("flags"))
+
+
+@R.add("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || ' ; ' || p_brand ELSE p_brand END AS text FROM part")
+def c06_join_texts(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.join_texts(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.col("p_brand")).alias("text"))
+
+
+@R.add("SELECT p_partkey, regexp_matches(p_name, '1') OR regexp_matches(p_brand, '1') AS hit FROM part")
+def c09_any_match(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.any_match([F.col("p_name"), F.col("p_brand")], "1").alias("hit"))
+
+
+@R.add(f"WITH {TRACKING} SELECT event, node, tx - 5 AS dx, ty + 3 AS dy, sqrt((tx - 5) * (tx - 5) + (ty + 3) * (ty + 3)) AS distance, CASE WHEN node = 1 THEN 'actor' WHEN side = 'mate' THEN 'teammate' ELSE 'opponent' END AS role FROM trk")
+def c12_relative_position(spark, d):
+    t = tracking(spark, d).withColumn("rel", C.relative_position(F.col("tx"), F.col("ty"), F.lit(5.0), F.lit(-3.0)))
+    return t.select("event", "node", "rel.dx", "rel.dy", "rel.distance", C.role(F.col("node"), F.col("side"), F.lit(1), F.lit("mate")).alias("role"))
+
+
+@R.add(f"WITH {EV} SELECT game, CAST(id + 0.5 AS DOUBLE) AS id FROM ev")
+def c13_normalize_keys(spark, d):
+    e = events(spark, d).select(F.col("game").cast("int").alias("game"), (F.col("id") + 0.5).alias("id"))
+    return C.normalize_keys(e, "game", "id").select("game", F.col("id").cast("double").alias("id"))
+
+
+@R.add(f"WITH {EV} SELECT id, round(atan2(sin(x / 10), cos(x / 10)), 6) AS wrapped, abs(x - y) <= 1e-9 AS close FROM ev")
+def c14_wrap_and_close(spark, d):
+    return events(spark, d).select("id", F.round(C.wrap_angle(F.col("x") / 10), 6).alias("wrapped"), C.is_close(F.col("x"), F.col("y")).alias("close"))
+
+
+@R.add("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber = 1 OR l_returnflag = 'Y' GROUP BY l_returnflag")
+def c15_parse_bool(spark, d):
+    return table(spark, d, "lineitem").where(C.parse_bool(F.col("l_linenumber"), F.col("l_returnflag"))).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@R.add("SELECT c_mktsegment, regexp_matches(upper(c_mktsegment), 'G') AS hit, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def c16_match_role(spark, d):
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).select("c_mktsegment", C.match_role(F.col("c_mktsegment"), "G").alias("hit"), "n")
+
+
+@R.add(f"WITH {EV} SELECT id, CASE WHEN abs(y) <= 5 THEN 'center' WHEN abs(y) <= 25 THEN 'near' ELSE 'far' END AS band FROM ev")
+def c17_band(spark, d):
+    return events(spark, d).select("id", C.band(F.col("y")).alias("band"))
+
+
+@R.add("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50")
+def o01_sort_total(spark, d):
+    return P.sort_total(table(spark, d, "customer").select("c_custkey", "c_acctbal"), [("c_acctbal", False), ("c_custkey", True)]).limit(50)
+
+
+@R.add()
+def o03_sample_rows(spark, d):
+    return P.sample_rows(table(spark, d, "customer").select("c_custkey", "c_name"), 100, F.col("c_custkey"))
+
+
+@R.add(f"WITH {EV}, g AS (SELECT game, team FROM ev WHERE type = 'goal') SELECT game, team, count(*) AS n FROM g WHERE team IS NOT NULL GROUP BY ALL UNION ALL SELECT game, NULL, count(*) FROM ev WHERE type = 'whistle' GROUP BY game")
+def a02_extra_counts(spark, d):
+    known, unknown = A.extra_counts(events(spark, d).where("type IN ('goal', 'whistle')"))
+    return known.withColumnRenamed("extra", "n").unionByName(unknown.select("game", F.lit(None).cast("string").alias("team"), F.col("unassigned").alias("n")))
+
+
+@R.add(f"WITH {EV}, n AS (SELECT count(*) AS n FROM ev GROUP BY game, seq) SELECT quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.9) AS q90, quantile_cont(n, 0.99) AS q99 FROM n")
+def a16_length_quantiles(spark, d):
+    return A.length_quantiles(A.sequence_summary(events(spark, d)))

@@ -157,6 +157,14 @@ def j19_inverse_rows(spark, d):
     return J.inverse_rows(e, side, ["game"], "kept", "net", "inverse").select("game", "id", "kept", "net", "credit_source")
 
 
+@R.add(f"""WITH {EV}, s AS (SELECT game, id, id - 150 AS kept FROM ev WHERE type = 'whistle') SELECT s.game, s.id, kept, -coalesce(b.y, 0.0) AS net, 'penalty_drawn' AS credit_source
+           FROM s LEFT JOIN (SELECT * FROM ev WHERE type = 'pass') b ON s.game = b.game AND kept = b.id""")
+def j20_penalty_inverse_rows(spark, d):
+    e = events(spark, d).withColumn("net", F.col("y"))
+    side = e.where("type = 'whistle'").select("game", "id", (F.col("id") - 150).alias("kept"))
+    return J.inverse_rows(e, side, ["game"], "kept", "net", "penalty_drawn", base_type="pass").select("game", "id", "kept", "net", "credit_source")
+
+
 @R.add("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def j21_drop_keys(spark, d):
     return J.drop_keys(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey", "c_name")

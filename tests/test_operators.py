@@ -254,4 +254,4 @@ def test_registered_queries_have_sql_or_tests():
     from eventry.plans import queries
 
     assert {*queries.ORACLES} <= {*queries.QUERIES} <= {*entry.queries()}
-    assert {*queries.QUERIES} - {*queries.ORACLES} == {"w25_persistent_slots", "m10_stratified_group_folds", "m11_fit_oof"}
+    assert {*queries.QUERIES} - {*queries.ORACLES} == {"o03_sample_rows", "w25_persistent_slots", "m10_stratified_group_folds", "m11_fit_oof"}
