@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import components, cut, small_batches, table
+from eventry.llm._shared import components, cut, fresh, small_batches, table
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 # At most MAX_BITS of the 8 bytes differ, so a linked pair shares at least this many positional bytes.
@@ -39,12 +40,16 @@ def fingerprint(raw: bytes) -> int:
 
 
 def _fingerprints(batches):
+    run = TaskContext.get().partitionId()
     for whole in batches:
         for batch in small_batches(whole, 1):
             texts = pc.fill_null(pc.cast(batch.column(1), pa.large_binary()), b"")
             raw = [x.as_buffer().to_pybytes() for x in texts]
             keys = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([fingerprint(x) for x in raw], pa.int64())], names=["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys), pa.array([fingerprint(x) for x in raw], pa.int64()), pa.array(np.full(len(raw), run))],
+                names=["doc_id", "key", "fp", "run"],
+            )
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -185,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id, nulls last, then key. Repeated rows share all values. Null, empty and blank texts have fingerprint 0, which links
     like any other. An empty table gives no rows; other columns are ignored.
     """
-    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_fingerprints, "doc_id long, key long, fp long"))
+    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_fingerprints, "doc_id long, key long, fp long, run long"))
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
     classes = cut(marked.groupBy("fp").agg(smallest.alias("first")))
     roots = components(fingerprint_links(classes.select("fp")))
@@ -196,17 +201,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = members.groupBy("root").agg(F.min("first").alias("best"))
     best = members.join(groups, "root").select("fp", "best")
     classes = classes.join(best, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
-    return marked.join(classes, "fp").select(
+    # Results go down to each run (input partition) once, then to its rows: a fingerprint of many copies is spread over the runs.
+    down = marked.select("run", "fp").distinct().join(classes, "fp")
+    return marked.join(down, ["run", "fp"]).select(
         "doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.key") == F.col("key"))).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one per near-duplicate group, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_kept"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")).distinct()
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[key] == kept["_kept_key"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, key]).drop(key)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
