@@ -40,8 +40,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def fold_case(col: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(col, UPPER, LOWER)
+    """Lower-case A-Z and nothing else. A text of as many bytes as characters is ASCII, where ``lower`` does just that, and faster."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def held_out(id_col: str) -> Column:
