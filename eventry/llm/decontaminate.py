@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import LOWER, UPPER, fold_case, fresh, table
+from eventry.llm._shared import LOWER, UPPER, cut, fold_case, fresh, table
 
 WINDOW = 10
 SHINGLE = 2
 # Beyond so many bytes of prefix shingles and window texts the windows are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+# So many rows to drop are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -109,7 +111,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` without a hit, with all their columns."""
     found = find_contamination(docs, items, id_col, text_col)
     key = fresh(docs, "_key")
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    bad = cut(found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
     return keyed.join(bad, keyed[id_col].eqNullSafe(bad["_bad_id"]) & (keyed[key] == bad["_bad_key"]), "left_anti").drop(key)
 
