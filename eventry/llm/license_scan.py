@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import table
+from eventry.llm._shared import cut, table
 
 # Usual notices of common licences, by SPDX name.
 TEMPLATES = {
@@ -39,35 +39,37 @@ def _sentences(text: Column) -> Column:
 
 
 def notices(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Every notice of every whole text (``doc_id, path, notice``); a licence file is one as a whole, too."""
+    """Every notice of every whole text (``doc_id, path, notice, notice_id``); a licence file is one as a whole, too."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text.alias("_t"))
     whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array("_t")).otherwise(F.array().cast("array<string>"))
-    return f.where(F.col("_t").rlike(NOTICE) | F.col("path").rlike(LICENCE_FILE)).select("doc_id", "path", F.explode(F.concat(_sentences(F.col("_t")), whole)).alias("notice"))
+    return f.where(F.col("_t").rlike(NOTICE) | F.col("path").rlike(LICENCE_FILE)).select("doc_id", "path", F.explode(F.concat(_sentences(F.col("_t")), whole)).alias("notice")).withColumn("notice_id", F.unhex(F.sha2("notice", 256)))
 
 
 def score_notices(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``notice, license, score`` of each distinct notice that is near enough to a template.
+    """``notice_id, license, score`` of each distinct notice that is near enough to a template.
 
-    Equal notices are one row from here on, however many files carry them. A word's idf comes from all notices of the corpus.
+    Equal notices are one row from here on, however many files carry them, and their words carry a digest instead of the text.
+    A word's idf comes from all notices of the corpus.
     """
     spark = found.sparkSession
-    distinct = found.groupBy("notice").agg(F.count("*").alias("n"))
+    distinct = cut(found.groupBy("notice_id").agg(F.count("*").alias("n"), F.first("notice").alias("notice")))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = distinct.select("notice", "n", F.explode(_tokens(F.col("notice"))).alias("word")).groupBy("notice", "word").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    words = distinct.select("notice_id", "n", F.explode(_tokens(F.col("notice"))).alias("word")).groupBy("notice_id", "word").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    words = cut(words)
     own = spark.createDataFrame(list(TEMPLATES.items()), "license string, template string")
     own = own.select("license", F.explode(_tokens(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
     df = words.groupBy("word").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
     per_template = own.join(df, "word", "left").withColumn("w", F.col("tf") * idf)
     per_template = per_template.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license")))).select("word", "license", (F.col("w") / F.col("norm")).alias("tw"))
-    weighted = words.join(df, "word").select("notice", "word", (F.col("tf") * idf).alias("w"))
-    norms = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighted = words.join(df, "word").select("notice_id", "word", (F.col("tf") * idf).alias("w"))
+    norms = weighted.groupBy("notice_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # The templates are a fixed list, so their side has a fixed size.
-    dots = weighted.join(F.broadcast(per_template), "word").groupBy("notice", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, "notice").select("notice", F.substring_index("license", "/", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = scored.groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
-    return best.select("notice", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
+    dots = weighted.join(F.broadcast(per_template), "word").groupBy("notice_id", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, "notice_id").select("notice_id", F.substring_index("license", "/", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    best = scored.groupBy("notice_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
+    return best.select("notice_id", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -78,10 +80,10 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     ``doc_id, path, own_license, own_score, license, from_dir`` (from_dir is null unless the licence is inherited). Null texts have no notice; a null path has
     no directory; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
     """
-    found = notices(files, path_col, text_col, id_col)
-    scored = score_notices(found)
-    own = found.join(scored, "notice").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
-    own = own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_p"), F.col("b.l").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    found = cut(notices(files, path_col, text_col, id_col))  # texts are read once; what is left is small
+    scored = cut(score_notices(found))
+    own = found.select("doc_id", "path", "notice_id").join(scored, "notice_id").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
+    own = cut(own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_p"), F.col("b.l").alias("own_license"), (-F.col("b.s")).alias("own_score")))
     parent = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).when(p.isNotNull(), "")
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"))
     f = f.join(own, f["doc_id"].eqNullSafe(own["_id"]) & f["path"].eqNullSafe(own["_p"]), "left").select("doc_id", "path", "own_license", "own_score", parent(F.col("path")).alias("dir"))
