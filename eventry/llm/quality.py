@@ -12,7 +12,7 @@ from eventry.llm._shared import held_out, small_batches, table
 
 BITS = 18
 # The fit's bounds: labelled rows that the log-count ratios and the hinge loss are fitted on, and sweeps over them.
-MAX_ROWS, SWEEPS, COST, SMOOTH = 12_000, 8, 1.0, 1.0
+MAX_ROWS, SWEEPS, COST, SMOOTH = 8_000, 8, 1.0, 1.0
 CUT = 0.7
 
 
@@ -124,7 +124,7 @@ def _logistic(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def _train(batches):
     rows, labels = [], []
     for whole in batches:
-        for batch in small_batches(whole, 0):
+        for batch in small_batches(whole, 0, 4 << 20):
             row, feature = ngram_features(batch.column(0))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             rows += [feature[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:])]
@@ -143,7 +143,8 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
     share = min(1.0, max_rows / max(n, 1))
     chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
     one = chosen.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("_o")).repartition(1).sortWithinPartitions("_o", "t")
-    return one.select("t", "y").mapInArrow(_train, "w binary, ratio binary, bias double, slope double, offset double").first()
+    found = one.select("t", "y").mapInArrow(_train, "w binary, ratio binary, bias double, slope double, offset double").first()
+    return found or next(_train([])).to_pylist()[0]
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +156,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
         w, ratio = np.frombuffer(m["w"], np.float32).astype(np.float64), np.frombuffer(m["ratio"], np.float32).astype(np.float64)
         weight, square = w * ratio, ratio * ratio
         for whole in batches:
-            for batch in small_batches(whole, 1):
+            for batch in small_batches(whole, 1, 4 << 20):
                 row, feature = ngram_features(batch.column(1))
                 n = batch.num_rows
                 norm = np.sqrt(np.bincount(row, square[feature], n))
