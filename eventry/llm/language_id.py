@@ -11,11 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import held_out, small_batches, table
+from eventry.llm._shared import cut, held_out, small_batches, table
 
 BITS = 16
 # The fit's bounds: rows per language, characters of a row that may be learnt from, words of a language's lexicon, sweeps, batch.
 MAX_ROWS, MAX_CHARS, LEXICON, SWEEPS, BATCH = 600, 20_000, 3_000, 3, 256
+# So many languages' sizes go to all tasks; more are joined by a shuffle.
+FEW_LANGUAGES = 10_000
 # Words of a sequence: a sentence, or this many words of a longer one.
 SENTENCE = 64
 UNKNOWN = "und"
@@ -50,7 +52,7 @@ def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.nda
     words = coded.dictionary.to_pylist()
     codes = np.asarray(coded.indices).astype(np.int64)
     row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-    is_word = np.array([bool(w) and w != "." for w in words], bool)
+    is_word = np.array([any(map(str.isalpha, w)) for w in words], bool)  # marks alone are no word
     stop = np.array([w == "." for w in words], bool)
     if not len(codes):
         return row, row, words, codes
@@ -178,56 +180,79 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= MAX_CHARS)).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("t", F.lit("draw")), F.lit(1_000_000)) / 1_000_000
+    sizes = cut(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes
     some = known.join(sizes, "lang").where(draw * F.col("n") < max_rows).select("t", "lang").repartition(1).sortWithinPartitions(F.xxhash64("t"), "lang")
-    return some.mapInArrow(_train, "model string, w binary").first()
+    return some.mapInArrow(_train, "model string, w binary").first() or next(_train([])).to_pylist()[0]
+
+
+class Labeller:
+    """The trained model in a task: label and score of every text of a column."""
+
+    def __init__(self, model):
+        m = json.loads(model["model"])
+        self.known, self.names = len(m["names"]) > 0, np.array([*m["names"], UNKNOWN], object)
+        self.emissions, self.trans = Emissions(np.frombuffer(model["w"], np.float32).reshape(1 << BITS, -1), m["lexicon"]), np.array(m["trans"])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        row, seq, words, codes = tokenize(texts)
+        n = len(texts)
+        sums = np.zeros((n, len(self.trans)))
+        if len(row):
+            starts, lengths = _sequences(row, seq)
+            used, word = np.unique(codes, return_inverse=True)
+            post, _ = forward_backward(self.emissions([words[u] for u in used])[word], starts, lengths, self.trans)
+            sums = np.stack([np.bincount(row, post[:, k], n) for k in range(len(self.trans))], axis=1)
+        total = sums.sum(axis=1)
+        found = (total > 0) & self.known
+        best = np.where(found, sums.argmax(axis=1), len(self.names) - 1)
+        return self.names[best], np.clip(np.where(found, sums.max(axis=1) / np.maximum(total, 1e-12), 0.0), 0, 1)
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key, lang_pred, score``: the label with the largest mean posterior over all words of a text, and that mean.
+    """``doc_id, lang_pred, score``: the label with the largest mean posterior over all words of a text, and that mean.
 
-    ``key`` is the hash of the text. Texts that are null or have no letter are ``und`` with score 0. Repeated rows give repeated rows;
-    an empty table gives no rows; other columns are ignored.
+    Texts that are null or have no letter are ``und`` with score 0. Repeated rows give repeated rows; an empty table gives no
+    rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = json.loads(shared.value["model"])
-        names = np.array([*m["names"], UNKNOWN], object)
-        n_labels = max(len(m["names"]), 1)
-        weights = np.frombuffer(shared.value["w"], np.float32).reshape(1 << BITS, -1)
-        emissions, trans = Emissions(weights, m["lexicon"]), np.array(m["trans"])
+        label = Labeller(shared.value)
         for whole in batches:
             for batch in small_batches(whole, 1, 4 << 20):
-                row, seq, words, codes = tokenize(batch.column(1))
-                n, sums = batch.num_rows, np.zeros((batch.num_rows, n_labels))
-                if len(row):
-                    starts, lengths = _sequences(row, seq)
-                    used, word = np.unique(codes, return_inverse=True)
-                    post, _ = forward_backward(emissions([words[u] for u in used])[word], starts, lengths, trans)
-                    sums = np.stack([np.bincount(row, post[:, k], n) for k in range(n_labels)], axis=1)
-                total = sums.sum(axis=1)
-                found = (total > 0) & (len(m["names"]) > 0)
-                best = np.where(found, sums.argmax(axis=1), len(names) - 1)
-                score = np.where(found, sums.max(axis=1) / np.maximum(total, 1e-12), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "key", "lang_pred", "score"])
-
-    text = F.col(text_col).cast("string")
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
-    return named.mapInArrow(run, "doc_id long, key long, lang_pred string, score double")
+                names, scores = label(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def train_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+    """A model from the rows with a language that are not held out."""
+    return train(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(text_col, lang_col), text_col, lang_col)
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on the rows with a language that are not held out, then label every row."""
-    model = train(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(text_col, lang_col), text_col, lang_col)
-    return identify(docs, model, id_col, text_col)
+    return identify(docs, train_documents(docs, id_col, text_col, lang_col), id_col, text_col)
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a known language, with all their columns; rejected are ``und`` and scores below REJECT."""
-    found = identify_documents(docs, id_col, text_col, lang_col)
-    bad = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < REJECT)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_bad")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_bad"]), "left_anti").drop("_key")
+    """The rows of ``docs`` with a known language, with all their columns; rejected are ``und`` and scores below REJECT.
+
+    Rows are judged where they lie and passed on, so nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train_documents(docs, id_col, text_col, lang_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        label = Labeller(shared.value)
+        for whole in batches:
+            for batch in small_batches(whole, at, 4 << 20):
+                names, scores = label(batch.column(at))
+                yield batch.filter(pa.array((names != UNKNOWN) & (scores >= REJECT)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def corpus(n=240):
 
 
 def test_languages_of_held_out_and_odd_rows(docs, odd_texts):
-    rows = corpus() + [(1000 + (i or 0), t, None, "s") for i, t in odd_texts] + [(3000, "123 ... !", None, "s"), (3001, "der the haus house der the haus house", None, "s")]
+    rows = corpus() + [(1000 + (i or 0), t, None, "s") for i, t in odd_texts] + [(3000, "123 ... !", None, "s"), (3002, "\u0301 \u0308", None, "s"), (3001, "der the haus house der the haus house", None, "s")]
     d = docs(rows)
     got = L.identify_documents(d).toPandas()
     assert len(got) == len(rows)
@@ -29,7 +29,7 @@ def test_languages_of_held_out_and_odd_rows(docs, odd_texts):
     known = got[got.doc_id.isin(truth)]
     assert (known.lang_pred == known.doc_id.map(truth)).mean() > 0.99
     by = got.set_index("doc_id")
-    assert (by.lang_pred[[1001, 1002, 1003, 3000]] == "und").all() and (by.score[[1001, 3000]] == 0).all()
+    assert (by.lang_pred[[1001, 1002, 1003, 3000, 3002]] == "und").all() and (by.score[[1001, 3000]] == 0).all()
     assert got.score.between(0, 1).all() and by.score[3001] < 0.95
     kept = L.keep_known(d)
     assert kept.columns == d.columns
