@@ -130,7 +130,7 @@ def _solve(last: bool):
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
             for a, b in zip(first, [*first[1:], len(keys)], strict=True):
                 if key is not None and keys[a] != key:
-                    if size > 1 and (r := done(key, parts, big)):
+                    if parts and size > 1 and (r := done(key, parts, big)):
                         out.append(r)
                         held += len(r[0])
                     parts, size, big = [], 0, False

@@ -139,6 +139,45 @@ def test_large_buckets_lose_no_link():
         assert {min(g): sorted(g) for g in groups.values()} == {m: sorted(f for f in fps if want[f] == m) for m in {*want.values()}}
 
 
+def test_a_large_bucket_followed_by_other_keys_of_its_task(monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    small = [2, 3, (1 << 63) - 1]
+    keys, fps = [7] * 40 + [9] * 3 + [11] * 12 + [12], [*range(40), *small, *range(100, 112), 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps, pa.int64())], names=["key", "fp"])
+    for size in (3, 10, 40, len(keys)):
+        rows = [r for b in simhash._solve(False)(batch.slice(a, size) for a in range(0, len(keys), size)) for r in b.to_pylist()]
+        passed = sorted((r["key"], r["u"]) for r in rows if r["v"] is None)
+        assert passed == [(7, f) for f in range(40)] + [(11, f) for f in range(100, 112)]
+        assert [(r["key"], {r["u"], r["v"]}) for r in rows if r["v"] is not None] == [(9, {2, 3})]
+
+
+def test_large_buckets_keep_all_links_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng = random.Random(8)
+    fps = sorted({rng.getrandbits(7) << rng.choice([0, 8, 24]) for _ in range(150)} | {rng.getrandbits(60) for _ in range(50)})
+    whole = spark.createDataFrame([(f,) for f in fps], "fp long")
+    monkeypatch.setattr(simhash, "_solve", _with_bucket(simhash._solve, 8))
+    got = {f: f for f in fps} | {r.node: r.root for r in components(simhash.fingerprint_links(whole)).collect()}
+    want = plain_groups(fps, fps)
+    assert {frozenset(f for f in fps if got[f] == g) for g in {*got.values()}} == {frozenset(f for f in fps if want[f] == g) for g in {*want.values()}}
+
+
+def _with_bucket(solve, limit):
+    """``_solve`` with another ``BUCKET``, in the workers too."""
+
+    def outer(last):
+        def run(batches):
+            simhash.BUCKET = limit
+            try:
+                yield from solve(last)(batches)
+            finally:
+                simhash.BUCKET = 1 << 16
+
+        return run
+
+    return outer
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = components(spark.createDataFrame(chain, "u long, v long")).toPandas()
