@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventry.llm._shared import cut, table
+from eventry.llm.license_texts import HEADERS, WORDS
 
 # Usual notices of common licences, by SPDX name.
 TEMPLATES = {
@@ -25,8 +26,13 @@ TEMPLATES = {
     "proprietary": "All rights reserved.",
 }
 NOTICE = r"(?i)licen[cs]e|copyright|all rights reserved|hereby granted|redistribution and use"
+# The same where lines are wrapped; and the marks of comment lines.
+WRAPPED = NOTICE.replace(" ", "[^a-z0-9]+")
+COMMENT = r"(?m)^[ \t]*(?://|#|/?\*|--|;|%)(.*)$"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 0.8
+# Words whose idf goes to all tasks; they only make a bound tighter.
+COMMON = 20_000
 
 
 def _tokens(text: Column) -> Column:
@@ -38,32 +44,75 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?;]\s+|[\r\n]+"), lambda s: s.rlike(NOTICE))
 
 
+def _blocks(text: Column) -> Column:
+    """Blocks of adjoining lines that look like a notice, and the sentences of each, unwrapped.
+
+    A block ends at a line without letters or digits, after ``*/``, and where lines of a comment meet other lines.
+    """
+    marked = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), COMMENT, "\x01$1\x02")
+    parts = F.split(marked, r"\n[^A-Za-z0-9]*\n|\x02\n(?!\x01)|(?<!\x02)\n(?=\x01)|\*/")
+    flat = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"[\s\x01\x02]+", " ")))
+    near = F.filter(flat, lambda p: p.rlike(WRAPPED))
+    return F.filter(F.array_distinct(F.concat(near, F.flatten(F.transform(near, lambda p: F.split(p, r"[.!?;]\s+"))))), lambda p: p.rlike(WRAPPED))
+
+
 def notices(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Every notice of every whole text (``doc_id, path, notice, notice_id``); a licence file is one as a whole, too."""
+    """Every notice of every whole text (``doc_id, path, notice, block, notice_id``); a licence file is one as a whole, too.
+
+    ``block`` tells the blocks of adjoining lines, and whole licence files, from single lines and sentences.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text.alias("_t"))
     whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array("_t")).otherwise(F.array().cast("array<string>"))
-    return f.where(F.col("_t").rlike(NOTICE) | F.col("path").rlike(LICENCE_FILE)).select("doc_id", "path", F.explode(F.concat(_sentences(F.col("_t")), whole)).alias("notice")).withColumn("notice_id", F.unhex(F.sha2("notice", 256)))
+    as_rows = lambda found, block: F.transform(found, lambda n: F.struct(n.alias("notice"), F.lit(block).alias("block")))
+    both = F.concat(as_rows(F.concat(_sentences(F.col("_t")), whole), False), as_rows(F.array_distinct(F.concat(_blocks(F.col("_t")), whole)), True))
+    found = f.where(F.col("_t").rlike(WRAPPED) | F.col("path").rlike(LICENCE_FILE)).select("doc_id", "path", F.explode(both).alias("n"))
+    return found.select("doc_id", "path", "n.notice", "n.block").withColumn("notice_id", F.unhex(F.sha2("notice", 256)))
 
 
-def score_notices(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``notice_id, license, score`` of each distinct notice that is near enough to a template.
+def _templates(spark: SparkSession, block: bool) -> DataFrame:
+    """``license, word, tf``: the short templates, for blocks with the standard headers and the whole texts."""
+    own = spark.createDataFrame(list((TEMPLATES | HEADERS if block else TEMPLATES).items()), "license string, template string")
+    own = own.select("license", F.explode(_tokens(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
+    if not block:
+        return own
+    whole = spark.createDataFrame([(f"{k}/text", v) for k, v in WORDS.items()], "license string, words string")
+    whole = whole.select("license", F.explode(F.split("words", " ")).alias("w"))
+    return own.union(whole.select("license", F.substring_index("w", ":", 1), F.substring_index("w", ":", -1).cast("long")))
 
-    Equal notices are one row from here on, however many files carry them, and their words carry a digest instead of the text.
-    A word's idf comes from all notices of the corpus.
-    """
-    spark = found.sparkSession
+
+def _words(found: DataFrame) -> DataFrame:
+    """``notice_id, word, tf, n``: the words of distinct notices, and how many files' notices are equal."""
     distinct = cut(found.groupBy("notice_id").agg(F.count("*").alias("n"), F.first("notice").alias("notice")))
-    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return cut(distinct.select("notice_id", "n", F.explode(_tokens(F.col("notice"))).alias("word")).groupBy("notice_id", "word").agg(F.count("*").alias("tf"), F.first("n").alias("n")))
+
+
+def _promising(found: DataFrame, df: DataFrame, total: int, own: DataFrame, threshold: float) -> DataFrame:
+    """As ``_words``, without the notices that can't reach the threshold, so that long blocks of prose are not shuffled by word.
+
+    A cosine to any template is at most the share of the notice's norm that lies in words of templates. The idf of other words is
+    exact for the ``COMMON`` most frequent and bounded from below for the rest, so no notice that could pass is left out.
+    """
+    order = df.orderBy(F.col("df").desc(), "word").limit(COMMON)
+    vocab = own.select("word").distinct()
+    known = cut(order.unionByName(vocab.join(df, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))).groupBy("word").agg(F.max("df").alias("df")).join(vocab.withColumn("own", F.lit(True)), "word", "left"))
+    least = order.agg(F.count("*").alias("n"), F.min("df").alias("df")).first()
+    rest = least["df"] if least["n"] == COMMON else 0
+    # Distinct notices lie by notice_id, and so do their words: only the texts are shuffled.
+    distinct = found.groupBy("notice_id").agg(F.count("*").alias("n"), F.first("notice").alias("notice"))
     words = distinct.select("notice_id", "n", F.explode(_tokens(F.col("notice"))).alias("word")).groupBy("notice_id", "word").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-    words = cut(words)
-    own = spark.createDataFrame(list(TEMPLATES.items()), "license string, template string")
-    own = own.select("license", F.explode(_tokens(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
-    df = words.groupBy("word").agg(F.sum("n").alias("df"))
+    idf = F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(rest)) + 1.0)) + 1.0
+    part = words.join(F.broadcast(known), "word", "left").withColumn("_w", F.pow(F.col("tf") * idf, 2))
+    all_ = Window.partitionBy("notice_id")
+    part = part.withColumns({"_own": F.sum(F.when(F.col("own"), F.col("_w")).otherwise(0.0)).over(all_), "_all": F.sum("_w").over(all_)})
+    return cut(part.where(F.col("_own") >= (threshold - 1e-5) ** 2 * F.col("_all")).select("notice_id", "word", "tf", "n"))
+
+
+def _nearest(words: DataFrame, df: DataFrame, total: int, own: DataFrame, threshold: float) -> DataFrame:
     idf = F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
     per_template = own.join(df, "word", "left").withColumn("w", F.col("tf") * idf)
     per_template = per_template.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license")))).select("word", "license", (F.col("w") / F.col("norm")).alias("tw"))
-    weighted = words.join(df, "word").select("notice_id", "word", (F.col("tf") * idf).alias("w"))
+    weighted = words.join(df, "word", "left").select("notice_id", "word", (F.col("tf") * idf).alias("w"))
     norms = weighted.groupBy("notice_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # The templates are a fixed list, so their side has a fixed size.
     dots = weighted.join(F.broadcast(per_template), "word").groupBy("notice_id", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -72,6 +121,22 @@ def score_notices(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return best.select("notice_id", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
 
 
+def score_notices(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``notice_id, block, license, score`` of each distinct notice that is near enough to a template.
+
+    Equal notices are one row from here on, however many files carry them, and their words carry a digest instead of the text.
+    A word's idf comes from all single-line notices of the corpus, for blocks too.
+    """
+    spark = found.sparkSession
+    total = found.where("NOT block").count()
+    words = _words(found.where("NOT block"))
+    df = words.groupBy("word").agg(F.sum("n").alias("df"))
+    lines = _nearest(words, df, total, _templates(spark, False), threshold)
+    own = _templates(spark, True)
+    blocks = _nearest(_promising(found.where("block"), df, total, own, threshold), df, total, own, threshold)
+    return lines.withColumn("block", F.lit(False)).unionByName(blocks.withColumn("block", F.lit(True)))
+
+
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The licence of every file: its own notice nearest to a template, or that of the nearest directory above.
 
@@ -82,7 +147,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     """
     found = cut(notices(files, path_col, text_col, id_col))  # texts are read once; what is left is small
     scored = cut(score_notices(found))
-    own = found.select("doc_id", "path", "notice_id").join(scored, "notice_id").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
+    own = found.select("doc_id", "path", "notice_id", "block").join(scored, ["notice_id", "block"]).groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
     own = cut(own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_p"), F.col("b.l").alias("own_license"), (-F.col("b.s")).alias("own_score")))
     parent = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).when(p.isNotNull(), "")
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"))

@@ -104,3 +104,53 @@ def test_templates_find_themselves(spark, name):
         pytest.skip("one of each kind is enough")
     files = spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate([S.TEMPLATES[name], "other text", *S.TEMPLATES.values()])], "doc_id long, path string, text string")
     assert S.scan_licenses(files).where("doc_id = 0").first().own_license == name.split("/")[0]
+
+
+GPL3 = """/*
+ * Frob, a tool. Copyright (C) 2020 A. Person
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main(void) { return 0; }
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    comment = "\n".join(f"# {x}" for x in MIT.split("\n"))
+    whole = {k: " ".join(" ".join([w] * int(n)) for w, n in (x.split(":") for x in S.WORDS[k].split())) for k in S.WORDS}
+    rows = [("a/gpl.c", GPL3, "GPL-3.0"), ("a/gpl2.c", GPL3.replace("version 3", "version 2").replace("\n", "\r\n"), "GPL-2.0"), ("a/one.c", " ".join(GPL3.split()[11:52]), "GPL-3.0"),
+            ("a/mit.py", f"import os\n{comment}\nos.getcwd()\n" + "x = 1\n" * 200, "MIT"), ("a/mit.txt", f"word {'other words ' * 50}\n\n{MIT}\n\nmore", "MIT"), ("a/bsd.txt", BSD2, "BSD-2-Clause"),
+            ("a/agpl.c", GPL3.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), ("a/none.txt", "a licence to print " + "money " * 40, None), *((f"{k}/LICENSE", t, k) for k, t in whole.items())]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: r.own_license for r in S.scan_licenses(files).collect()}
+    assert got == {p: k for p, _, k in rows}
+
+
+def test_blocks_left_out_early_could_not_pass(spark, monkeypatch):
+    texts = [GPL3, MIT, BSD2, MIT + " and " + "other words here " * 6, MIT + " word" * 5, "a licence to print " + "money " * 40, "the license of the software and the copies", "License."]
+    texts += [f"{MIT} {'zeta eta theta ' * k}" for k in range(8)]
+    found = S.notices(spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")).cache()
+    df = S._words(found.where("NOT block")).groupBy("word").agg({"n": "sum"}).toDF("word", "df")
+    total, own = found.where("NOT block").count(), S._templates(spark, True)
+    want = S._nearest(S._words(found.where("block")), df, total, own, 0.8).collect()
+    for common in (3, 20_000):
+        monkeypatch.setattr(S, "COMMON", common)
+        few = S._promising(found.where("block"), df, total, own, 0.8)
+        assert sorted(S._nearest(few, df, total, own, 0.8).collect()) == sorted(want) and want
+    assert few.select("notice_id").distinct().count() < found.where("block").select("notice_id").distinct().count()
