@@ -20,6 +20,8 @@ MAX_ROWS, MAX_CHARS, LEXICON, SWEEPS, BATCH = 600, 20_000, 3_000, 3, 256
 FEW_LANGUAGES = 10_000
 # Words of a sequence: a sentence, or this many words of a longer one.
 SENTENCE = 64
+# Letters of a word; longer runs are consecutive words.
+LONGEST = 40
 UNKNOWN = "und"
 # Below this confidence the pipeline rejects a document.
 REJECT = 0.3
@@ -35,14 +37,14 @@ def _grams(word: str) -> list[str]:
 def _features(word: str, lexicon: dict[str, int]) -> np.ndarray:
     """Hashed affix and n-gram features of a word, and its lexicon entries (a bit set of labels) as features of their own."""
     bits = lexicon.get(word, 0)
-    grams = [*_grams(word[:40]), *(f"@{k}" for k in range(bits.bit_length()) if bits >> k & 1)]
+    grams = [*_grams(word), *(f"@{k}" for k in range(bits.bit_length()) if bits >> k & 1)]
     return np.array([crc32(g.encode("utf-8", "surrogatepass")) & (1 << BITS) - 1 for g in grams], np.int64)
 
 
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Words with letters: row and sequence of each, the distinct words, and each word's number among them.
 
-    Words are maximal runs of letters and marks, lower-cased. A sequence is a sentence (it ends with . ! ? or a line break).
+    Words are maximal runs of letters and marks, lower-cased; a run of more than LONGEST is consecutive words of at most so many. A sequence is a sentence (it ends with . ! ? or a line break).
     """
     low = pc.utf8_lower(pc.cast(pc.fill_null(texts, ""), pa.large_string()))
     ended = pc.replace_substring_regex(low, r"[.!?\r\n]+", " . ")
@@ -52,6 +54,13 @@ def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.nda
     words = coded.dictionary.to_pylist()
     codes = np.asarray(coded.indices).astype(np.int64)
     row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    if any(len(w) > LONGEST for w in words):
+        place = {w: i for i, w in enumerate(words)}
+        pieces = [[place.setdefault(w[a : a + LONGEST], len(place)) for a in range(0, len(w), LONGEST)] or [i] for i, w in enumerate(words)]
+        words, width = list(place), np.array([len(p) for p in pieces])
+        times = width[codes]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, codes = np.repeat(row, times), np.concatenate(pieces)[np.repeat((np.cumsum(width) - width)[codes], times) + inside]
     is_word = np.array([any(map(str.isalpha, w)) for w in words], bool)  # marks alone are no word
     stop = np.array([w == "." for w in words], bool)
     if not len(codes):

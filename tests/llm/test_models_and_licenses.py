@@ -42,6 +42,22 @@ def test_without_languages_everything_is_und(docs):
     assert L.identify_documents(docs([])).count() == 0
 
 
+def test_every_letter_of_a_long_run_is_read():
+    import pyarrow as pa
+
+    run = "".join(chr(ord("a") + i * 7 % 26) for i in range(1000))
+    row, seq, words, codes = L.tokenize(pa.array(["short one. " + run, None, "", f"{run[:40]} {run[:41]}! {run[:80]} end", "短" * 100]))
+    text = [[words[c] for c in codes[row == i]] for i in range(5)]
+    assert text[0][:2] == ["short", "one"] and "".join(text[0][2:]) == run and max(map(len, text[0])) == 40
+    assert text[1] == text[2] == [] and text[3] == [run[:40], run[:40], run[40], run[:40], run[40:80], "end"]
+    assert [len(w) for w in text[4]] == [40, 40, 20] and len({*words}) == len(words)
+    assert len({*seq[row == 0]}) == 2 and len({*seq[row == 3]}) == 2
+    model = L.train.__globals__["_train"](iter([pa.RecordBatch.from_pydict({"t": [" ".join(EN), " ".join(DE)] * 60, "lang": ["en", "de"] * 60})]))
+    label = L.Labeller(next(model).to_pylist()[0])
+    one, two = (label(pa.array(["wasser" * 6 + "wass" + tail]))[1][0] for tail in ("", "this" * 200))
+    assert abs(one - two) > 1e-6
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
