@@ -105,61 +105,83 @@ def test_every_five_positions_hold_a_group():
     assert all(any({*q} <= {*five} for q in simhash.QUADS) for five in itertools.combinations(range(8), 5))
 
 
-def links(fps, limit, last):
-    """Components that ``_solve`` finds in one key's bucket, when buckets beyond ``limit`` are passed on."""
-    old = simhash.BUCKET
-    simhash.BUCKET = limit
-    try:
-        batch = pa.RecordBatch.from_arrays([pa.array([7] * len(fps)), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["key", "fp"])
-        return [r for b in simhash._solve(last)([batch.slice(0, 3), batch.slice(3)]) for r in b.to_pylist()]
-    finally:
-        simhash.BUCKET = old
-
-
-def test_large_buckets_lose_no_link():
-    rng = random.Random(5)
-    low = 0xABCDEF0123 << 24
-    fps = sorted({low | rng.getrandbits(12) for _ in range(200)} | {low | 0xFFF000 | rng.getrandbits(4) for _ in range(10)})
-    want = plain_groups(fps, fps)
-    passed = links(fps, 8, last=False)
-    assert {r["u"] % (1 << 64) for r in passed} == {*fps} and all(r["v"] is None for r in passed)
-    for limit in (8, 1 << 16):  # by flipped bits, and by pairs
-        up = {f: f for f in fps}
+def joined(fps, pairs):
+    """The groups of fps that pairs join, each under its smallest member."""
+    up = {f: f for f in fps}
 
-        def find(x, up=up):
-            while up[x] != x:
-                x = up[x]
-            return x
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
 
-        for r in links(fps, limit, last=True):
-            up[find(r["u"] % (1 << 64))] = find(r["v"] % (1 << 64))
-        groups = {}
-        for f in fps:
-            groups.setdefault(find(f), []).append(f)
-        assert {min(g): sorted(g) for g in groups.values()} == {m: sorted(f for f in fps if want[f] == m) for m in {*want.values()}}
+    for u, v in pairs:
+        up[find(u % (1 << 64))] = find(v % (1 << 64))
+    out = {}
+    for f in fps:
+        out.setdefault(find(f), []).append(f)
+    return {min(g): sorted(g) for g in out.values()}
 
 
-def test_a_large_bucket_followed_by_other_keys_of_its_task(monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 8)
-    small = [2, 3, (1 << 63) - 1]
-    keys, fps = [7] * 40 + [9] * 3 + [11] * 12 + [12], [*range(40), *small, *range(100, 112), 5]
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps, pa.int64())], names=["key", "fp"])
-    for size in (3, 10, 40, len(keys)):
-        rows = [r for b in simhash._solve(False)(batch.slice(a, size) for a in range(0, len(keys), size)) for r in b.to_pylist()]
-        passed = sorted((r["key"], r["u"]) for r in rows if r["v"] is None)
-        assert passed == [(7, f) for f in range(40)] + [(11, f) for f in range(100, 112)]
-        assert [(r["key"], {r["u"], r["v"]}) for r in rows if r["v"] is not None] == [(9, {2, 3})]
+def wanted(fps):
+    groups = plain_groups(fps, fps)
+    return {m: sorted(f for f in fps if groups[f] == m) for m in {*groups.values()}}
+
+
+def test_the_tally_counts_shared_positional_bytes():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 64, 500, np.uint64)
+    keep = rng.integers(0, 2, (500, 8)).astype(np.uint8) * 255
+    y = x ^ (rng.integers(1, 256, (500, 8)).astype(np.uint8) & keep).view(np.uint64).ravel()
+    assert (simhash._tally(x ^ y) == (x.view(np.uint8).reshape(-1, 8) == y.view(np.uint8).reshape(-1, 8)).sum(axis=1)).all()
 
 
-def test_large_buckets_keep_all_links_of_a_table(spark, monkeypatch):
+def test_split_postings_lose_no_link(monkeypatch):
+    rng = random.Random(5)
+    low = 0xABCDEF0123 << 24
+    sets = [
+        {low | rng.getrandbits(12) for _ in range(200)} | {low | 0xFFF000 | rng.getrandbits(4) for _ in range(10)},
+        {low | rng.getrandbits(24) for _ in range(400)} | {low ^ (1 << a | 1 << b | 1 << c) for a in range(8) for b in range(8, 16) for c in range(16, 24)},
+        {rng.getrandbits(7) << rng.choice([0, 9, 25, 50]) for _ in range(300)},
+    ]
+    for fps in map(sorted, sets):
+        for pairs in (4, 16, 1024):  # split to the end, in part, and not at all
+            monkeypatch.setattr(simhash, "PAIRS", pairs)
+            u, v = simhash._posting_edges(np.array(fps, np.uint64))
+            assert joined(fps, zip(map(int, u), map(int, v), strict=True)) == wanted(fps)
+
+
+def test_a_split_posting_tallies_few_pairs(monkeypatch):
+    seen, whole = [], simhash._linked
+    monkeypatch.setattr(simhash, "_linked", lambda x, y: (seen.append(len(x) * len(y)), whole(x, y))[1])
+    fps = np.unique(np.random.default_rng(4).integers(0, 1 << 32, 30_000, np.uint64))
+    simhash._posting_edges(fps)
+    assert sum(seen) < len(fps) ** 2 / 20
+
+
+def test_large_postings_are_passed_on_wherever_they_stand(monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 8)
+    small = [2, 3, (1 << 63) - 1]
+    tags = [1] * 40 + [2] * 3 + [3] * 12 + [3] * 2 + [4] * 20
+    parts = [7] * 40 + [7] * 3 + [7] * 12 + [8] * 2 + [0] * 20
+    fps = [*range(40), *small, *range(100, 112), 5, 7, *range(1000, 1020)]
+    batch = pa.RecordBatch.from_arrays([pa.array(tags, pa.int32()), pa.array(parts, pa.int64()), pa.array(fps, pa.int64())], names=["tag", "part", "fp"])
+    for size in (3, 10, 40, len(tags)):
+        rows = [r for b in simhash._solve(False)(batch.slice(a, size) for a in range(0, len(tags), size)) for r in b.to_pylist()]
+        passed = sorted((r["tag"], r["u"]) for r in rows if r["v"] is None)
+        assert passed == [(1, f) for f in range(40)] + [(3, f) for f in range(100, 112)] + [(4, f) for f in range(1000, 1020)]
+        assert [{r["u"], r["v"]} for r in rows if r["v"] is not None] == [{2, 3}, {5, 7}]
+
+
+def test_large_postings_keep_all_links_of_a_table(spark, monkeypatch):
     rng = random.Random(8)
-    fps = sorted({rng.getrandbits(7) << rng.choice([0, 8, 24]) for _ in range(150)} | {rng.getrandbits(60) for _ in range(50)})
+    fps = sorted({rng.getrandbits(7) << rng.choice([0, 8, 24]) for _ in range(150)} | {1 << a | 1 << b | 1 << c for a in range(4) for b in range(8, 12) for c in range(16, 20)} | {rng.getrandbits(60) for _ in range(50)})
     whole = spark.createDataFrame([(f,) for f in fps], "fp long")
     monkeypatch.setattr(simhash, "_solve", _with_bucket(simhash._solve, 8))
-    got = {f: f for f in fps} | {r.node: r.root for r in components(simhash.fingerprint_links(whole)).collect()}
+    found = simhash.fingerprint_links(whole)
+    assert joined(fps, [(r.u, r.v) for r in found.collect()]) == wanted(fps)
+    roots = {f: f for f in fps} | {r.node: r.root for r in components(found).collect()}
     want = plain_groups(fps, fps)
-    assert {frozenset(f for f in fps if got[f] == g) for g in {*got.values()}} == {frozenset(f for f in fps if want[f] == g) for g in {*want.values()}}
+    assert {frozenset(f for f in fps if roots[f] == g) for g in {*roots.values()}} == {frozenset(f for f in fps if want[f] == g) for g in {*want.values()}}
 
 
 def _with_bucket(solve, limit):
