@@ -39,6 +39,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def keep_rows(docs: DataFrame, id_col: str, mark: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each pair of id and mark in ``kept``, with all its columns.
+
+    Texts are shuffled once, by one key for id and mark. Rows that agree in it become one before the shuffle, so none is hot.
+    """
+    name = fresh(docs, "_row")
+    key = lambda i, m: F.sha2(F.concat(F.coalesce(F.concat(F.lit("id "), i.cast("string")), F.lit("none")), F.lit(" "), m.cast("string")), 256)
+    marked = docs.withColumn(name, key(F.col(id_col), mark)).dropDuplicates([name])
+    wanted = kept.select(key(*(F.col(c) for c in kept.columns)).alias(name))
+    return marked.join(wanted, name, "left_semi").drop(name)
+
+
 def fold_case(col: Column) -> Column:
     """Lower-case A-Z and nothing else. A text of as many bytes as characters is ASCII, where ``lower`` does just that, and faster."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import LOWER, UPPER, binary_rows, cut, fold_case, fresh, small_batches, table
+from eventry.llm._shared import LOWER, UPPER, binary_rows, cut, fold_case, keep_rows, small_batches, table
 
 _LEAF = "id long, digest binary, n_bytes long, run long, pos long"
 _RUN = "run long, digest binary, n_bytes long, has_id int, id long, pos_run long, pos long, n long"
@@ -104,12 +104,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one per group of equal texts, with all their columns."""
-    sha = fresh(docs, "_sha")
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn(sha, F.sha2(fold_case(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    same = marked[id_col].eqNullSafe(kept["_kept_id"]) & (marked[sha] == kept["_kept_sha"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
+    """The rows of ``docs`` that stay: one per group of equal texts, with all their columns.
+
+    The largest id of a group stays, nulls being smaller than all; of rows that agree in id and folded text, any one. Null and empty
+    texts are equal; long texts count whole; an empty table gives no rows; other columns are passed on, whatever their names.
+    """
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
+    return keep_rows(docs, id_col, F.sha2(fold_case(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256), kept)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
