@@ -58,6 +58,102 @@ def test_every_letter_of_a_long_run_is_read():
     assert abs(one - two) > 1e-6
 
 
+def plain_slots(word, lexicon):
+    """The features of a word, one by one."""
+
+    def slot(kind, letters):
+        h = kind + 1
+        for c in letters:
+            h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+            h ^= h >> 29
+        return h >> 64 - L.BITS
+
+    edged = f"<{word}>"
+    out = [slot(k, word[:k]) for k in (1, 2, 3)] + [slot(3 + k, word[-k:]) for k in (1, 2, 3)] + [slot(7, word)]
+    out += [slot(7 + k, edged[i : i + k]) for k in (2, 3) for i in range(len(edged) - k + 1)]
+    return out + [(1 << L.BITS) + k for k in lexicon.get(word, ())]
+
+
+def trained(seed=1):
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    rows = [" ".join(rng.choice(words) for _ in range(12)) + "." for _ in range(150) for words in (EN, DE)]
+    return next(L._train(iter([pa.RecordBatch.from_pydict({"t": rows, "lang": ["en", "de"] * 150})]))).to_pylist()[0]
+
+
+def test_features_equal_a_plain_loop():
+    words = ["a", "ab", "abc", "wasser", "日本語", "é", "x" * 40, "the"]
+    flat, width = L.features(words, {"the": [0, 2], "ab": [1]})
+    ends = np.cumsum(width)
+    for w, a, b in zip(words, ends - width, ends, strict=True):
+        assert flat[a:b].tolist() == plain_slots(w, {"the": [0, 2], "ab": [1]})
+
+
+def test_scores_equal_brute_force(monkeypatch):
+    import itertools
+    import json
+
+    import pyarrow as pa
+
+    model = trained()
+    m, w = json.loads(model["model"]), np.frombuffer(model["w"], np.float32).reshape(-1, 2).astype(float)
+    texts = ["The house water. der the haus", "denken Wasser mit house! zzz", "日本 the"]
+    want = []
+    for t in texts:
+        posts = []
+        for sentence in t.lower().replace("!", ".").split("."):
+            words = sentence.split()
+            if not words:
+                continue
+            emit = np.array([w[plain_slots(x, m["lexicon"])].sum(axis=0) for x in words])
+            paths = list(itertools.product(range(2), repeat=len(words)))
+            score = np.array([sum(emit[i, k] for i, k in enumerate(p)) + sum(m["trans"][a][b] for a, b in zip(p, p[1:], strict=False)) for p in paths])
+            weight = np.exp(score - score.max())
+            weight /= weight.sum()
+            posts += [[sum(x for p, x in zip(paths, weight, strict=True) if p[i] == k) for k in range(2)] for i in range(len(words))]
+        want.append(np.mean(posts, axis=0))
+    for cells in (1, L.CELLS):
+        monkeypatch.setattr(L, "CELLS", cells)
+        names, scores = L.Labeller(model)(pa.array(texts))
+        assert names.tolist() == [m["names"][int(np.argmax(x))] for x in want] and np.allclose(scores, [x.max() for x in want], atol=1e-5)
+
+
+def test_words_of_switched_text(docs):
+    import json
+
+    model = trained(2)
+    trans = np.array(json.loads(model["model"])["trans"])
+    assert trans[0, 0] > trans[0, 1] and trans[1, 1] > trans[1, 0] and np.isfinite(trans).all()
+    switched = [(1, "the water which think der haus wasser schlafen there running"), (2, None), (3, "haus 12 house"), (None, "")]
+    by = {r.doc_id: [(w.word, w.lang) for w in r.words] for r in L.label_words(docs(switched), model).collect()}
+    assert [x for _, x in by[1]] == ["en"] * 4 + ["de"] * 4 + ["en"] * 2 and [w for w, _ in by[1]] == switched[0][1].split()
+    assert by[2] == by[None] == [] and [w for w, _ in by[3]] == ["haus", "house"]
+
+
+def test_a_text_whose_language_changes_after_forty_letters(docs):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    runs = {k: ["".join(rng.choice(letters) for _ in range(30)) for _ in range(150)] for k, letters in (("en", "abcdefgh"), ("de", "qrstuvwx"))}
+    batch = pa.RecordBatch.from_pydict({"t": [t for k in runs for t in runs[k]], "lang": [k for k in runs for _ in runs[k]]})
+    model = next(L._train(iter([batch]))).to_pylist()[0]
+    text = "abcdefgh" * 5 + "qrstuvwx" * 30
+    assert [w["lang"] for w in L.Labeller(model).words(pa.array([text]))[0]] == ["en"] + ["de"] * 6
+    assert L.Labeller(model)(pa.array([text]))[0][0] == "de"
+
+
+def test_the_sample_is_bounded_and_whole(docs, monkeypatch):
+    rows = [(i, f"text number {i}", "en" if i % 2 else "de", "s") for i in range(400)] + [(1000 + i, "one hot text", "en", "s") for i in range(300)]
+    rows += [(2000 + i, f"long {i} " + "wörter " * 5_000, "xx", "s") for i in range(3)] + [(3000, None, "en", "s"), (3001, "no language", None, "s")]
+    got = L.sample(docs(rows), max_rows=50).toPandas()
+    assert got.groupby("lang").size().le(50).all() and set(got.lang) == {"en", "de", "xx"} and (got.lang == "xx").sum() == 3
+    assert not got.duplicated().any() and got.t.str.len().max() <= L.MAX_CHARS and (got.lang == "de").sum() > 40
+    small = L.sample(docs(rows), max_rows=50, all_rows=30).toPandas()
+    assert small.groupby("lang").size().to_dict() == {"de": 10, "en": small.groupby("lang").size()["en"], "xx": 3} and len(small) <= 30
+    assert L.sample(docs([])).count() == 0
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
