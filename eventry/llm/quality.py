@@ -5,14 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventry.llm._shared import held_out, small_batches, table
 
 BITS = 18
-# The fit's bounds: labelled rows that the log-count ratios and the hinge loss are fitted on, and sweeps over them.
-MAX_ROWS, SWEEPS, COST, SMOOTH = 8_000, 8, 1.0, 1.0
+# The fit's bounds: labelled rows that the log-count ratios and the hinge loss are fitted on, characters of the window that a row gives.
+MAX_ROWS, MAX_CHARS = 8_000, 20_000
+SWEEPS, COST, SMOOTH = 8, 1.0, 1.0
+# Words of an n-gram whose pattern of equal words is an indicator.
+PATTERN = 6
+# Words of more bytes are hashed one by one.
+LONGEST = 64
 CUT = 0.7
 
 
@@ -22,13 +28,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit polynomial hash of each string, over its bytes and its length."""
+    """A 64-bit hash of each string: a polynomial over its bytes and its length, of strings beyond LONGEST bytes XXH64."""
     data = pc.cast(words, pa.large_binary())
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
     raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8)
     starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
     h = (ends - starts).astype(np.uint64)
-    alive, at = np.flatnonzero(ends > starts), 0
+    for i in np.flatnonzero(ends - starts > LONGEST):
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    alive, at = np.flatnonzero((ends > starts) & (ends - starts <= LONGEST)), 0
     while len(alive):
         h[alive] = h[alive] * np.uint64(0x100000001B3) + raw[starts[alive] + at]
         at += 1
@@ -36,12 +44,23 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return _mix(h)
 
 
+def _patterns(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of the PATTERN words from each start the first equal one of each, as digits of one number."""
+    code = np.zeros(len(starts), np.uint64)
+    for i in range(PATTERN):
+        first = np.full(len(starts), i, np.uint64)
+        for j in reversed(range(i)):
+            first[words[starts + i] == words[starts + j]] = j
+        code = code * np.uint64(PATTERN) + first
+    return code
+
+
 def ngram_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-gram indicators of whole texts: row numbers and feature numbers, each pair once, sorted.
 
     The n-grams are the words as they stand, their shapes (letters to classes, so that case, digits and marks count without the
-    word), pairs of neighbouring shapes, pairs of words, and patterns of equal neighbours; words are runs of characters other
-    than white space.
+    word), pairs of neighbouring words and of neighbouring shapes, and the patterns of PATTERN neighbouring words (which of them are
+    equal, whatever they are); words are runs of characters other than white space.
     """
     lists = pc.split_pattern_regex(pc.cast(pc.fill_null(texts, ""), pa.large_string()), r"[ \t-\r]+")
     coded = pc.dictionary_encode(lists.values[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(lists) else lists.values)
@@ -58,17 +77,9 @@ def ngram_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     same = row[1:] == row[:-1]
     salt = lambda h, n: _mix(h + np.uint64(n))
     pair = lambda h: _mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[same]
-    # N-grams as patterns of equal words (xx, xxx), and how common xx is, in powers of two.
-    twice = same & (w[1:] == w[:-1])
-    thrice = twice[1:] & twice[:-1]
-    twice_at, thrice_at = row[1:][twice], row[2:][thrice]
-    n = len(lists)
-    part = np.bincount(twice_at, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
-    level = np.floor(np.log2(np.maximum(part, 2.0**-12))).astype(np.int64) + 64
-    some = np.flatnonzero(part > 0)
-    fixed = lambda code, at: np.full(len(at), code, np.uint64)
-    feats = np.concatenate([salt(w, 1), salt(s, 2), salt(pair(w), 3), salt(pair(s), 4), salt(fixed(2, twice_at), 5), salt(fixed(3, thrice_at), 5), salt(level[some].astype(np.uint64), 6)])
-    rows = np.concatenate([row, row, row[1:][same], row[1:][same], twice_at, thrice_at, some])
+    whole = np.flatnonzero(row[PATTERN - 1 :] == row[: len(row) - PATTERN + 1]) if len(row) >= PATTERN else np.zeros(0, np.int64)
+    feats = np.concatenate([salt(w, 1), salt(s, 2), salt(pair(w), 3), salt(pair(s), 4), salt(_patterns(w, whole), 5)])
+    rows = np.concatenate([row, row, row[1:][same], row[1:][same], row[whole]])
     both = np.unique((rows.astype(np.int64) << BITS) | (feats >> np.uint64(64 - BITS)).astype(np.int64))
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -137,12 +148,25 @@ def _train(batches):
     yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([ratio.astype(np.float32).tobytes()]), *(pa.array([float(x)]) for x in (bias, slope, offset))], names=["w", "ratio", "bias", "slope", "offset"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", max_rows: int = MAX_ROWS):
-    """A model from at most about ``max_rows`` labelled rows, chosen by a hash of their id; one row, of 2 MB whatever the input."""
+def sample(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """``t, y, h``: the ``max_rows`` different labelled windows with the smallest hashes.
+
+    A row gives one window of at most MAX_CHARS characters, whose place in a longer text its hash tells; equal windows with equal labels
+    count once. Rows whose hash is far from small go first, so only about twice the sample is sorted.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    h = F.xxhash64(text, F.lit("window"))
+    at = F.pmod(h, F.greatest(F.ceil(F.length(text) / MAX_CHARS), F.lit(1))) * MAX_CHARS + 1
     n = labelled.count()
-    share = min(1.0, max_rows / max(n, 1))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
-    one = chosen.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("_o")).repartition(1).sortWithinPartitions("_o", "t")
+    # The hash as a share of its range: 64 bits, so even few of 10**15 rows are told apart.
+    small = (h / F.lit(2.0**64) + 0.5) * n < 2 * max_rows
+    few = labelled.where(small).select(F.substring(text, at.cast("int"), F.lit(MAX_CHARS)).alias("t"), F.col(label_col).cast("int").alias("y"), h.alias("h"))
+    return few.groupBy("t", "y").agg(F.min("h").alias("h")).orderBy("h", "t", "y").limit(max_rows)
+
+
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS):
+    """A model from the ``sample`` of the labelled rows, fitted in one task: one row, of 2 MB whatever the input. Equal inputs give equal models."""
+    one = sample(labelled, text_col, label_col, max_rows).repartition(1).sortWithinPartitions("h", "t", "y")
     found = one.select("t", "y").mapInArrow(_train, "w binary, ratio binary, bias double, slope double, offset double").first()
     return found or next(_train([])).to_pylist()[0]
 
@@ -170,13 +194,14 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Train on the labelled rows that are not held out, then score every row: ``doc_id, held_out, score, predicted``.
 
-    Repeated rows give repeated rows; rows with a null id are never learnt from; conflicting labels of an id count as its largest; without labels
-    all scores are 0.5; an empty table gives no rows; other columns are ignored.
+    Null and empty texts get the bias alone; long texts count whole; repeated rows give repeated rows; ids are whole numbers, or null; rows with
+    a null id are never learnt from; conflicting labels of an id count as its largest; without labels all scores are 0.5; an empty table
+    gives no rows; other columns are ignored.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).where(~held_out("_d"))
     labelled = texts.join(known, F.col("_d") == F.col("_id")).select("_d", "_t", "_y")
-    model = train(labelled, "_t", "_y", "_d")
+    model = train(labelled, "_t", "_y")
     return score(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

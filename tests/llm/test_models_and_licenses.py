@@ -193,6 +193,86 @@ def test_quality_on_held_out_rows(spark, docs, odd_texts):
     assert Q.classify_quality(docs([]), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def plain_ngrams(text):
+    """The hashed n-gram indicators of a text, one by one."""
+    import re
+
+    import regex
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ h >> 31) * 0x9E3779B97F4A7C15) & full
+        return h ^ h >> 29
+
+    def word(w):
+        b = w.encode()
+        h = len(b)
+        for c in b:
+            h = (h * 0x100000001B3 + c) & full
+        return mix(xxhash.xxh64_intdigest(b) if len(b) > Q.LONGEST else h)
+
+    words = [w for w in re.split("[ \t-\r]+", text or "") if w]
+    shapes = [re.sub("[0-9]+", "0", regex.sub(r"\p{Ll}+|\p{L}+", "x", regex.sub(r"\p{Lu}+", "X", w))) for w in words]
+    pair = lambda a, b: mix((a * 0xC2B2AE3D27D4EB4F + b) & full)
+    w, s = [*map(word, words)], [*map(word, shapes)]
+    feats = [mix(x + 1 & full) for x in w] + [mix(x + 2 & full) for x in s] + [mix(pair(a, b) + 3 & full) for a, b in zip(w, w[1:], strict=False)] + [mix(pair(a, b) + 4 & full) for a, b in zip(s, s[1:], strict=False)]
+    for a in range(len(w) - Q.PATTERN + 1):
+        some = words[a : a + Q.PATTERN]
+        feats.append(mix(sum(some.index(x) * Q.PATTERN ** (Q.PATTERN - 1 - i) for i, x in enumerate(some)) + 5))
+    return sorted({x >> 64 - Q.BITS for x in feats})
+
+
+def test_indicators_equal_a_plain_loop(odd_texts):
+    import pyarrow as pa
+
+    texts = [t for _, t in odd_texts] + ["One TWO three3 $$$ ünï 日本語 a a a", "x" * 100_000 + " y", "日" * 30 + " b", "a" * 64 + " " + "a" * 65]
+    row, feature = Q.ngram_features(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert feature[row == i].tolist() == plain_ngrams(t)
+
+
+def test_ratios_and_coordinate_descent_equal_plain_loops(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(Q, "BITS", 6)
+    rows = [np.unique(rng.integers(0, 64, 12)) for _ in range(40)] + [np.zeros(0, int)]
+    labels = np.array([1.0 if 5 in x or 9 in x else -1.0 for x in rows])
+    pos, neg = [1 + sum(i in x for x, y in zip(rows, labels, strict=True) if y > 0) for i in range(64)], [1 + sum(i in x for x, y in zip(rows, labels, strict=True) if y < 0) for i in range(64)]
+    ratio = [float(np.log(p / sum(pos)) - np.log(n / sum(neg))) for p, n in zip(pos, neg, strict=True)]
+    vectors = []
+    for x in rows:
+        v = [ratio[i] for i in x]
+        norm = max(sum(z * z for z in v) ** 0.5, 1e-9)
+        vectors.append({int(i): z / norm for i, z in zip(x, v, strict=True)})
+    cap = [len(rows) / (2 * (labels == y).sum()) for y in labels]
+    for sweeps in (1, 400):
+        monkeypatch.setattr(Q, "SWEEPS", sweeps)
+        w, bias, alpha, order = [0.0] * 64, 0.0, [0.0] * len(rows), np.random.default_rng(7)
+        for _ in range(sweeps):
+            for i in order.permutation(len(rows)):
+                g = labels[i] * (sum(w[k] * z for k, z in vectors[i].items()) + bias) - 1
+                new = min(max(alpha[i] - g / (sum(z * z for z in vectors[i].values()) + 1), 0.0), cap[i])
+                for k, z in vectors[i].items():
+                    w[k] += (new - alpha[i]) * labels[i] * z
+                bias, alpha[i] = bias + (new - alpha[i]) * labels[i], new
+        got_w, got_ratio, got_bias, slope, _ = Q.fit(rows, labels)
+        assert np.allclose(got_ratio, ratio) and np.allclose(got_w, w, atol=1e-4) and abs(got_bias - bias) < 1e-4 and slope > 0
+    # At the optimum the duality gap vanishes.
+    loss = sum(c * max(0.0, 1 - y * (sum(w[k] * z for k, z in v.items()) + bias)) for c, y, v in zip(cap, labels, vectors, strict=True))
+    assert abs((sum(z * z for z in w) + bias * bias) / 2 + loss - (sum(alpha) - (sum(z * z for z in w) + bias * bias) / 2)) < 1e-2
+
+
+def test_the_labelled_sample_is_bounded(docs):
+    rows = [(i, f"text {i}", "en", "s") for i in range(300)] + [(5, "one text", "en", "s")] * 200 + [(900, "long " * 9_000, "en", "s"), (901, None, "en", "s")]
+    d = docs(rows).selectExpr("*", "doc_id % 2 AS quality")
+    got = Q.sample(d, max_rows=100).toPandas()
+    assert len(got) <= 100 and not got.duplicated(["t", "y"]).any() and got.t.str.len().max() <= Q.MAX_CHARS
+    everything = Q.sample(d, max_rows=1_000).toPandas()
+    assert len(everything) == 303 and (everything.t == "one text").sum() == 1 and (everything.t == "").sum() == 1
+    assert {*got.h} <= {*sorted(everything.h)[:100]}
+
+
 def test_a_file_takes_its_own_licence_or_the_nearest_above(spark):
     gpl, mit = S.TEMPLATES["GPL-3.0"], S.TEMPLATES["MIT/short"]
     rows = [
