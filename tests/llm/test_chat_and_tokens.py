@@ -70,7 +70,9 @@ def test_segmentation_equals_brute_force():
             assert (got[2], got[1]) == brute(w, pieces, seg.unknown)
 
 
-def test_equals_the_library_in_unigram_mode():
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer library on the same pieces and scores, in unigram mode."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -82,12 +84,23 @@ def test_equals_the_library_in_unigram_mode():
     for piece in model.pieces:
         if piece.type == 1:
             piece.score = scores[piece.piece]
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_equals_the_library_in_unigram_mode(library):
     seg = T.Segmenter(T.load_vocabulary())
-    for text in ["Hello world", "the thing heonest ertion", "a b c", "unbelievable tokenisation", "Lorem ipsum dolor sit amet", "x", "étionreau le ouai", "aaaaaaa", "for the of and", "a  b", "日本 x", "line\nbreak  and\ttab", "1234 5,678.90 $$$", "   lead", "Thlyouble | inesea | ononedth"]:
+    for text in ["Hello world", "the thing heonest ertion", "a b c", "unbelievable tokenisation", "Lorem ipsum dolor sit amet", "x", "étionreau le ouai", "aaaaaaa", "for the of and", "a  b", "日本 x", "line\nbreak  and\ttab", "1234 5,678.90 $$$", "   lead", "Thlyouble | inesea | ononedth", "𓀀 the \n" * 300, "a" * 5000]:
         assert seg.text(text)[0] == len(library.encode(text)), text
 
 
+def test_all_documents_equal_the_library(library):
+    import pyarrow.parquet as pq
+
+    seg = T.Segmenter(T.load_vocabulary())
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    assert [seg.text(t)[0] for t in texts] == [len(x) for x in library.encode(texts)]
+
+
 def test_token_rows(docs, odd_texts):
     pieces = [("▁", -1.0), ("a", -1.0), ("▁a", -1.5), ("b", -1.0)]
     got = T.count_tokens(docs([*odd_texts, (50, "a b"), (51, "日")]), pieces).toPandas().sort_values("doc_id")
