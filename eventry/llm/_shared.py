@@ -51,6 +51,17 @@ def keep_rows(docs: DataFrame, id_col: str, mark: Column, kept: DataFrame) -> Da
     return marked.join(wanted, name, "left_semi").drop(name)
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner", parts: int = 64) -> DataFrame:
+    """Join rows with at most one row per key, dealt by the key and a hash of ``by``: a hot key is spread over ``parts`` tasks.
+
+    The one row goes down to each part of its key first. Null keys meet nothing.
+    """
+    part = fresh(many, "_part")
+    dealt = many.withColumn(part, F.pmod(F.xxhash64(*by), F.lit(parts)))
+    down = dealt.select(part, *keys).distinct().join(one, keys)
+    return dealt.join(down, [part, *keys], how).drop(part)
+
+
 def fold_case(col: Column) -> Column:
     """Lower-case A-Z and nothing else. A text of as many bytes as characters is ASCII, where ``lower`` does just that, and faster."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import cut, table
+from eventry.llm._shared import cut, spread_join, table
 from eventry.llm.license_texts import HEADERS, WORDS
 
 # Usual notices of common licences, by SPDX name.
@@ -15,21 +15,26 @@ TEMPLATES = {
     "Apache-2.0/short": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "BSD-3-Clause/short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal license.",
     "CC-BY-4.0": "Licensed under the Creative Commons Attribution 4.0 International License, CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     "MIT/short": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
     "proprietary": "All rights reserved.",
 }
-NOTICE = r"(?i)licen[cs]e|copyright|all rights reserved|hereby granted|redistribution and use"
+NOTICE = r"(?i)licen[cs]e|copyright|all rights reserved|hereby granted|redistribution and use|unencumbered software"
 # The same where lines are wrapped; and the marks of comment lines.
 WRAPPED = NOTICE.replace(" ", "[^a-z0-9]+")
 COMMENT = r"(?m)^[ \t]*(?://|#|/?\*|--|;|%)(.*)$"
-LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+# Licence files: LICENSE, COPYING, NOTICE or UNLICENSE, with a name or version after a hyphen, before a text file's suffix.
+LICENCE_FILE = r"(?i)(^|/)((un)?licen[cs]e|copying|notice)(-[a-z0-9.]+)?(\.(txt|md|rst|html|lesser|[0-9]))?$"
+SPDX, SPDX_END = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]+)", r"(-only|-or-later|\+)$"
 THRESHOLD = 0.8
 # Words whose idf goes to all tasks; they only make a bound tighter.
 COMMON = 20_000
@@ -59,14 +64,16 @@ def _blocks(text: Column) -> Column:
 def notices(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every notice of every whole text (``doc_id, path, notice, block, notice_id``); a licence file is one as a whole, too.
 
-    ``block`` tells the blocks of adjoining lines, and whole licence files, from single lines and sentences.
+    ``block`` tells the blocks of adjoining lines, and whole licence files, from single lines and sentences; it is null for SPDX tags,
+    whose notice is the licence that they name.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text.alias("_t"))
     whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array("_t")).otherwise(F.array().cast("array<string>"))
-    as_rows = lambda found, block: F.transform(found, lambda n: F.struct(n.alias("notice"), F.lit(block).alias("block")))
-    both = F.concat(as_rows(F.concat(_sentences(F.col("_t")), whole), False), as_rows(F.array_distinct(F.concat(_blocks(F.col("_t")), whole)), True))
-    found = f.where(F.col("_t").rlike(WRAPPED) | F.col("path").rlike(LICENCE_FILE)).select("doc_id", "path", F.explode(both).alias("n"))
+    as_rows = lambda found, block: F.transform(found, lambda n: F.struct(n.alias("notice"), F.lit(block).cast("boolean").alias("block")))
+    tags = F.transform(F.regexp_extract_all("_t", F.lit(SPDX), F.lit(1)), lambda x: F.regexp_replace(x, SPDX_END, ""))
+    all_ = F.concat(as_rows(F.concat(_sentences(F.col("_t")), whole), False), as_rows(F.array_distinct(F.concat(_blocks(F.col("_t")), whole)), True), as_rows(tags, None))
+    found = f.where(F.col("_t").rlike(WRAPPED) | F.col("path").rlike(LICENCE_FILE)).select("doc_id", "path", F.explode(all_).alias("n"))
     return found.select("doc_id", "path", "n.notice", "n.block").withColumn("notice_id", F.unhex(F.sha2("notice", 256)))
 
 
@@ -112,7 +119,7 @@ def _nearest(words: DataFrame, df: DataFrame, total: int, own: DataFrame, thresh
     idf = F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
     per_template = own.join(df, "word", "left").withColumn("w", F.col("tf") * idf)
     per_template = per_template.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license")))).select("word", "license", (F.col("w") / F.col("norm")).alias("tw"))
-    weighted = words.join(df, "word", "left").select("notice_id", "word", (F.col("tf") * idf).alias("w"))
+    weighted = spread_join(words, df, ["word"], ["notice_id"], "left").select("notice_id", "word", (F.col("tf") * idf).alias("w"))
     norms = weighted.groupBy("notice_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # The templates are a fixed list, so their side has a fixed size.
     dots = weighted.join(F.broadcast(per_template), "word").groupBy("notice_id", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -140,14 +147,17 @@ def score_notices(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The licence of every file: its own notice nearest to a template, or that of the nearest directory above.
 
-    A directory has the licence of its licence files (LICENSE, COPYING, NOTICE; the best score, then the first name). Directories are resolved first, each
-    distinct one once; files then take their directory's. Returns one row per input row:
-    ``doc_id, path, own_license, own_score, license, from_dir`` (from_dir is null unless the licence is inherited). Null texts have no notice; a null path has
-    no directory; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
+    A file that names its licence by an SPDX tag has that. A directory has the licence of its licence files (the best score, then the first
+    name). Directories are resolved first, each distinct one once; files then take their directory's. Returns one row per input row:
+    ``doc_id, path, own_license, own_score, license, from_dir`` (from_dir is null unless the licence is inherited). Null and empty texts have no
+    notice; long texts count whole; of equal scores the first name wins; a null path has no directory; repeated rows give repeated rows; an
+    empty table gives no rows; other columns are ignored. Frequent notices, words and directories are dealt in parts.
     """
-    found = cut(notices(files, path_col, text_col, id_col))  # texts are read once; what is left is small
+    found = cut(notices(files, path_col, text_col, id_col))  # texts are read once; licence files and notices go on
     scored = cut(score_notices(found))
-    own = found.select("doc_id", "path", "notice_id", "block").join(scored, ["notice_id", "block"]).groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
+    near = spread_join(found.select("doc_id", "path", "notice_id", "block"), scored, ["notice_id", "block"], ["doc_id", "path"]).select("doc_id", "path", "license", "score")
+    tagged = found.where("block IS NULL").select("doc_id", "path", F.col("notice").alias("license"), F.lit(1.0).alias("score"))
+    own = near.union(tagged).groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
     own = cut(own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_p"), F.col("b.l").alias("own_license"), (-F.col("b.s")).alias("own_score")))
     parent = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).when(p.isNotNull(), "")
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"))
@@ -156,18 +166,27 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     dirs = f.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    above = dirs.select("dir", F.posexplode(up).alias("depth", "above")).join(licensed, "above")
+    above = spread_join(dirs.select("dir", F.posexplode(up).alias("depth", "above")), licensed, ["above"], ["dir"])
     nearest = above.groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n")).select("dir", F.col("n.above").alias("_above"), F.col("n.dir_license").alias("_inherited"))
-    return f.join(nearest, "dir", "left").select(
+    return spread_join(f, nearest, ["dir"], ["doc_id", "path"], "left").select(
         "doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "_inherited").alias("license"), F.when(F.col("own_license").isNull(), F.col("_above")).alias("from_dir")
     )
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: its rows stand in directories of 50 per source, the first of each as its licence file."""
+    """The table has no paths: directories hold 50 rows, 20 of them stand in one, 10 of those in another.
+
+    The first row of each of the larger directories, and of every second small one, is its licence file.
+    """
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit("/"), name)
+    i = F.col("doc_id")
+    top, mid, low = (F.floor(i / n).cast("string") for n in (10_000, 1_000, 50))
+    path = (
+        F.when(i % 10_000 == 0, F.concat_ws("/", top, F.lit("LICENSE")))
+        .when(i % 1_000 == 0, F.concat_ws("/", top, mid, F.lit("LICENSE")))
+        .when(i % 100 == 0, F.concat_ws("/", top, mid, low, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", top, mid, low, F.concat(i.cast("string"), F.lit(".txt"))))
+    )
     return scan_licenses(docs.withColumn("path", path))
 
 
@@ -177,11 +196,11 @@ _rows = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
 _NOTICE_SQL = NOTICE.replace("(?i)", "")
 ORACLES = {
     "op3_license_scan": rf"""
-        WITH f AS (SELECT doc_id, coalesce(text, '') AS t,
-                          coalesce(source, 'none') || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 50 AS VARCHAR) || '/' ||
-                          CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM documents),
+        WITH p AS (SELECT doc_id, coalesce(text, '') AS t, CAST(doc_id // 10000 AS VARCHAR) AS top, CAST(doc_id // 1000 AS VARCHAR) AS mid, CAST(doc_id // 50 AS VARCHAR) AS low FROM documents),
+        f AS (SELECT doc_id, t, CASE WHEN doc_id % 10000 = 0 THEN top || '/LICENSE' WHEN doc_id % 1000 = 0 THEN top || '/' || mid || '/LICENSE'
+                                     WHEN doc_id % 100 = 0 THEN top || '/' || mid || '/' || low || '/LICENSE' ELSE top || '/' || mid || '/' || low || '/' || doc_id || '.txt' END AS path FROM p),
         c AS (SELECT doc_id, path, unnest([x FOR x IN regexp_split_to_array(t, '[.!?;]\s+|[\r\n]+') IF regexp_matches(x, '{_NOTICE_SQL}', 'i')] ||
-                     CASE WHEN doc_id % 50 = 0 THEN [t] ELSE [] END) AS notice FROM f),
+                     CASE WHEN ends_with(path, '/LICENSE') THEN [t] ELSE [] END) AS notice FROM f),
         d AS (SELECT notice, count(*) AS n FROM c GROUP BY notice),
         total AS (SELECT coalesce(sum(n), 0) AS total FROM d),
         words AS (SELECT notice, word, count(*) AS tf, any_value(n) AS n FROM (SELECT notice, n, unnest({_SQL_TOKENS.format('notice')}) AS word FROM d) GROUP BY notice, word),
@@ -194,10 +213,14 @@ ORACLES = {
         s AS (SELECT notice, split_part(license, '/', 1) AS license, round(sum(w.w * tw) / any_value(norm), 6) AS score
               FROM w JOIN t2 USING (word) JOIN norms USING (notice) GROUP BY notice, t2.license),
         b AS (SELECT * FROM s WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, license) = 1),
-        own AS (SELECT doc_id, path, license AS own_license, score AS own_score FROM c JOIN b USING (notice)
-                QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, license) = 1),
-        dirs AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, own_license AS dir_license FROM own WHERE doc_id % 50 = 0)
-        SELECT f.doc_id, f.path, own_license, own_score, coalesce(own_license, dir_license) AS license,
-               CASE WHEN own_license IS NULL AND dir_license IS NOT NULL THEN dir END AS from_dir
-        FROM f LEFT JOIN own USING (doc_id, path) LEFT JOIN dirs ON regexp_replace(f.path, '/[^/]*$', '') = dir"""
+        o AS (SELECT doc_id, path, license, score FROM c JOIN b USING (notice) UNION ALL
+              SELECT doc_id, path, regexp_replace(x, '{SPDX_END}', ''), 1.0 FROM (SELECT doc_id, path, unnest(regexp_extract_all(t, '{SPDX}', 1)) AS x FROM f)),
+        own AS (SELECT doc_id, path, license AS own_license, score AS own_score FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, license) = 1),
+        dirs AS (SELECT regexp_replace(path, '/[^/]*$', '') AS above, own_license AS dir_license FROM own WHERE ends_with(path, '/LICENSE')
+                 QUALIFY row_number() OVER (PARTITION BY above ORDER BY own_score DESC, own_license) = 1),
+        up AS (SELECT doc_id, path, i, array_to_string(parts[1:i], '/') AS above FROM (
+                 SELECT doc_id, path, parts, unnest(range(0, len(parts))) AS i FROM (SELECT doc_id, path, string_split(path, '/') AS parts FROM f))),
+        near AS (SELECT doc_id, path, above, dir_license FROM up JOIN dirs USING (above) QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY i DESC) = 1)
+        SELECT f.doc_id, f.path, own_license, own_score, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN above END AS from_dir
+        FROM f LEFT JOIN own USING (doc_id, path) LEFT JOIN near USING (doc_id, path)"""
 }

@@ -1,7 +1,7 @@
 import random
 
+import duckdb
 import numpy as np
-import pytest
 
 from eventry.llm import language_id as L
 from eventry.llm import license_scan as S
@@ -290,12 +290,39 @@ def test_a_file_takes_its_own_licence_or_the_nearest_above(spark):
     assert S.scan_licenses(files.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(S.TEMPLATES))
-def test_templates_find_themselves(spark, name):
-    if name not in ("MIT/short", "Apache-2.0/short", "GPL-3.0"):
-        pytest.skip("one of each kind is enough")
-    files = spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate([S.TEMPLATES[name], "other text", *S.TEMPLATES.values()])], "doc_id long, path string, text string")
-    assert S.scan_licenses(files).where("doc_id = 0").first().own_license == name.split("/")[0]
+def test_templates_find_themselves(spark):
+    names = list(S.TEMPLATES)
+    files = spark.createDataFrame([(i, f"d/{i}.txt", S.TEMPLATES[n]) for i, n in enumerate(names)] + [(100, "d/x.txt", "other text")], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in S.scan_licenses(files).collect()}
+    assert got == {i: n.split("/")[0] for i, n in enumerate(names)} | {100: None}
+
+
+def test_tags_file_names_and_depths(spark):
+    rows = [
+        ("LICENSE", S.TEMPLATES["MPL-2.0"]), ("a/license_utils.py", S.TEMPLATES["MIT/short"]), ("a/b/c/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"), ("a/b/c/y.c", "int y;"), ("a/COPYING.LESSER", S.TEMPLATES["LGPL-2.1"]),
+        ("a/b/z.c", "int z;"), ("q/w.c", "int w;"), ("q/r/LICENSE-MIT", "no notice"), ("q/r/UNLICENSE.md", S.TEMPLATES["Unlicense"]), ("q/r/s/t/v.c", None), ("a/bb/LICENSE.txt", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */"), ("a/bb/u.c", ""),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.own_license, r.license, r.from_dir) for r in S.scan_licenses(files).collect()}
+    assert got == {
+        "LICENSE": ("MPL-2.0", "MPL-2.0", None), "a/license_utils.py": ("MIT", "MIT", None), "a/b/c/x.c": ("GPL-2.0", "GPL-2.0", None), "a/b/c/y.c": (None, "LGPL-2.1", "a"), "a/COPYING.LESSER": ("LGPL-2.1", "LGPL-2.1", None),
+        "a/b/z.c": (None, "LGPL-2.1", "a"), "q/w.c": (None, "MPL-2.0", ""), "q/r/LICENSE-MIT": (None, "Unlicense", "q/r"), "q/r/UNLICENSE.md": ("Unlicense", "Unlicense", None), "q/r/s/t/v.c": (None, "Unlicense", "q/r"),
+        "a/bb/LICENSE.txt": ("MIT", "MIT", None), "a/bb/u.c": (None, "MIT", "a/bb"),
+    }
+
+
+def test_the_query_equals_its_sql(spark, tmp_path):
+    notices = [S.TEMPLATES[n] for n in ("MIT/short", "GPL-3.0", "BSD-3-Clause")] + ["SPDX-License-Identifier: Apache-2.0", "All rights reserved."]
+    rows = [(i, notices[i // 100 % 5] if i % 100 == 0 and i % 3 else (notices[i % 5] if i % 37 == 0 else (None if i % 11 == 0 else f"plain words {i}"))) for i in range(0, 12_000, 10)] + [(100, notices[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.op3_license_scan(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(S.ORACLES["op3_license_scan"]).df()
+    key = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False, name=None)))
+    assert key(got) == key(want)
+    depths = got.from_dir.dropna().str.count("/")
+    assert {*depths} == {0, 1, 2}
 
 
 GPL3 = """/*
