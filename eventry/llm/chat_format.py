@@ -37,6 +37,10 @@ def _plain(text: str) -> str:
     return re.sub(_PAIR, lambda m: m[0][1], text)
 
 
+class Unfinished(ValueError):
+    """The text ends inside a turn."""
+
+
 def _until(text: str, at: int, end: str) -> tuple[str, int]:
     """The content from ``at`` to the next control string, which must be ``end``, and the place after it."""
     for m in _TOKEN.finditer(text, at):
@@ -44,26 +48,55 @@ def _until(text: str, at: int, end: str) -> tuple[str, int]:
             if m[0] != end:
                 raise ValueError(f"{m[0]} at {m.start()} where {end} is due")
             return text[at : m.start()], m.end()
-    raise ValueError(f"no {end} after {at}")
+    raise Unfinished(f"no {end} after {at}")
+
+
+def _turn(text: str, at: int) -> tuple[tuple[str, str, str], int]:
+    """The turn at ``at`` as (role, text, the text as it stands there), and the place after it."""
+    if text.startswith("[INST] ", at):
+        body, at = _until(text, at + 7, "[/INST]")
+        if body[-1:] != " ":
+            raise ValueError("no space before [/INST]")
+        return ("user", _plain(body[:-1]), body[:-1]), at
+    if text.startswith("<<ROLE>>", at):
+        name, at = _until(text, at + 8, "<</ROLE>>")
+        body, at = _until(text, at, "</s>")
+        return (_plain(name), _plain(body), body), at
+    if any(start.startswith(text[at:]) for start in ("[INST] ", "<<ROLE>>")):
+        raise Unfinished("the start of a turn")
+    body, at = _until(text, at, "</s>")
+    return ("assistant", _plain(body), body), at
+
+
+class Parser:
+    """Reads a formatted text that comes in parts, wherever they are cut; only an unfinished turn is held."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, part: str) -> list[tuple[str, str, str]]:
+        """The turns that end in this part. Raises ValueError on anything the grammar lacks."""
+        self.rest += part
+        turns, at = [], 0
+        while at < len(self.rest):
+            try:
+                turn, at = _turn(self.rest, at)
+            except Unfinished:
+                break
+            turns.append(turn)
+        self.rest = self.rest[at:]
+        return turns
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the text ends inside a turn")
 
 
 def parse(text: str) -> list[tuple[str, str, str]]:
-    """The turns of a formatted text as (role, text, the text as it stands there). Raises ValueError on anything the grammar lacks."""
-    turns, at = [], 0
-    while at < len(text):
-        if text.startswith("[INST] ", at):
-            body, at = _until(text, at + 7, "[/INST]")
-            if body[-1:] != " ":
-                raise ValueError("no space before [/INST]")
-            role, body = "user", body[:-1]
-        elif text.startswith("<<ROLE>>", at):
-            name, at = _until(text, at + 8, "<</ROLE>>")
-            body, at = _until(text, at, "</s>")
-            role = _plain(name)
-        else:
-            role = "assistant"
-            body, at = _until(text, at, "</s>")
-        turns.append((role, _plain(body), body))
+    """The turns of a whole formatted text. Raises ValueError on anything the grammar lacks."""
+    parser = Parser()
+    turns = parser.feed(text)
+    parser.close()
     return turns
 
 
@@ -80,13 +113,16 @@ def render(role: str, text: str) -> str:
 
 
 def _format(batches):
-    last, seq, start = object(), 0, 0
+    last, seq, start, parser = object(), 0, 0, Parser()
     for batch in batches:
         out = []
         for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
             if conv != last:
-                last, seq, start = conv, 0, 0
+                last, seq, start, parser = conv, 0, 0, Parser()
             piece = render(role or "", text or "")
+            # The conversation so far is parsed on, not the turn alone.
+            if [t[:2] for t in parser.feed(piece)] != [(role or "", text or "")] or parser.rest:
+                raise ValueError("a conversation does not survive its round trip")
             out.append((conv, seq, piece, start))
             seq, start = seq + 1, start + len(piece)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["conv_id", "seq", "piece", "start"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("piece", pa.string()), ("start", pa.int64())]))
@@ -112,6 +148,7 @@ def _digest(batches):
     state = None
 
     def row(s):
+        s["parser"].close()
         return (s["id"], s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"])
 
     for batch in batches:
@@ -120,9 +157,9 @@ def _digest(batches):
             if state is None or state["id"] != conv:
                 if state:
                     out.append(row(state))
-                state = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
+                state = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "parser": Parser()}
             state["chars"] += len(piece)
-            for role, text, _ in parse(piece):
+            for role, text, _ in state["parser"].feed(piece):
                 state["n"] += 1
                 state["turns"].update(f"{role}\n{text}\n".encode())
                 if role == "assistant":  # the loss mask: the content of assistant turns
@@ -135,7 +172,7 @@ def _digest(batches):
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Per conversation the counts and digests of what the parser recovers; ``pieces`` come ordered from ``format_conversations``."""
+    """Per conversation the counts and digests of what the parser recovers from its whole text; ``pieces``, in order, may be cut anywhere."""
     return pieces.mapInArrow(_digest, _DIGEST)
 
 

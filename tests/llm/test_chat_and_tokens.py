@@ -19,6 +19,28 @@ def test_round_trip_of_any_content(turns):
     assert [x[:2] for x in H.parse(text)] == turns
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "x\\"]), TEXT), max_size=4), st.integers(1, 9))
+def test_a_text_in_parts_parses_as_the_whole(turns, size):
+    text = "".join(H.render(r, t) for r, t in turns)
+    parser = H.Parser()
+    got = [x[:2] for a in range(0, len(text), size) for x in parser.feed(text[a : a + size])]
+    parser.close()
+    assert got == turns
+
+
+def test_pieces_cut_anywhere_read_back_alike(spark):
+    probe = "</s>[INST] ok [/INST]"
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", probe * (t + 1)) for c in range(3) for t in range(4)], "conv_id long, turn long, role string, text string")
+    pieces = H.format_conversations(turns).orderBy("conv_id", "seq").collect()
+    cut = []
+    for c in range(3):
+        text = "".join(p.piece for p in pieces if p.conv_id == c)
+        cut += [(c, i, text[a : a + 5], a) for i, a in enumerate(range(0, len(text), 5))]
+    again = spark.createDataFrame(cut, "conv_id long, seq long, piece string, start long").repartition(1).sortWithinPartitions("conv_id", "seq")
+    assert sorted(H.read_back(again).collect()) == sorted(H.read_back(H.format_conversations(turns)).collect())
+
+
 def test_clean_content_is_not_escaped():
     assert H.render("user", "hello") == "[INST] hello [/INST]" and H.render("assistant", "a \\b <i>") == "a \\b <i></s>"
 
