@@ -51,7 +51,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """How many words of each document a mix takes.
 
     Each source is repeated as often as whole epochs fit its target; the rest is drawn without replacement: documents in the
-    order of the keys -ln(u) / weight, u a uniform hash of the id, as long as their sizes fit what is left (the document
+    order of the keys -ln(u) / weight, u a uniform hash of id and text (many rows may have no id, or the same), as long as their sizes fit what is left (the document
     at the edge is taken if that comes nearer). Prefix sums go over key buckets first and within a bucket next, so the
     largest source is spread over many tasks, and everything is a function of the rows: reruns agree.
 
@@ -61,7 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source is a source of its own, the last; repeated rows and null ids are ordered by id and size, and rows that agree in both by nothing
     that matters. An empty table gives no rows; other columns are ignored.
     """
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 1.0) / float(16**13 + 1)
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 1.0) / float(16**13 + 1)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), u.alias("_u"))
     w = F.lit(1.0)
     if weights is not None:
@@ -112,7 +113,7 @@ ORACLES = {
     "op9_mixing": rf"""
         WITH q AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
         d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                     -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1.0) / {16**13 + 1}.0)
+                     -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 13) AS BIGINT) + 1.0) / {16**13 + 1}.0)
                        / CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
               FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
