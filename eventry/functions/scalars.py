@@ -58,8 +58,10 @@ PENALTY_CLASSES = ((("double", "minor"), "double_minor"), (("major",), "major"),
 TRUE_WORDS = ("1", "true", "t", "yes", "y")
 GOALIE_ROLE = r"(?:^|\b)G(?:\b|$)|GOAL"
 
-CASED = tuple((f, t) for f, t in ABBREVIATIONS)
-DEFAULT_REWRITES = (*CASED, *((f"(?i){f}", t) for f, t in REPLACEMENTS), *((f"(?i){f}", " ") for f in REMOVALS))
+FORBIDDEN = ("successful", "miss pass", "miss shot", "blocked", "missed")
+FLAG_PREFIX, BRACKETS = r"^(?:shot|deflection)\s*_?\s*flags?\s*[:_\-\s]*", r"[\[\](){}]"
+
+DEFAULT_REWRITES = (*ABBREVIATIONS, *((f"(?i){f}", t) for f, t in REPLACEMENTS), *((f"(?i){f}", " ") for f in REMOVALS))
 
 
 def normalize_text(col: Column) -> Column:
@@ -73,8 +75,13 @@ def rewrite_text(col: Column, rules=DEFAULT_REWRITES) -> Column:
 
 
 def strip_leaks(col: Column, leaks: str = LEAKS) -> Column:
-    """Leaking words out, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col, f"(?i){leaks}", " "), r"\s+", " "))
+    """Lower case, leaking words out, white space collapsed; nothing left is null."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.lower(col), leaks, " "), r"\s+", " ")), F.lit(""))
+
+
+def clean_description(col: Column) -> Column:
+    """C01 to C03 in turn: a description normalised, rewritten by the rules, and stripped of what leaks."""
+    return strip_leaks(rewrite_text(normalize_text(col)))
 
 
 def has_leak(col: Column, leaks: str = LEAKS) -> Column:
@@ -83,9 +90,9 @@ def has_leak(col: Column, leaks: str = LEAKS) -> Column:
 
 def tokenize_flags(col: Column) -> Column:
     """Flags split on , ; | and /, without brackets and prefix; the first of equal ones stays. Null has none."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(col, F.lit(""))), "+-", "  "), r"[\[\](){}]", "")
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(col, F.lit(""))), "+-", "  "), BRACKETS, "")
     def clean(token: Column) -> Column:
-        bare = F.regexp_replace(F.trim(token), r"^(?:shot|deflection)\s*_?\s*flags?\s*[:_\-\s]*", "")
+        bare = F.regexp_replace(F.trim(token), FLAG_PREFIX, "")
         return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[ ,._:-]+|[ ,._:-]+$", "")
     return F.array_distinct(F.filter(F.transform(F.split(plain, r"[,;|/]"), clean), lambda t: t != ""))
 

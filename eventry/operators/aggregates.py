@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventry.operators.project import yes
+from eventry.operators.ranges import cumulate, quantiles
 from eventry.schema import DEFAULT, EventSchema
 
 
@@ -91,8 +92,10 @@ def duplicate_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 def fill_stats(df: DataFrame, cols: list[str], q: float | None = None, exact: bool = True) -> DataFrame:
     """Medians, or a linear quantile, of each column; with ``exact`` off a sketch of bounded size."""
     at = 0.5 if q is None else q
-    f = (lambda c: F.percentile(c, F.lit(at))) if exact else (lambda c: F.percentile_approx(c, at, 10_000))
-    return df.agg(*[f(F.col(c)).alias(c) for c in cols])
+    if not exact:
+        return df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in cols])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in cols])).alias("r")).select("r.*")
+    return quantiles(long, (at,)).agg(*[F.max(F.when(F.col("key") == c, F.col("q0"))).alias(c) for c in cols])
 
 
 def missing_report(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
@@ -104,8 +107,10 @@ def missing_report(df: DataFrame, cols: list[str], k: int | None = None) -> Data
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
-    """A13."""
-    return df.agg(*[(F.approx_count_distinct(c) if approximate else F.count_distinct(F.col(c))).alias(f"n_{c}") for c in cols])
+    """A13. Texts are counted by their SHA-256, so none is shuffled."""
+    kinds = dict(df.dtypes)
+    short = lambda c: F.unhex(F.sha2(c, 256)) if kinds[c] == "string" else F.col(c)
+    return df.agg(*[(F.approx_count_distinct(c) if approximate else F.count_distinct(short(c))).alias(f"n_{c}") for c in cols])
 
 
 def word_frequency(df: DataFrame, text: Column, k: int | None = None) -> DataFrame:
@@ -130,7 +135,8 @@ def sequence_summary(df: DataFrame, s: EventSchema = DEFAULT) -> DataFrame:
 
 def length_quantiles(summary: DataFrame, col: str = "n", qs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """Quantiles of sequence lengths."""
-    return summary.agg(*[F.percentile(F.col(col), F.lit(q)).alias(f"q{int(q * 100)}") for q in qs])
+    found = quantiles(summary.select(F.lit("all").alias("key"), F.col(col).alias("value")), qs)
+    return found.agg(*[F.max(f"q{i}").alias(f"q{int(q * 100)}") for i, q in enumerate(qs)])  # a row of nulls for no sequences
 
 
 def terminal_distribution(df: DataFrame, s: EventSchema = DEFAULT) -> DataFrame:
@@ -159,15 +165,10 @@ def log_loss(df: DataFrame, label: str, probs: list[str], eps: float = 1e-12) ->
 def _ranked(df: DataFrame, label: Column, score: str) -> DataFrame:
     """Rows and hits at each distinct score with running totals from the top.
 
-    Scores are counted first; the running sums go over score buckets and then inside each, so no task sees all scores.
+    Scores are counted first and dealt by ranges, so no task sees all scores, however crowded they are.
     """
     at = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label.cast("long")).alias("hits"))
-    at = at.withColumn("b", F.floor(F.col("s") * 1000))
-    sums = at.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("hits").alias("bh"))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    sums = sums.select("b", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("on"), F.coalesce(F.sum("bh").over(above), F.lit(0)).alias("oh"))
-    inside = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return at.withColumns({"cn": F.sum("n").over(inside), "ch": F.sum("hits").over(inside)}).join(sums, "b").select("s", "n", "hits", (F.col("cn") + F.col("on")).alias("cum_n"), (F.col("ch") + F.col("oh")).alias("cum_hits"))
+    return cumulate(at, [F.desc("s")], {"cum_n": F.col("n"), "cum_hits": F.col("hits")})
 
 
 def average_precision(df: DataFrame, label: Column, score: str) -> DataFrame:
@@ -235,7 +236,9 @@ def followed_by_table(df: DataFrame, sources, nxt: str, by: str, value: str, s:
     """By outcome, how many source rows are directly followed by ``nxt``, and the values of those rows."""
     d = df.withColumn("_f", yes(F.lead(s.type).over(s.window()) == nxt)).where(F.col(s.type).isin(*sources))
     v = F.when(F.col("_f"), F.col(value))
-    return d.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("_f").cast("long")).alias("n_followed"), F.avg(F.col("_f").cast("double")).alias("share"), F.avg(v).alias("value_mean"), F.median(v).alias("value_median"), F.max(v).alias("value_max"))
+    table = d.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("_f").cast("long")).alias("n_followed"), F.avg(F.col("_f").cast("double")).alias("share"), F.avg(v).alias("value_mean"), F.max(v).alias("value_max"))
+    median = quantiles(d.select(F.struct(by).alias("key"), v.alias("value")), (0.5,)).select("key", F.col("q0").alias("value_median"))
+    return table.join(median, F.struct(table[by]).eqNullSafe(median["key"]), "left").select(by, "n", "n_followed", "share", "value_mean", "value_median", "value_max")
 
 
 def coverage(df: DataFrame, cols: list[str], where: Column) -> DataFrame:

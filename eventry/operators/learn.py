@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventry.operators.ranges import number_rows
 from eventry.operators.windows import sliding_windows
 
 # Reserved ids, and the label of padding.
@@ -20,18 +22,23 @@ PAD, UNK, IGNORE = 0, 1, -100
 
 
 def build_vocab(df: DataFrame, col: str, reserved: tuple[str, ...] = (), start: int = 2) -> DataFrame:
-    """Values and reserved tokens, sorted as text, with ids from ``start``. One row per distinct value is numbered."""
+    """Values and reserved tokens, sorted as text, with ids from ``start``."""
     words = df.select(F.col(col).cast("string").alias("token")).where("token IS NOT NULL").distinct()
     if reserved:
         words = words.union(df.sparkSession.createDataFrame([(r,) for r in reserved], "token string")).distinct()
-    return words.withColumn("token_id", F.row_number().over(Window.orderBy("token")) + (start - 1))
+    return number_rows(words, ["token"], "token_id", start)
 
 
 def text_dictionary(df: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """An index per distinct text, in the order of first appearance from 0, on the rows and as a table."""
-    first = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(order).alias("_first"))
-    table = first.withColumn("text_id", F.row_number().over(Window.orderBy("_first", text)) - 1).drop("_first")
-    return df.join(table, text, "left"), table
+    """An index per distinct text, in the order of first appearance from 0 (of equal ones by SHA-256), on the rows and as a table.
+
+    Texts are told apart by their SHA-256; only digests are grouped, numbered and joined.
+    """
+    keyed = df.withColumn("_key", F.sha2(text, 256))
+    first = keyed.where(F.col(text).isNotNull()).groupBy("_key").agg(F.min(order).alias("_first"))
+    ids = number_rows(first, ["_first", "_key"], "text_id").select("_key", "text_id")
+    table = keyed.where(F.col(text).isNotNull()).select("_key", text).dropDuplicates(["_key"]).join(ids, "_key").select(text, "text_id")
+    return keyed.join(ids, "_key", "left").drop("_key"), table
 
 
 def threat_vector(df: DataFrame, actor: tuple[str, str, str, str], slots: list[str], features: list[str], net=(89.0, 0.0), far: float = 200.0) -> DataFrame:
@@ -82,24 +89,30 @@ def context_features(x: Column, y: Column, vx: Column, vy: Column, active: Colum
 
 
 def stratified_group_folds(groups: DataFrame, group: str, stratum: str, k: int = 5, seed: int = 7) -> DataFrame:
-    """Groups dealt to folds in turn within their stratum, in the order of a seeded hash. One row per group is ranked."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
+    """Groups dealt to folds in turn within their stratum, in the order of a seeded MD5. One row per group is ranked."""
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed)))), group)
     return groups.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
 def fit_oof(df: DataFrame, num: list[str], cat: list[str], label: str, fold: str, keys: list[str], c: float = 1.0, folds: int = 5) -> DataFrame:
-    """A multinomial ridge model per fold (the other folds are its input), and probabilities of the fold's rows as ``p``."""
-    d = df.fillna(0.0, num).fillna("NA", cat).withColumn("_y", F.col(label).cast("double"))
-    out = []
-    for f in range(folds):
+    """A multinomial ridge model per fold (the other folds are its input), and probabilities of the fold's rows as ``p``.
+
+    The rows are cached and counted once, and the folds are fitted side by side.
+    """
+    d = df.select(*dict.fromkeys([*keys, fold, label, *num, *cat])).fillna(0.0, num).fillna("NA", cat).withColumn("_y", F.col(label).cast("double")).persist()
+    sizes = {r[0]: r[1] for r in d.groupBy(fold).count().collect()}  # one row per fold
+
+    def one(f: int) -> DataFrame:
         train = d.where(F.col(fold) != f)
         stages = [StringIndexer(inputCols=cat, outputCols=[f"_i_{x}" for x in cat], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"_i_{x}" for x in cat], outputCols=[f"_o_{x}" for x in cat], handleInvalid="keep")] if cat else []
         stages += [VectorAssembler(inputCols=num, outputCol="_num"), StandardScaler(inputCol="_num", outputCol="_z", withMean=True), VectorAssembler(inputCols=["_z", *[f"_o_{x}" for x in cat]], outputCol="_x")]
-        n = max(train.count(), 1)
+        n = max(sum(v for k, v in sizes.items() if k is not None and k != f), 1)
         stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=50, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_h"))
         model = Pipeline(stages=stages).fit(train)
-        out.append(model.transform(d.where(F.col(fold) == f)).select(*keys, fold, label, vector_to_array("_p").alias("p")))
-    return reduce(DataFrame.union, out)
+        return model.transform(d.where(F.col(fold) == f)).select(*keys, fold, label, vector_to_array("_p").alias("p"))
+
+    with ThreadPoolExecutor(4) as pool:
+        return reduce(DataFrame.union, pool.map(one, range(folds)))
 
 
 def fold_metrics(preds: DataFrame, label: str, fold: str, p: str = "p", eps: float = 1e-12) -> DataFrame:

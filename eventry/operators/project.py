@@ -176,8 +176,8 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
 
 
 def sample_rows(df: DataFrame, n: int, key: Column, seed: int = 42) -> DataFrame:
-    """N rows in the order of a seeded hash of the key; the same rows on every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """N rows in the order of a seeded MD5 of the key; the same rows on every run."""
+    return df.orderBy(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def first_per(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -258,17 +258,22 @@ def persistent_slots(roster: DataFrame, keys: list[str], step: str, member: str,
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([step, distance, member])
+        steps, members = pdf[step].to_numpy(), pdf[member].to_numpy()
+        starts = np.flatnonzero(np.append(True, steps[1:] != steps[:-1]))
         slots: dict[str, int] = {}
-        out = []
-        for at, rows in pdf.sort_values([step, distance, member]).groupby(step, sort=True):
-            members = list(dict.fromkeys(rows[member]))
-            slots = {m: k for m, k in slots.items() if m in members}
-            free = [k for k in range(n) if k not in slots.values()]
-            for m in members:
-                if m not in slots and free:
-                    slots[m] = free.pop(0)
-            out += [(*(rows[k].iloc[0] for k in keys), at, m, slots.get(m, -1)) for m in members]
-        return pd.DataFrame(out, columns=[*keys, step, member, "slot"]).astype({"slot": np.int32})
+        at, who, where = [], [], []
+        for a, b in zip(starts, [*starts[1:], len(steps)], strict=True):
+            here = dict.fromkeys(members[a:b])
+            slots = {m: k for m, k in slots.items() if m in here}
+            free = iter(sorted({*range(n)} - {*slots.values()}))
+            for m in here:
+                if m not in slots and (k := next(free, None)) is not None:
+                    slots[m] = k
+                where.append(slots.get(m, -1))
+            at += [steps[a]] * len(here)
+            who += here
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, step: at, member: who, "slot": np.array(where, np.int32)})
 
     kinds = dict(roster.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, step, member)) + ", slot int"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def m02_apply_vocab(spark, d):
     return map_lookup(o, M.build_vocab(o, "token", start=1), "token", "token_id", 0).select("o_orderkey", F.col("token_id").cast("long"))
 
 
-@R.add("SELECT doc_id, text_id FROM documents JOIN (SELECT text, row_number() OVER (ORDER BY f, text) - 1 AS text_id FROM (SELECT text, min(doc_id) AS f FROM documents GROUP BY text)) USING (text)")
+@R.add("SELECT doc_id, text_id FROM documents JOIN (SELECT text, row_number() OVER (ORDER BY f, sha256(text)) - 1 AS text_id FROM (SELECT text, min(doc_id) AS f FROM documents GROUP BY text)) USING (text)")
 def m03_text_dictionary(spark, d):
     return M.text_dictionary(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")[0].select("doc_id", F.col("text_id").cast("long"))
 
@@ -54,10 +56,10 @@ def m05_node_features(spark, d):
 
 
 @R.add(f"""WITH {TRACKING}, p AS (SELECT a.event, a.node AS u, b.node AS v, row_number() OVER (PARTITION BY a.event, a.node ORDER BY sqrt((a.tx - b.tx) * (a.tx - b.tx) + (a.ty - b.ty) * (a.ty - b.ty)), b.node) AS r
-           FROM trk a JOIN trk b ON a.event = b.event AND a.node <> b.node WHERE a.event < 2000), k AS (SELECT event, u, v FROM p WHERE r <= 3), e AS (SELECT event, u, v FROM k UNION SELECT event, v, u FROM k),
+           FROM trk a JOIN trk b ON a.event = b.event AND a.node <> b.node), k AS (SELECT event, u, v FROM p WHERE r <= 3), e AS (SELECT event, u, v FROM k UNION SELECT event, v, u FROM k),
            a AS (SELECT event, node FROM trk WHERE v > 10) SELECT event, u, v, 1.0 / count(*) OVER (PARTITION BY event, u) AS weight FROM e WHERE (event, u) IN (SELECT event, node FROM a) AND (event, v) IN (SELECT event, node FROM a)""")
 def m06_normalise_edges(spark, d):
-    t = tracking(spark, d).where("event < 2000")
+    t = tracking(spark, d)
     return M.normalise_edges(knn_edges(t, ["event"], "node", "tx", "ty"), t.where("v > 10"), ["event"], "node")
 
 
@@ -86,7 +88,8 @@ def m09_context_features(spark, d):
     return tracking(spark, d).where("tx <> 89 OR ty <> 0").select("event", "node", c[4].alias("dist"), c[7].alias("to_net"), c[9].alias("facing"))
 
 
-@R.add()
+@R.add(f"""WITH {EV}, c AS (SELECT game, count(*) FILTER (WHERE type = 'goal') AS n FROM ev GROUP BY game), s AS (SELECT *, CASE WHEN n <= 3 THEN 'low' WHEN n <= 6 THEN 'mid' ELSE 'high' END AS stratum FROM c)
+           SELECT *, CAST((row_number() OVER (PARTITION BY stratum ORDER BY md5(game || ':7'), game) - 1) % 5 AS INT) AS fold FROM s""")
 def m10_stratified_group_folds(spark, d):
     return M.stratified_group_folds(strata(events(spark, d), F.col("type") == "goal"), "game", "stratum")
 
@@ -117,9 +120,9 @@ def a32_window_label_counts(spark, d):
     return window_label_counts(O.sliding_windows(events(spark, d), ["game"], list(S.order), 32, 16, 10), "type")
 
 
-@R.add("SELECT l_orderkey, l_linenumber, l_partkey, greatest(l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE l_quantity END) AS far FROM lineitem WHERE l_orderkey < 3000")
+@R.add("SELECT l_orderkey, l_linenumber, l_partkey, greatest(l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE l_quantity END) AS far FROM lineitem")
 def a24_max_present(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 3000").withColumns({"m1": F.lit(1), "m2": (F.col("l_linenumber") % 2 == 0).cast("int")})
+    li = table(spark, d, "lineitem").withColumns({"m1": F.lit(1), "m2": (F.col("l_linenumber") % 2 == 0).cast("int")})
     return li.select("l_orderkey", "l_linenumber", "l_partkey", max_present(["l_quantity", "l_extendedprice"], ["m1", "m2"]).alias("far"))
 
 
@@ -142,9 +145,9 @@ def _rows(*checks: tuple[str, str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS \"check\", n <= 0 AS passed, CAST(n AS BIGINT) AS n FROM (SELECT coalesce({e}, 0) AS n FROM {src})" for c, e, src in checks)
 
 
-@R.add(f"""WITH {EV} SELECT 'required_columns' AS "check", false AS passed, CAST(1 AS BIGINT) AS n UNION ALL {_rows(('unique_key', 'count(*) - count(DISTINCT id)', 'ev'), ('domain_type', "count(*) FILTER (WHERE type NOT IN ('goal', 'shot', 'pass'))", 'ev'))}""")
+@R.add(f"""WITH {EV} SELECT 'required_columns' AS "check", false AS passed, CAST(1 AS BIGINT) AS n UNION ALL {_rows(('unique_key', 'sum(e)', '(SELECT count(*) - 1 AS e FROM ev GROUP BY game, type, player)'), ('domain_type', "count(*) FILTER (WHERE type NOT IN ('goal', 'shot', 'pass'))", 'ev'))}""")
 def v01_check_schema(spark, d):
-    return V.check_schema(events(spark, d), ["game", "id", "absent"], ["id"], {"type": ["goal", "shot", "pass"]})
+    return V.check_schema(events(spark, d), ["game", "id", "absent"], ["game", "type", "player"], {"type": ["goal", "shot", "pass"]})
 
 
 @R.add(f"""WITH {EV}, l AS (SELECT *, t - lag(t) OVER (PARTITION BY game, seq ORDER BY id) AS dt FROM ev)
@@ -153,10 +156,14 @@ def v02_gate_clean(spark, d):
     return V.gate_clean(events(spark, d), ["goal", "shot", "absent"], ["whistle"])
 
 
-@R.add(f"""WITH {EV}, n AS (SELECT *, lead(type) OVER ({G}) AS nt FROM ev) {_rows(('leaks', "count(*) FILTER (WHERE type = 'goal')", 'ev'), ('synthetic_placement', 'CAST(0 AS BIGINT)', '(SELECT 1)'), ('null_keys', 'CAST(0 AS BIGINT)', '(SELECT 1)'))}""")
+@R.add(f"""WITH {EV}, n AS (SELECT *, lag(type) OVER ({G}) AS prev FROM ev)
+           {_rows(('leaks', "count(*) FILTER (WHERE type = 'goal')", 'n'), ('forbidden_terms', "count(*) FILTER (WHERE outcome = 'successful')", 'n'), ('synthetic_placement', "count(*) FILTER (WHERE id % 4 = 0 AND prev IS DISTINCT FROM 'shot')", 'n'),
+                  ('null_keys', "count(*) FILTER (WHERE game = '7')", 'n'), ('off_place', 'count(*) FILTER (WHERE id % 4 = 0 AND NOT id % 5 = 0)', 'n'), ('synthetic_absent', 'CASE WHEN count(*) FILTER (WHERE id % 4 = 0) = 0 THEN 1 ELSE 0 END', 'n'))}
+           UNION ALL SELECT 'coverage_player', count(player) >= 0.95 * count(*), count(*) - count(player) FROM ev UNION ALL SELECT 'coverage_team', count(team) >= 0.05 * count(*), count(*) - count(team) FROM ev""")
 def v03_gate_events(spark, d):
-    e = O.inject_after(events(spark, d), F.col("type") == "shot", {"type": F.lit("save")})
-    return V.gate_events(e, "type", sources=("shot",))
+    at = F.col("id") % 5 == 0
+    e = events(spark, d).withColumns({"text": F.concat_ws(" ", "type", "outcome"), "made": (F.col("id") % 4 == 0).cast("int"), "sx": F.when(at, -89.0).otherwise(1.0), "sy": F.when(at, 0.0).otherwise(F.col("y")), "game": F.nullif("game", F.lit("7"))})
+    return V.gate_events(e, "text", sources=("shot",), synthetic="made", place={"sx": -89.0, "sy": 0.0}, coverage={"player": 0.95, "team": 0.05})
 
 
 @R.add(f"""WITH {EV} SELECT 'unique_key' AS "check", true AS passed, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'imputation', avg(CASE WHEN player IS NULL THEN 1.0 ELSE 0 END) <= 0.1, count(*) FILTER (WHERE player IS NULL) FROM ev""")
@@ -164,21 +171,31 @@ def v04_gate_relative(spark, d):
     return V.gate_relative(events(spark, d).withColumn("imp", F.col("player").isNull()), ["id"], "imp", 0.1)
 
 
-@R.add(f"WITH {EV} {_rows(('x_bounds', 'count(*) FILTER (WHERE abs(x) > 90)', 'ev'), ('y_bounds', 'count(*) FILTER (WHERE abs(y) > 40)', 'ev'))}")
+@R.add(f"""WITH {TRACKING}, w AS (SELECT event, {', '.join(f"coalesce(max(CASE WHEN side = '{a}' AND node = {k + 1} THEN t{m} END), 0.0) AS {a}_{k}_{m}" for a in ('mate', 'opp') for k in range(2) for m in 'xy')} FROM trk GROUP BY event)
+           {_rows(*((f'{m}_bounds', 'count(*) FILTER (WHERE ' + ' OR '.join(f'abs({a}_{k}_{m}) > {b}' for a in ('mate', 'opp') for k in range(2)) + ')', 'w') for m, b in (('x', 90), ('y', 40))))}
+           UNION ALL SELECT 'wide_columns', false, CAST(2 * 4 * 2 + 2 * 2 * 9 AS BIGINT) UNION ALL {_rows(('unique_key', 'sum(e)', '(SELECT count(*) - 1 AS e FROM w GROUP BY mate_0_x, opp_0_x)'))}""")
 def v05_gate_absolute(spark, d):
-    return V.gate_absolute(events(spark, d), ["x"], ["y"], (90.0, 40.0))
+    t = tracking(spark, d).withColumns({"slot": F.col("node") - 1, "X": F.col("tx"), "Y": F.col("ty")})
+    wide = O.slots_to_wide(t, ["event"], "side", "slot", ("mate", "opp"), 2, {"X": 0.0, "Y": 0.0})
+    wide = wide.toDF(*[c.replace("mate_", "mate_Track_").replace("opp_", "opp_Track_") for c in wide.columns]).drop(*[f"{a}_Track_{k}_slot_vacant" for a in ("mate", "opp") for k in range(2)])
+    at = lambda m: [f"{a}_Track_{k}_{m}" for a in ("mate", "opp") for k in range(2)]
+    required = list(dict.fromkeys(V.wide_columns(("mate", "opp"), 2) + V.wide_columns(("mate", "opp"), 6, ("X", "Y"))))
+    return V.gate_absolute(wide, at("X"), at("Y"), (90.0, 40.0), required, ["mate_Track_0_X", "opp_Track_0_X"])
 
 
-@R.add(f"""WITH {EV}, g AS (SELECT game, period, t AS gt FROM ev WHERE type = 'goal'), j AS (SELECT ev.*, gt, id % 4 AS label FROM ev ASOF LEFT JOIN g ON ev.game = g.game AND ev.period = g.period AND ev.t < g.gt)
-           {_rows(('index_bounds', 'count(*) FILTER (WHERE id >= 5000)', 'j'), ('horizon', f'count(*) FILTER (WHERE label IN (0, 1) AND (gt IS NULL OR gt - t > {DAY} + 1e-6))', 'j'), ('label_domain', 'count(*) FILTER (WHERE label NOT IN (0, 1, 2))', 'j'))}""")
+@R.add(f"""WITH {EV}, g AS (SELECT game, period, t AS gt FROM ev WHERE type = 'goal'), j AS (SELECT ev.*, gt, id % 4 AS label, t + id % 100000 AS stop FROM ev ASOF LEFT JOIN g ON ev.game = g.game AND ev.period = g.period AND ev.t < g.gt)
+           {_rows(('stored_horizon', f'count(*) FILTER (WHERE stop - t > {DAY / 20} + 1e-6)', 'j'), ('penalty_horizon', f"count(*) FILTER (WHERE type = 'faceoff' AND stop - t > {DAY / 20} + 1e-6)", 'j'), ('outcome_mask', "count(*) FILTER (WHERE type = 'shot' AND id % 3 <> 0)", 'j'),
+                  ('index_bounds', 'count(*) FILTER (WHERE id >= 5000)', 'j'), ('horizon', f'count(*) FILTER (WHERE label IN (0, 1) AND (gt IS NULL OR gt - t > {DAY / 20} + 1e-6))', 'j'), ('label_domain', 'count(*) FILTER (WHERE label NOT IN (0, 1, 2))', 'j'))}""")
 def v06_gate_labels(spark, d):
-    e = events(spark, d).withColumn("label", F.col("id") % 4)
-    return V.gate_labels(e, 5000, "id", "label", DAY)
+    e = events(spark, d).withColumns({"label": F.col("id") % 4, "stop": F.col("t") + F.col("id") % 100_000, "mask": F.col("id") % 3})
+    return V.gate_labels(e, 5000, "id", "label", DAY / 20, end="stop", mask="mask", penalties=("faceoff",))
 
 
-@R.add("SELECT 'fail' AS status, CAST(count(*) AS BIGINT) AS n_checks FROM (SELECT 1 FROM region LIMIT 5)")
+@R.add(f"""WITH {EV}, d AS (SELECT coalesce(sum(n - 1), 0) AS n FROM (SELECT count(*) AS n FROM ev GROUP BY id)), b AS (SELECT count(*) FILTER (WHERE abs(x) > 90) AS bx, count(*) FILTER (WHERE abs(y) > 40) AS byy FROM ev)
+           SELECT CASE WHEN n > 0 THEN 'fail' WHEN bx + byy > 0 THEN 'warn' ELSE 'pass' END AS status, CAST((SELECT count(*) FROM (SELECT unnest([bx, byy, n]) FROM b, d)) AS BIGINT) AS n_checks FROM d, b""")
 def v07_combine_gates(spark, d):
-    return V.combine_gates(v01_check_schema(spark, d), v05_gate_absolute(spark, d), warn=("x_bounds", "y_bounds"))
+    e = events(spark, d)
+    return V.combine_gates(V.gate_absolute(e, ["x"], ["y"], (90.0, 40.0)), V.duplicate_keys(e, ["id"]), warn=("x_bounds", "y_bounds"))
 
 
 @R.add(f"WITH {EV} {_rows(('score_mismatch', '(SELECT count(*) FROM (SELECT game, team, count(*) AS n, count(*) FILTER (WHERE period < 4) AS c FROM ev GROUP BY game, team) WHERE n <> c)', '(SELECT 1)'))}")
@@ -187,18 +204,33 @@ def v08_gate_scores(spark, d):
     return V.gate_scores(g.withColumns({"extra": F.lit(0), "allocated": F.lit(0)}))
 
 
-@R.add(_rows(("conservation", "CAST(0 AS BIGINT)", "(SELECT 1)")))
-def v09_check_conservation(spark, d):
+_LINKS = f"""{EV}, inv AS (SELECT f.game, f.id - 150 AS kept, -coalesce(k.x, 0.0) AS net FROM ev f LEFT JOIN ev k ON k.game = f.game AND k.id = f.id - 150 WHERE f.type = 'faceoff'),
+    res AS (SELECT game, kept, min(k.x) + sum(net) AS residual FROM (SELECT * FROM inv UNION ALL SELECT * FROM inv WHERE kept % 10 = 0) JOIN (SELECT game, id AS kept, x FROM ev) k USING (game, kept) GROUP BY game, kept)"""
+
+
+def _links(spark, d):
+    """Events with a net, and inverse rows, of which some stand twice."""
     e = events(spark, d).withColumn("net", F.col("x"))
     inv = inverse_rows(e, e.where("type = 'faceoff'").select("game", "id", (F.col("id") - 150).alias("kept")), ["game"], "kept", "net", "inverse")
-    return V.check_conservation(e, inv, ["game"], "kept", "net")
+    return e, inv.union(inv.where("kept % 10 = 0"))
 
 
-@R.add(f"WITH {EV} {_rows(('changed', 'count(*) FILTER (WHERE id % 10 = 0 AND type <> $$goal$$)', 'ev'), ('lone_keys', 'count(*) FILTER (WHERE id % 7 = 0)', 'ev'))}".replace("WHERE id % 10 = 0 AND type", "WHERE id % 7 <> 0 AND id % 10 = 0 AND type"))
+@R.add(f"WITH {_LINKS} {_rows(('conservation', 'count(*) FILTER (WHERE abs(residual) > 1e-9)', 'res'))}")
+def v09_check_conservation(spark, d):
+    return V.check_conservation(*_links(spark, d), ["game"], "kept", "net")
+
+
+@R.add(f"WITH {_LINKS} SELECT game, kept, residual FROM res")
+def v09_conservation_residuals(spark, d):
+    return V.conservation_residuals(*_links(spark, d), ["game"], "kept", "net")
+
+
+@R.add(f"""WITH {EV} {_rows(('changed', "count(*) FILTER (WHERE id % 7 <> 0 AND id % 10 = 0 AND type <> 'goal')", 'ev'), ('lone_keys', 'count(*) FILTER (WHERE id % 7 = 0)', 'ev'), ('fewer_rows', 'count(*) FILTER (WHERE id % 7 <> 0 AND id % 12 = 0)', 'ev'))}""")
 def v10_check_immutable(spark, d):
     e = events(spark, d).select("id", "type", "x")
-    adj = e.where("id % 7 <> 0").select("id", (F.col("x") + F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.0)).alias("x"))
-    return V.check_immutable(e, adj, ["id"], ["x"], exempt=F.col("type") == "goal")
+    twice = e.union(e.where("id % 4 = 0"))
+    moved = e.where("id % 7 <> 0").select("id", (F.col("x") + F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.0)).alias("x"))
+    return V.check_immutable(twice, moved.union(moved.where("id % 4 = 0 AND id % 12 <> 0")), ["id"], ["x"], exempt=F.col("type") == "goal")
 
 
 @R.add(f"WITH {EV} {_rows(('net_identity', 'count(*) FILTER (WHERE id % 9 = 0)', 'ev'), ('penalty_range', 'count(*) FILTER (WHERE x < 0 OR x > 1)', 'ev'))}")
@@ -207,11 +239,12 @@ def v11_check_ledger(spark, d):
     return V.check_ledger(e, penalty="x")
 
 
-@R.add(f"""WITH {EV} {_rows(('null_keys', 'count(*) FILTER (WHERE player IS NULL)', 'ev'), ('inversions', 'CAST(0 AS BIGINT)', '(SELECT 1)'), ('not_finite', 'CAST(0 AS BIGINT)', '(SELECT 1)'),
-           ('unique_key', '(SELECT count(*) - count(DISTINCT (game, coalesce(player, chr(0)))) FROM ev)', '(SELECT 1)'), ('class_support', 'CAST(0 AS BIGINT)', '(SELECT 1)'))}""")
+@R.add(f"""WITH {EV}, l AS (SELECT *, t - lag(t) OVER (PARTITION BY game, period ORDER BY id) AS dt FROM ev)
+           {_rows(('null_keys', 'count(*) FILTER (WHERE player IS NULL)', 'ev'), ('inversions', 'count(*) FILTER (WHERE dt < 0)', 'l'), ('not_finite', 'count(*) FILTER (WHERE id % 50 = 0)', 'ev'),
+                  ('unique_key', 'sum(e)', '(SELECT count(*) - 1 AS e FROM ev GROUP BY game, player)'), ('class_support', 'count(*) FILTER (WHERE c < 5)', "(SELECT count(DISTINCT type) AS c FROM ev GROUP BY CASE WHEN type = 'whistle' THEN 'w' ELSE game END)"))}""")
 def v12_gate_training(spark, d):
-    e = events(spark, d).withColumn("fold", F.col("id") % 5)
-    return V.gate_training(e, ["game", "player"], "type", "fold", ["x", "y"], 5)
+    e = events(spark, d).withColumns({"fold": F.when(F.col("type") == "whistle", "w").otherwise(F.col("game")), "z": F.when(F.col("id") % 50 == 0, float("inf")).otherwise(F.col("x"))})
+    return V.gate_training(e, ["game", "player"], "type", "fold", ["z", "y"], 5, replace(S, order=("id",)))
 
 
 @R.add(f"WITH {EV} {_rows(('zero_x', 'count(*) FILTER (WHERE type <> $$pass$$ AND x <> 0)', 'ev'), ('zero_y', 'count(*) FILTER (WHERE type <> $$pass$$ AND y <> 0)', 'ev'))}")
@@ -227,7 +260,8 @@ def v14_step_counts(spark, d):
     return V.step_counts({"raw": e, "typed": t, "acted": t.where("player IS NOT NULL")})
 
 
-@R.add(f"WITH {EV} SELECT 'columns' AS \"check\", true AS passed, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'key_match', false, count(*) FILTER (WHERE id % 3 = 0) FROM ev")
+@R.add(f"""WITH {EV}, k AS (SELECT * FROM ev WHERE id % 3 <> 0) SELECT 'columns' AS "check", true AS passed, CAST(0 AS BIGINT) AS n UNION ALL {_rows(('index_range', 'count(*) FILTER (WHERE player IS NULL OR CAST(substr(player, 2) AS INT) >= 30)', 'k'))}
+           UNION ALL SELECT 'coverage_player', count(player) >= 0.95 * count(*), count(*) - count(player) FROM k UNION ALL SELECT 'key_match', count(*) FILTER (WHERE id % 3 = 0) <= 0.05 * count(*), count(*) FILTER (WHERE id % 3 = 0) FROM ev""")
 def v15_gate_inputs(spark, d):
-    e = events(spark, d)
-    return V.gate_inputs(e.where("id % 3 <> 0"), e, ["game", "event"], {"event": "id"}, ["game", "id"])
+    e = events(spark, d).withColumn("at", F.expr("substr(player, 2)"))
+    return V.gate_inputs(e.where("id % 3 <> 0"), e, ["game", "event"], {"event": "id"}, ["game", "id"], index=("at", 30), coverage={"player": 0.95})

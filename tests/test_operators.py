@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from eventry.operators import gates as V
 from eventry.operators import joins as J
 from eventry.operators import learn as M
 from eventry.operators import project as P
+from eventry.operators import ranges as R
 from eventry.operators import windows as W
 from eventry.sources import tables as S
 
@@ -254,4 +256,60 @@ def test_registered_queries_have_sql_or_tests():
     from eventry.plans import queries
 
     assert {*queries.ORACLES} <= {*queries.QUERIES} <= {*entry.queries()}
-    assert {*queries.QUERIES} - {*queries.ORACLES} == {"o03_sample_rows", "w25_persistent_slots", "m10_stratified_group_folds", "m11_fit_oof"}
+    assert {*queries.QUERIES} - {*queries.ORACLES} == {"w25_persistent_slots", "m11_fit_oof"}
+
+
+def test_running_sums_and_numbers_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 50), "ab"[i % 2]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v long, k string").repartition(7)
+    got = {r.id: r.no for r in R.number_rows(df, [F.desc("v"), "id"], "no", 5).collect()}
+    assert got == {r[0]: i + 5 for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    sums = {r.id: r.s for r in R.cumulate(df, ["v", "id"], {"s": F.col("v")}).collect()}
+    total = 0
+    for i, v, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += v
+        assert sums[i] == total
+    q = {r.key: (r.q0, r.q1) for r in R.quantiles(df.selectExpr("k AS key", "CASE WHEN v < 45 THEN v END AS value"), (0.5, 0.9)).collect()}
+    for k in "ab":
+        assert q[k] == pytest.approx(tuple(np.quantile([v for _, v, x in rows if x == k and v < 45], [0.5, 0.9])))
+    assert R.number_rows(df.limit(0), ["id"], "no").count() == 0 and R.quantiles(df.limit(0).selectExpr("k AS key", "v AS value"), (0.5,)).count() == 0
+    assert A.fill_stats(df.limit(0), ["v"]).first().v is None
+
+
+def test_slots_equal_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(g, s, f"m{rng.randint(0, 9)}", float(rng.randint(0, 5))) for g in ("x", "y") for s in range(12) for _ in range(rng.randint(0, 9))]
+    got = {(r.g, r.step, r.m): r.slot for r in W.persistent_slots(spark.createDataFrame(rows, "g string, step int, m string, d double"), ["g"], "step", "m", "d", 4).collect()}
+    want = {}
+    for g in ("x", "y"):
+        slots = {}
+        for s in sorted({r[1] for r in rows if r[0] == g}):
+            here = list(dict.fromkeys(m for _, m in sorted((d, m) for gg, ss, m, d in rows if (gg, ss) == (g, s))))
+            slots = {m: k for m, k in slots.items() if m in here}
+            for m in here:
+                free = [k for k in range(4) if k not in slots.values()]
+                if m not in slots and free:
+                    slots[m] = free[0]
+                want[g, s, m] = slots.get(m, -1)
+    assert got == want
+
+
+def test_gates_tell_sums_counts_and_columns(spark, ev):
+    base = spark.createDataFrame([("g", 1, 1.0), ("g", 2, 0.5), ("g", 3, None)], "game string, id long, net double")
+    inverse = spark.createDataFrame([("g", 1, -0.4), ("g", 1, -0.6), ("g", 2, -0.5), ("g", 2, -0.5), ("g", 3, 1.0), ("g", 9, 1.0)], "game string, kept long, net double")
+    assert [(r.passed, r.n) for r in V.check_conservation(base, inverse, ["game"], "kept", "net").collect()] == [(False, 1)]
+    assert V.conservation_residuals(base, inverse, ["game"], "kept", "net").count() == 2
+    raw = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("c", None), (None, 2.0)], "k string, p double")
+    same = {r.check: r.n for r in V.check_immutable(raw, raw.union(raw.where("k = 'b'")), ["k"], ["p"]).collect()}
+    assert same == {"changed": 0, "lone_keys": 0, "fewer_rows": 0}
+    less = spark.createDataFrame([("a", 2.0), ("b", 1.5), ("c", None)], "k string, p double")
+    assert {r.check: r.n for r in V.check_immutable(raw, less, ["k"], ["p"]).collect()} == {"changed": 1, "lone_keys": 1, "fewer_rows": 1}
+    assert len(V.wide_columns()) == 132
+    empty = {r.check: (r.passed, r.n) for r in V.gate_events(ev.limit(0).withColumn("made", F.lit(0)), "type", synthetic="made", coverage={"player": 0.5}).collect()}
+    assert empty["synthetic_absent"] == (False, 1) and empty["coverage_player"] == (True, 0)
+
+
+def test_default_texts(spark):
+    clean = lambda t: spark.range(1).select(C.clean_description(F.lit(t))).first()[0]
+    assert clean("F/Off won in DZ+rec") == "faceoff won in defensive zone reception" and clean("Shot on net with goal") == "shot" and clean("GOAL") is None and clean("") is None
