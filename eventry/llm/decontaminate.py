@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import LOWER, UPPER, cut, fold_case, fresh, table
+from eventry.llm._shared import LOWER, UPPER, cut, fold_case, fresh, spread_join, table
 
 WINDOW = 10
 SHINGLE = 2
@@ -27,12 +27,16 @@ def _shingles(w: Column, n: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
 
 
-def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """Distinct windows of ``size`` consecutive item words with their items; shorter items are one window."""
+def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows of ``size`` consecutive item words, ``win, win_id`` (shorter items are one window), and the items of each, ``win_id, item``.
+
+    A window that many items share is one row of the first table, so hits carry its number and not its items.
+    """
     w = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = w.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), F.lit(size)).alias("win"))
-    return each.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("win_id", F.xxhash64("win"))
+    each = each.withColumn("win_id", F.unhex(F.sha2(F.array_join("win", " "), 256)))
+    return each.select("win", "win_id").dropDuplicates(["win_id"]), each.where("item IS NOT NULL").select("win_id", "item").distinct()
 
 
 def _corpus(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,36 +73,45 @@ def _exploded(corpus: DataFrame, windows: DataFrame) -> DataFrame:
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """Which words of every document lie inside an occurrence of a benchmark window.
 
+    If the windows are small together, they are sent to the documents. If not, positions go to the windows by their shingle alone, frequent
+    shingles in parts, and what fits comes back to the words of its document, which are shuffled once.
+
     Windows are ``size`` consecutive words of an item. The shingles of a window are ordered by their frequency over the
     whole corpus; only the rarest is joined with the documents' shingles. The place of that shingle in the window bounds where the window would start; it
     must fit the document on both sides, and its words are then compared one by one.
 
     Returns one row per input row: ``doc_id, key, n_words, n_hit, n_items, items, contaminated`` (key: hash of id and text). Null texts, and texts and items
-    without words, have no hits. Repeated rows, and rows without an id, each get their result. Empty tables are fine; other
-    columns are ignored.
+    without words, have no hits; long texts count whole. Repeated rows, and rows without an id, each get their result; items without an id
+    are hit but have no name. Empty tables are fine; other columns are ignored.
     """
     corpus = _corpus(docs, id_col, text_col)
-    windows = item_windows(items, item_col, item_text_col, size)
-    bytes_ = windows.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "win")) + F.length(F.concat_ws(",", "items")) + 200), F.lit(0))).first()[0]
+    windows, owners = item_windows(items, item_col, item_text_col, size)
+    bytes_ = windows.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "win")) + 200), F.lit(0))).first()[0]
     small = bytes_ * 2 <= BROADCAST_BYTES
-    prefix = prefix_shingles(corpus, windows, small).join(windows, "win_id").select("sh", "off", "win", "items", F.size("win").alias("len"))
+    prefix = prefix_shingles(corpus, windows, small).join(windows, "win_id").select("sh", "off", "win", "win_id", F.size("win").alias("len"))
     at = _exploded(corpus, windows)
     start = F.col("pos") - F.col("off")
     if small:
         near = at.join(F.broadcast(prefix), "sh").where((start >= 0) & (start + F.col("len") <= F.size("_w")))
         hits = near.where(F.slice("_w", start + 1, F.col("len")) == F.col("win"))
     else:
-        # Whole texts would be shuffled once a word; a position takes only the words that a window could reach.
-        low = F.greatest(F.col("pos") - size + 1, F.lit(0))
-        reach = at.select("doc_id", "_key", "sh", "pos", low.alias("low"), F.slice("_w", low + 1, F.col("pos") - low + size).alias("near"))
-        near = reach.join(prefix, "sh").where((start >= 0) & (start - F.col("low") + F.col("len") <= F.size("near")))
-        hits = near.where(F.slice("near", start - F.col("low") + 1, F.col("len")) == F.col("win"))
-    hits = hits.select("doc_id", "_key", start.alias("a"), (start + F.col("len")).alias("b"), "items")
+        met = spread_join(at.select("doc_id", "_key", "sh", "pos"), prefix, ["sh"], ["doc_id", "_key", "pos"]).where(start >= 0)
+        met = cut(met.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "pos", "off", "win", "win_id", "len"))
+        keys = met.select("_d", "_k").distinct()
+        few = keys.count() <= BROADCAST_ROWS
+        ours = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+        texts = corpus.join(F.broadcast(keys), ours, "left_semi") if few else corpus
+        near = met.join(texts.dropDuplicates(["doc_id", "_key"]), ours)
+        hits = near.where((start + F.col("len") <= F.size("_w")) & (F.slice("_w", start + 1, F.col("len")) == F.col("win")))
+    # Repeated rows have the same key and the same spans, which count once.
+    hits = cut(hits.select("doc_id", "_key", start.alias("a"), (start + F.col("len")).alias("b"), "win_id").distinct())
     before = Window.partitionBy("doc_id", "_key").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.col("b") - F.greatest("a", F.coalesce(F.max("b").over(before), F.lit(0))), F.lit(0))
-    # Repeated rows have the same key and the same spans, which count once.
-    spans = hits.groupBy("doc_id", "_key", "a", "b").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")).withColumn("fresh", fresh)
-    found = spans.groupBy("doc_id", "_key").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    spans = hits.select("doc_id", "_key", "a", "b").distinct().withColumn("fresh", fresh)
+    found = spans.groupBy("doc_id", "_key").agg(F.sum("fresh").alias("n_hit"))
+    named = spread_join(hits.select("doc_id", "_key", "win_id").distinct(), owners, ["win_id"], ["doc_id", "_key"]).select("doc_id", "_key", "item").distinct()
+    named = named.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = found.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").select("doc_id", "_key", "n_hit", "items")
     d = corpus.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"))
     same = d["doc_id"].eqNullSafe(found["doc_id"]) & (d["_key"] == found["_key"])
     none = F.array().cast("array<string>")
@@ -108,7 +121,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns."""
+    """The rows of ``docs`` without a hit, with all their columns.
+
+    Null and empty texts have none; long texts count whole; repeated rows, ties and rows without an id fare alike; an empty table gives no
+    rows; other columns are passed on, whatever their names.
+    """
     found = find_contamination(docs, items, id_col, text_col)
     key = fresh(docs, "_key")
     bad = cut(found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct())

@@ -33,9 +33,10 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 0])
-def test_hits_equal_brute_force(spark, docs, monkeypatch, limit):
+@pytest.mark.parametrize("limit, rows", [(32 << 20, 500_000), (0, 500_000), (0, 0)])
+def test_hits_equal_brute_force(spark, docs, monkeypatch, limit, rows):
     monkeypatch.setattr(D, "BROADCAST_BYTES", limit)  # 0: windows are joined by a shuffle
+    monkeypatch.setattr(D, "BROADCAST_ROWS", rows)  # 0: so are the texts of candidates
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, win string")
     got = D.find_contamination(docs(TEXTS), items).collect()
     assert len(got) == len(TEXTS)
@@ -53,6 +54,15 @@ def test_hits_equal_brute_force(spark, docs, monkeypatch, limit):
     assert {r.doc_id for r in clean.collect()} == {1, 2, 3, 6, 8, 12} - ({12} if plain(dict(TEXTS)[12], known)[1] else set())
 
 
+def test_windows_that_many_items_share(spark, docs):
+    items = [(i, f"{PASSAGE} question {i} of many") for i in range(60)]
+    texts = [(i, f"{PASSAGE} question {i} of many" if i % 2 else f"x {PASSAGE}") for i in range(8)]
+    got = D.find_contamination(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got} == {(i, n, h, tuple(found)) for i, t in texts for n, h, found in [plain(t, items)]}
+    windows, owners = D.item_windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert windows.count() < 400 < owners.count() and set(windows.columns) == {"win", "win_id"}
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contamination(docs([]), none).count() == 0
