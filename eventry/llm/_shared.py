@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The ASCII letters that the text contracts fold.
@@ -62,6 +63,28 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str],
     return dealt.join(down, [part, *keys], how).drop(part)
 
 
+def running(df: DataFrame, group: list[str], order: list[str], values: dict[str, tuple[Callable, Column]]) -> DataFrame:
+    """Running values over the rows of each group, each row included, and ``<name>_all``, the whole group's.
+
+    ``values`` names an aggregate that is ``F.sum`` or ``F.bit_xor`` and its column. Rows are dealt by ranges of group and order, and what a group has
+    in earlier ranges is added, so a group may be larger than any task. ``group`` columns hold no nulls.
+    """
+    dealt = cut(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    per = dealt.groupBy("_range", *group).agg(*[f(c).alias(f"_t_{n}") for n, (f, c) in values.items()])
+    whole = Window.partitionBy(*group)  # one row per range
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    per = per.select(
+        "_range", *group,
+        *[F.coalesce(f(f"_t_{n}").over(before), zero).alias(f"_e_{n}") for n, (f, _) in values.items()],
+        *[f(f"_t_{n}").over(whole).alias(f"{n}_all") for n, (f, _) in values.items()],
+    )
+    inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = dealt.withColumns({n: f(c).over(inside) for n, (f, c) in values.items()}).join(per, ["_range", *group])
+    put = {n: F.col(n).bitwiseXOR(F.col(f"_e_{n}")) if f is F.bit_xor else F.col(n) + F.col(f"_e_{n}") for n, (f, _) in values.items()}
+    return joined.withColumns(put).drop("_range", *[f"_e_{n}" for n in values])
+
+
 def fold_case(col: Column) -> Column:
     """Lower-case A-Z and nothing else. A text of as many bytes as characters is ASCII, where ``lower`` does just that, and faster."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
