@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventry.operators.project import yes
-from eventry.operators.ranges import cumulate, quantiles
+from eventry.operators.ranges import cumulate, deal, null_safe_join, quantiles, scan
 from eventry.schema import DEFAULT, EventSchema
 
 
@@ -24,24 +25,21 @@ def extra_counts(extra: DataFrame, group: str = "game", team: str = "team") -> t
 
 
 def allocate_units(df: DataFrame, group: str, deficit: str, units: str, tie: str) -> DataFrame:
-    """Units to the largest deficit, one by one, ties by ``tie``, until none is left or missing, as ``allocated``.
+    """Units go one by one to the side with the largest deficit (ties in the order of ``tie``) until none is left: ``allocated``.
 
-    The k-th unit of a row is given when its deficit is deficit - k + 1. Ranking all these by deficit gives the same as the loop.
+    That is water over a bottom: all deficits are filled down to one level, the least at which the units suffice, and the rest of the units go to the first
+    sides on it. With the k largest deficits summing to S(k), the level is the largest (S(k) - units) / k, rounded up: no row per unit is made.
     """
-    each = df.where(F.col(deficit) > 0).select(group, tie, units, F.explode(F.sequence(F.lit(1), F.col(deficit).cast("int"))).alias("k"), F.col(deficit).alias("_d"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy((F.col("_d") - F.col("k") + 1).desc(), tie))
-    given = each.withColumn("_r", rank).where(F.col("_r") <= F.col(units)).groupBy(group, tie).agg(F.count("*").alias("allocated"))
-    return df.join(given, [group, tie], "left").fillna(0, ["allocated"])
-
-
-def _outcome_aggs(flags: list[str]) -> list[Column]:
-    out = [F.count("*").alias("n")]
-    for f in flags:
-        v = F.col(f).cast("double")
-        sd = F.coalesce(F.stddev_samp(v), F.lit(0.0))
-        sem = sd / F.sqrt(F.count(v))
-        out += [F.sum(v).alias(f"{f}_sum"), F.avg(v).alias(f"{f}_mean"), sd.alias(f"{f}_std"), sem.alias(f"{f}_sem"), (F.avg(v) - 1.96 * sem).alias(f"{f}_low"), (F.avg(v) + 1.96 * sem).alias(f"{f}_high")]
-    return out
+    d = df.withColumns({"_d": F.greatest(F.coalesce(F.col(deficit), F.lit(0)), F.lit(0)).cast("long"), "_u": F.coalesce(F.col(units), F.lit(0)).cast("long")}).withColumn("_neg", -F.col("_d"))
+    by, order = [group], ["_neg", tie]
+    s = scan(deal(d, by, order), by, order, {"_s": ("sum", F.col("_d"), True), "_k": ("sum", F.lit(1).cast("long"), True)})
+    level = s.groupBy(*by).agg(F.greatest(F.max(F.expr("(_s - _u + _k - 1) div _k")), F.lit(0)).alias("_level"))
+    filled = null_safe_join(d, level, by).withColumn("_base", F.greatest(F.col("_d") - F.col("_level"), F.lit(0)))
+    used = filled.groupBy(*by).agg(F.sum("_base").alias("_used"))
+    filled = null_safe_join(filled, used, by).withColumn("_next", (F.col("_level") > 0) & (F.col("_d") >= F.col("_level")))
+    ranked = scan(deal(filled, by, [tie]), by, [tie], {"_rank": ("sum", F.col("_next").cast("long"), True)})
+    extra = F.when(F.col("_next") & (F.col("_rank") <= F.col("_u") - F.col("_used")), 1).otherwise(0)
+    return ranked.withColumn("allocated", F.col("_base") + extra).select(*df.columns, "allocated")
 
 
 def outcome_table(df: DataFrame, key: str, flags: list[str]) -> DataFrame:
@@ -177,10 +175,11 @@ def average_precision(df: DataFrame, label: Column, score: str) -> DataFrame:
 
 
 def top_share_pr(df: DataFrame, label: Column, score: str, key: str, share: float = 0.05) -> DataFrame:
-    """Precision and recall in the top share of scores (ties by key). A threshold score bounds what must be ranked."""
+    """Precision and recall in the top share of scores (ties by key), at least one row if there is any. A threshold score bounds what must be ranked."""
     d = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(key).alias("k"), label.cast("long").alias("y"))
     n, total = d.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    k = -(-n * int(share * 1000) // 1000)
+    part = Fraction(str(share))  # as written: 0.0125 is 1/80
+    k = max(min(n, 1), -(-n * part.numerator // part.denominator))
     edge = _ranked(d, F.col("y"), "s").where(F.col("cum_n") >= k).agg(F.max("s").alias("edge"))
     d = d.join(F.broadcast(edge))  # one row
     above = d.agg(F.count(F.when(F.col("s") > F.col("edge"), 1)).alias("n"), F.coalesce(F.sum(F.when(F.col("s") > F.col("edge"), F.col("y"))), F.lit(0)).alias("hits"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from eventry.functions.scalars import FORBIDDEN, has_leak
@@ -176,11 +177,20 @@ def check_zero_padding(df: DataFrame, cols: list[str], sources: tuple[str, ...]
     return _report(df, {f"zero_{c}": other & (F.coalesce(c, F.lit(0.0)) != 0) for c in cols})
 
 
-def step_counts(steps: dict[str, DataFrame]) -> DataFrame:
-    """Rows after each step, before it, and what it removed."""
-    each = [df.agg(F.count("*").alias("rows_after")).select(F.lit(i).alias("step_no"), F.lit(k).alias("step"), "rows_after") for i, (k, df) in enumerate(steps.items())]
-    w = Window.orderBy("step_no")  # one row per step
-    return reduce(DataFrame.union, each).withColumn("rows_before", F.lag("rows_after").over(w)).withColumn("removed", F.coalesce(F.col("rows_before") - F.col("rows_after"), F.lit(0)))
+def step_counts(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], sink: Callable[[DataFrame], None], start: str = "raw") -> DataFrame:
+    """Rows after each step, before it, and what it removed, counted in the pass that writes the result with ``sink``; nothing is read twice.
+
+    Steps are meant to be filters and projections. What is counted before a shuffle would be counted again if Spark had to run its stage again.
+    """
+    seen = [(start, Observation())]
+    out = df.observe(seen[0][1], F.count(F.lit(1)).alias("n"))
+    for name, step in steps.items():
+        seen.append((name, Observation()))
+        out = step(out).observe(seen[-1][1], F.count(F.lit(1)).alias("n"))
+    sink(out)
+    n = [(k, o.get["n"]) for k, o in seen]
+    rows = [(i, k, after, n[i - 1][1] if i else None, n[i - 1][1] - after if i else 0) for i, (k, after) in enumerate(n)]  # one row per step
+    return df.sparkSession.createDataFrame(rows, "step_no int, step string, rows_after long, rows_before long, removed long")
 
 
 def gate_inputs(

@@ -6,20 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventry.operators.project import yes
-
-
-def _running_last(df: DataFrame, value: Column, by: list[str], order: list[Column], strict: bool) -> Column:
-    """The latest non-null value before a row, in the order; with ``strict`` rows that tie on the order do not count."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    return F.last(value, ignorenulls=True).over(frame)
+from eventry.operators.ranges import deal, null_safe_join, scan
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, payload: list[str], direction: str = "backward", strict: bool = False, tolerance: float | None = None, tie: str | None = None) -> DataFrame:
     """The nearest right row on one side of each left row, as the struct ``match`` (``{right_on}`` and the payload), or null.
 
     ``tie`` orders right rows at the same place (a unique column; the first wins when looking forward, the last when looking backward).
-    Null keys of ``by`` match each other. Looking forward sorts descending, so that both directions use a running frame.
+    Null keys of ``by`` match each other. Looking forward walks the order from its end, so that both directions use a running frame. A hot group is cut
+    into ranges of the order, and each range is handed the last match of those before it.
     """
     back = direction == "backward"
     cols = [F.col(c) for c in by]
@@ -27,12 +22,11 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     tie_col = F.col(tie) if tie else F.lit(0)
     ls = left.select(*cols, F.col(left_on).cast("double").alias("_at"), F.struct(*keep).alias("_left"), F.lit(None).alias("_match"), F.lit(None).alias("_tie"))
     rs = right.select(*cols, F.col(right_on).cast("double").alias("_at"), F.lit(None).alias("_left"), F.struct(F.col(right_on), *payload).alias("_match"), tie_col.alias("_tie"))
-    both = ls.unionByName(rs)
+    # At the same place the right row is met first if it may match, else the left row is.
     is_left = F.col("_left").isNotNull().cast("int")
-    # At the same place the right row comes first if it may match, else the left row does.
-    first = -is_left if strict else is_left
-    order = [F.col("_at").asc() if back else F.col("_at").desc(), first.asc(), F.col("_tie").asc() if back else F.col("_tie").desc()]
-    found = both.withColumn("match", _running_last(both, F.col("_match"), by, order, strict=False)).where("_left IS NOT NULL")
+    both = ls.unionByName(rs).withColumn("_side", is_left if back != strict else -is_left)
+    order = ["_at", "_side", "_tie"]
+    found = scan(deal(both, by, order), by, order, {"match": ("last", F.col("_match"), True)}, descending=not back).where("_left IS NOT NULL")
     if tolerance is not None:
         found = found.withColumn("match", F.when(F.abs(F.col("_at") - F.col(f"match.{right_on}").cast("double")) <= tolerance, F.col("match")))
     return found.select(*by, "_left.*", "match")
@@ -49,15 +43,15 @@ def attach_destination(df: DataFrame, by: list[str], order: list[str], sources:
     Of several targets of a source the first (or last) wins. Sources get ``dest_{col}`` (their own values without a target), other
     rows 0; target rows are dropped. With ``text_col`` the texts of source and target are joined.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
     is_source, is_target = yes(F.col(type_col).isin(*sources)), yes(F.col(type_col).isin(*targets))
-    d = df.withColumn("_n", F.row_number().over(w))
-    latest = F.last(F.when(is_source, F.struct(F.col("_n").alias("n"), F.col(id_col).alias("id"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_src", F.when(is_target, latest))
+    d = scan(deal(df, by, order), by, order, {"_n": ("sum", F.lit(1), True)})
+    source = F.when(is_source, F.struct(F.col("_n").alias("n"), F.col(id_col).alias("id")))
+    d = scan(d, by, order, {"_src": ("last", source, False)})
+    d = d.withColumn("_src", F.when(is_target, F.col("_src")))
     near = F.col("_src").isNotNull() if tolerance_rows is None else (F.col("_n") - F.col("_src.n") <= tolerance_rows)
     best = (F.min if pick == "first" else F.max)(F.struct("_n", *value_cols, *([text_col] if text_col else []))).alias("_best")
     hits = d.where(yes(near)).groupBy(*by, F.col("_src.id").alias(id_col)).agg(best)
-    joined = _null_safe_join(d.where(~is_target), hits, [*by, id_col])
+    joined = null_safe_join(d.where(~is_target), hits, [*by, id_col])
     out = [F.col(c) for c in df.columns if c != text_col]
     out += [F.when(is_source, F.coalesce(F.col(f"_best.{c}"), F.col(c))).otherwise(F.lit(0.0)).alias(f"dest_{c}") for c in value_cols]
     if text_col:
@@ -86,19 +80,8 @@ def next_payload(df: DataFrame, types: list[str], by: list[str], time: str, payl
     """
     hit = F.when(yes(F.col(type_col).isin(*types)), F.struct(time, tie, *payload))
     times = df.groupBy(*by, time).agg(F.min(hit).alias("_hit"))
-    later = Window.partitionBy(*by).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    times = times.withColumn("_next", F.last("_hit", ignorenulls=True).over(later)).drop("_hit")
-    return _null_safe_join(df, times, [*by, time])
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """An equi-join in which null keys match; the keys come from the left side."""
-    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    times = scan(deal(times, by, [time]), by, [time], {"_next": ("last", F.col("_hit"), False)}, descending=True)
+    return null_safe_join(df, times.select(*by, time, "_next"), [*by, time])
 
 
 def first_in_range(left: DataFrame, right: DataFrame, by: list[str], at: str, low: float, high: float, payload: list[str], tie: str = "id") -> DataFrame:
@@ -171,13 +154,21 @@ def key_parity(a: DataFrame, b: DataFrame, keys: list[str], by: str) -> DataFram
     return both.groupBy(by).agg(count(la & lb).alias("n_both"), count(la & ~lb).alias("n_left_only"), count(~la & lb).alias("n_right_only"))
 
 
+def _once(df: DataFrame, keys: list[str], message: str) -> DataFrame:
+    """The table as it is; the query fails where a key comes a second time. The check is part of the plan and uses the join's own distribution."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return df.withColumn("_nth", nth).where(F.when(F.col("_nth") > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)).drop("_nth")
+
+
+def _found(joined: DataFrame, mark: str, message: str) -> DataFrame:
+    """The rows of an outer join; the query fails where the other side is missing."""
+    return joined.where(F.when(F.col(mark).isNull(), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)).drop(mark)
+
+
 def align_keys(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """df's rows for the target's keys; a missing or doubled key raises."""
-    doubled = df.groupBy(*keys).count().where("count > 1").limit(1).count()
-    missing = target.select(*keys).join(df.select(*keys), keys, "left_anti").limit(1).count()
-    if doubled or missing:
-        raise ValueError(f"{'a key is doubled' if doubled else 'a key is missing'}")
-    return target.select(*keys).join(df, keys)
+    """df's rows for the target's keys; a missing or doubled key fails the query that reads them. No job runs before that."""
+    one = _once(df, keys, "a key is doubled").withColumn("_here", F.lit(1))
+    return _found(target.select(*keys).join(one, keys, "left"), "_here", "a key is missing")
 
 
 def map_lookup(df: DataFrame, mapping: DataFrame, key: str, value: str, default=1, out: str | None = None) -> DataFrame:
@@ -193,11 +184,21 @@ def opponent_map(df: DataFrame, group: str = "game", team: str = "team") -> Data
     return teams.select(group, F.explode(F.array(pair(0), pair(1))).alias("_p")).select(group, "_p.*")
 
 
-def inverse_rows(base: DataFrame, sidecar: DataFrame, keys: list[str], kept: str, net: str, source: str, id_col: str = "id", base_type: str | None = None, type_col: str = "type") -> DataFrame:
-    """A row per sidecar entry with the negated net of the row it is linked to; entries without such a row have 0."""
+def inverse_rows(base: DataFrame, sidecar: DataFrame, keys: list[str], kept: str, net: str, source: str, id_col: str = "id", base_type: str | None = None, type_col: str = "type", order: list[str] | None = None) -> DataFrame:
+    """A row per sidecar entry that is linked to a row with a net, with the negated net: ``adj_for`` if it is a gain, ``adj_against`` if a loss.
+
+    Entries whose row is missing or has no net give none. A doubled row of the base counts once: the first in ``order`` (without one, the least net).
+    """
     b = base.where(F.col(type_col) == base_type) if base_type else base
-    b = b.select(*keys, F.col(id_col).alias(kept), F.col(net).alias("_net"))
-    return sidecar.join(b, [*keys, kept], "left").withColumn(net, -F.coalesce("_net", F.lit(0.0))).withColumn("credit_source", F.lit(source)).drop("_net")
+    one = F.min_by(F.struct(F.col(net).alias("v")), F.struct(*order))["v"] if order else F.min(net)
+    b = b.groupBy(*keys, F.col(id_col).alias(kept)).agg(one.alias("_net")).where("_net IS NOT NULL")
+    gain = F.lit(0.0) - F.col("_net")
+    return sidecar.join(b, [*keys, kept]).withColumns({
+        net: gain,
+        "adj_for": F.when(gain >= 0, gain).otherwise(0.0),
+        "adj_against": F.when(gain < 0, F.col("_net")).otherwise(0.0),
+        "credit_source": F.lit(source),
+    }).drop("_net")
 
 
 def drop_keys(df: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,12 +207,9 @@ def drop_keys(df: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def attach_source(preds: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Many predictions to one source row; doubled source keys and orphans raise."""
-    if source.groupBy(*keys).count().where("count > 1").limit(1).count():
-        raise ValueError("source keys are doubled")
-    if preds.join(source.select(*keys), keys, "left_anti").limit(1).count():
-        raise ValueError("a prediction has no source row")
-    return preds.join(source, keys, "left")
+    """Many predictions to one source row; doubled source keys and orphans fail the query that reads them. No job runs before that."""
+    one = _once(source, keys, "source keys are doubled").withColumn("_here", F.lit(1))
+    return _found(preds.join(one, keys, "left"), "_here", "a prediction has no source row")
 
 
 def reconcile(official: DataFrame, counted: DataFrame, extra: DataFrame, unassigned: DataFrame, group: str = "game", team: str = "team") -> DataFrame:

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventry.operators.ranges import number_rows
+from eventry.operators.ranges import number_rows, reliable
 from eventry.operators.windows import sliding_windows
 
 # Reserved ids, and the label of padding.
@@ -94,25 +91,159 @@ def stratified_group_folds(groups: DataFrame, group: str, stratum: str, k: int =
     return groups.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
+# Models of M11: the most categories a column may have, passes over the rows, and the gradient at which a fit has settled.
+MAX_CATEGORIES, MAX_PASSES, SETTLED = 1000, 60, 1e-9
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors of each training fold."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for f, raw in zip(batch.column("train").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            v = np.frombuffer(raw)
+            total[f] = total[f] + v if f in total else v
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["train", "v"])
+
+
+class _Folds:
+    """Design matrices and multinomial sums of all folds; what it holds is a few numbers per column and fold."""
+
+    def __init__(self, num: list[str], levels: dict[str, list[str]], label: str, fold: str, classes: list[float], folds: int, mean: np.ndarray, scale: np.ndarray):
+        self.num, self.levels, self.label, self.fold, self.classes, self.folds, self.mean, self.scale = num, levels, label, fold, classes, folds, mean, scale
+        self.width = 1 + len(num) + sum(map(len, levels.values()))
+
+    def matrices(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers as they are, and ones and indicators."""
+        n = batch.num_rows
+        raw = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in self.num]) if self.num else np.zeros((n, 0))
+        flags = [np.ones((n, 1))]
+        for c, values in self.levels.items():
+            at = pc.index_in(batch.column(c), value_set=pa.array(values, pa.string())).to_numpy(zero_copy_only=False)
+            flags.append((at[:, None] == np.arange(len(values))).astype(float))
+        return raw, np.hstack(flags)
+
+    def design(self, raw: np.ndarray, flags: np.ndarray, f: int) -> np.ndarray:
+        return np.hstack([flags[:, :1], (raw - self.mean[f]) / self.scale[f], flags[:, 1:]])
+
+    @staticmethod
+    def softmax(z: np.ndarray) -> np.ndarray:
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def sums(self, weights: dict[int, np.ndarray]):
+        """Per task and training fold the loss, its gradient and its Hessian over all rows of the other folds, in one pass."""
+        k, w = len(self.classes), self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {f: np.zeros(1 + k * w + (k * w) ** 2) for f in weights}
+            for batch in batches:
+                raw, flags = self.matrices(batch)
+                y = batch.column(self.label).to_numpy(zero_copy_only=False)
+                own = batch.column(self.fold).to_numpy(zero_copy_only=False)
+                hot = (y[:, None] == np.array(self.classes)).astype(float)
+                for f, beta in weights.items():
+                    rows = (own != f) & hot.any(axis=1)
+                    x, t = self.design(raw[rows], flags[rows], f), hot[rows]
+                    p = self.softmax(x @ beta.T)
+                    hess = np.zeros((k, w, k, w))
+                    for i in range(k):
+                        for j in range(i + 1):
+                            hess[i, :, j, :] = x.T @ (x * (p[:, i] * ((i == j) - p[:, j]))[:, None])
+                            hess[j, :, i, :] = hess[i, :, j, :].T
+                    total[f] += np.concatenate([[-np.log(np.maximum((p * t).sum(axis=1), 1e-300)).sum()], ((p - t).T @ x).ravel(), hess.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["train", "v"])
+
+        return run
+
+    def predict(self, weights: dict[int, np.ndarray], keep: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, flags = self.matrices(batch)
+                own = batch.column(self.fold).to_numpy(zero_copy_only=False)
+                p = np.zeros((batch.num_rows, len(self.classes)))
+                for f, beta in weights.items():
+                    rows = own == f
+                    p[rows] = self.softmax(self.design(raw[rows], flags[rows], f) @ beta.T)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([*p], pa.list_(pa.float64()))], names=[*keep, "p"])
+
+        return run
+
+
 def fit_oof(df: DataFrame, num: list[str], cat: list[str], label: str, fold: str, keys: list[str], c: float = 1.0, folds: int = 5) -> DataFrame:
-    """A multinomial ridge model per fold (the other folds are its input), and probabilities of the fold's rows as ``p``.
+    """A multinomial ridge model per fold, learned from the other folds, and the probabilities of the fold's rows as ``p`` (an entry per class, ascending).
 
-    The rows are cached and counted once, and the folds are fitted side by side.
+    Missing numbers are 0, numbers are standardised over the rows learned from, missing categories are "NA", and each category is an indicator. The loss is C times
+    the log-loss plus half the squared weights, intercepts left out. All folds are fitted together by Newton steps: a pass over the rows gives every
+    fold's gradient and Hessian, summed in tasks and once more per fold, so the driver sees one small vector per fold and pass. The selected columns are written once to
+    the shared folder. Rows without a label are predicted only; rows without a fold (0 .. folds - 1) are left out. A category column may have ``MAX_CATEGORIES`` values.
     """
-    d = df.select(*dict.fromkeys([*keys, fold, label, *num, *cat])).fillna(0.0, num).fillna("NA", cat).withColumn("_y", F.col(label).cast("double")).persist()
-    sizes = {r[0]: r[1] for r in d.groupBy(fold).count().collect()}  # one row per fold
-
-    def one(f: int) -> DataFrame:
-        train = d.where(F.col(fold) != f)
-        stages = [StringIndexer(inputCols=cat, outputCols=[f"_i_{x}" for x in cat], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"_i_{x}" for x in cat], outputCols=[f"_o_{x}" for x in cat], handleInvalid="keep")] if cat else []
-        stages += [VectorAssembler(inputCols=num, outputCol="_num"), StandardScaler(inputCol="_num", outputCol="_z", withMean=True), VectorAssembler(inputCols=["_z", *[f"_o_{x}" for x in cat]], outputCol="_x")]
-        n = max(sum(v for k, v in sizes.items() if k is not None and k != f), 1)
-        stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=50, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_h"))
-        model = Pipeline(stages=stages).fit(train)
-        return model.transform(d.where(F.col(fold) == f)).select(*keys, fold, label, vector_to_array("_p").alias("p"))
-
-    with ThreadPoolExecutor(4) as pool:
-        return reduce(DataFrame.union, pool.map(one, range(folds)))
+    keep = list(dict.fromkeys([*keys, fold, label]))
+    d = df.where(F.col(fold).between(0, folds - 1)).select(
+        *keep, F.col(fold).cast("int").alias("_f"), F.col(label).cast("double").alias("_y"),
+        *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(f"_n_{x}") for x in num], *[F.coalesce(F.col(x).cast("string"), F.lit("NA")).alias(f"_c_{x}") for x in cat],
+    )
+    d = reliable(d)
+    learned = d.where("_y IS NOT NULL")
+    columns = [f"_n_{x}" for x in num]
+    stats = [a for x in columns for a in (F.avg(x), F.var_pop(x))]
+    per = {r[0]: r[1:] for r in learned.groupBy("_f").agg(F.count("*"), *stats).collect()}  # one row per fold
+    distinct = [F.array_sort(F.collect_set(F.when(F.col("_at") == x, F.col("v")))) for x in ("_y", *cat)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("_at"), b.alias("v")) for a, b in [("_y", F.col("_y").cast("string")), *[(x, F.col(f"_c_{x}")) for x in cat]]]))
+    values = learned.select(pairs.alias("q")).select("q.*").distinct()
+    most = values.groupBy("_at").count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_CATEGORIES:
+        raise ValueError(f"a column has {most} categories, more than {MAX_CATEGORIES}")
+    found = values.agg(*distinct).first()
+    classes, levels = sorted(map(float, found[0])), {f"_c_{x}": v for x, v in zip(cat, found[1:], strict=True)}
+
+    mean, scale = np.zeros((folds, len(num))), np.ones((folds, len(num)))
+    for f in range(folds):
+        others = [per[g] for g in per if g != f]
+        n = np.array([float(o[0]) for o in others])
+        m = np.array([o[1::2] for o in others], float).reshape(len(others), len(num))
+        v = np.array([o[2::2] for o in others], float).reshape(len(others), len(num))
+        if n.sum() and num:
+            mean[f] = n @ m / n.sum()
+            sd = np.sqrt(n @ (v + (m - mean[f]) ** 2) / n.sum())
+            scale[f] = np.where(sd > 1e-12, sd, 1.0)
+    model = _Folds(columns, levels, "_y", "_f", classes, folds, mean, scale)
+
+    k, w = len(classes), model.width
+    weights = {f: np.zeros((k, w)) for f in range(folds)}
+    penalty = np.ones((k, w))
+    penalty[:, 0] = 0.0
+    centre = np.zeros((k * w, k * w))  # intercepts are known up to a constant, which this fixes
+    centre[np.ix_(np.arange(0, k * w, w), np.arange(0, k * w, w))] = 1.0
+    open_, last = {*range(folds)} if k > 1 else set(), {}
+    numbers = learned.select("_f", "_y", *columns, *levels)
+    for _ in range(MAX_PASSES):
+        if not open_:
+            break
+        each = numbers.mapInArrow(model.sums({f: weights[f] for f in open_}), "train int, v binary")
+        merged = each.repartition(16 * folds, "train", F.spark_partition_id() % 16).mapInArrow(_added, "train int, v binary")
+        for f, raw in merged.repartition(folds, "train").mapInArrow(_added, "train int, v binary").collect():  # one row per fold
+            v = np.frombuffer(raw)
+            loss = c * v[0] + 0.5 * (penalty * weights[f] ** 2).sum()
+            if f in last and loss > last[f][0] + 1e-9 * abs(last[f][0]):  # too far: half the step
+                last[f] = (last[f][0], last[f][1], last[f][2] / 2)
+                weights[f] = last[f][1] + last[f][2]
+                continue
+            grad = c * v[1 : 1 + k * w].reshape(k, w) + penalty * weights[f]
+            hess = c * v[1 + k * w :].reshape(k * w, k * w) + np.diag(penalty.ravel()) + centre
+            step = -np.linalg.solve(hess, grad.ravel()).reshape(k, w)
+            last[f] = (loss, weights[f], step)
+            weights[f] = weights[f] + step
+            if np.abs(grad).max() <= SETTLED * max(1.0, c * per_rows(per, f)):
+                open_.discard(f)
+    types = dict(d.dtypes)
+    schema = ", ".join(f"`{x}` {types[x]}" for x in keep) + ", p array<double>"
+    return d.mapInArrow(model.predict(weights, keep), schema)
+
+
+def per_rows(per: dict[int, tuple], f: int) -> float:
+    """Rows that a fold's model learns from."""
+    return float(sum(v[0] for g, v in per.items() if g != f))
 
 
 def fold_metrics(preds: DataFrame, label: str, fold: str, p: str = "p", eps: float = 1e-12) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventry.functions.scalars import flip_if
+from eventry.operators.ranges import quantiles
 
 # Ids that stand for no id; classes of the vocabulary's reserved entries; the goal line; penalty adjustments.
 NO_IDS = ("", "<NA>", "nan", "None")
@@ -92,13 +93,16 @@ def mask_outcome(df: DataFrame, mask_types: list[str], outcome: str = "outcome",
 
 
 def sanitize_numeric(df: DataFrame, cols: list[str], strategy: str = "zero") -> DataFrame:
-    """numbers out of anything; NaN and infinities become null and are filled with 0 or the column's median."""
+    """numbers out of anything; NaN and infinities become null and are filled with 0 or the column's median (of distinct values, counted and dealt by ranges)."""
     number = lambda c: F.col(c).cast("string").try_cast("double")
     clean = df.withColumns({c: F.when(~F.isnan(number(c)) & (F.abs(number(c)) != float("inf")), number(c)) for c in cols})
     if strategy == "zero":
         return clean.fillna(0.0, cols)
-    medians = clean.agg(*[F.median(c).alias(c) for c in cols]).first()
-    return clean.fillna({c: medians[c] for c in cols if medians[c] is not None})
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in cols]))
+    found = quantiles(clean.select(pairs.alias("_p")).select("_p.*"), (0.5,))
+    wide = found.agg(*[F.max(F.when(F.col("key") == c, F.col("q0"))).alias(f"_m_{c}") for c in cols])
+    joined = clean.join(F.broadcast(wide))  # one row
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 
 def possession_relative(df: DataFrame, home_team: str, pairs: dict[str, tuple[str, str]], team: str = "team", period: str = "period", time: str = "t") -> DataFrame:
@@ -128,9 +132,10 @@ def override_goal_probs(df: DataFrame, probs: tuple[str, str, str], type_col: st
 
 
 def adjust_penalty_taker(df: DataFrame, f: float = TAKER_FOR, a: float = TAKER_AGAINST, type_col: str = "type", penalty: str = "penalty", delta_for: str = "delta_for", delta_against: str = "delta_against") -> DataFrame:
-    """fixed additions on penalties, from the untouched columns, so that doing it twice changes nothing more."""
+    """fixed additions on penalties (a missing delta is 0 there), from the untouched columns, so that doing it twice changes nothing more."""
     hit = yes(F.col(type_col) == penalty)
-    out = df.withColumns({"adj_for": F.col(delta_for) + F.when(hit, f).otherwise(0.0), "adj_against": F.col(delta_against) + F.when(hit, a).otherwise(0.0)})
+    added = lambda c, v: F.when(hit, F.coalesce(F.col(c), F.lit(0.0)) + v).otherwise(F.col(c))
+    out = df.withColumns({"adj_for": added(delta_for, f), "adj_against": added(delta_against, a)})
     return out.withColumns({"adj_net": F.col("adj_for") - F.col("adj_against"), "adj_source": F.when(hit, "penalty_static").otherwise("model")})
 
 

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventry.functions.scalars import wrap_angle
 from eventry.operators.joins import next_payload
 from eventry.operators.project import union_aligned, yes
+from eventry.operators.ranges import deal, null_safe_join, scan
 from eventry.schema import DEFAULT, EventSchema
 
 # Types that end a sequence, that shots count as, and the caps on transitions; net, zones and period lengths.
 TERMINATORS = ("whistle", "goal")
 SHOT_LIKE = ("shot", "deflection")
+ATTEMPTS = ("shot", "deflection", "defensive_deflection")
+RESETS = ("faceoff", "whistle", "stoppage", "goal", "end_of_period", "period_end", "period_start", "start_of_period")
+SAVE_REASONS = ("save_with_freeze_credit", "save_with_whistle_no_baseline", "save_play_continued")
 CAPS = {"distance": 200.0, "speed": 120.0}
 NET = (89.0, 0.0)
 ZONE_EDGE, ZONE_EPS = 25.5, 0.25
 PERIOD_SECONDS = 1200.0
+SLOT_FLAGS = ("slot", "is_consistent", "is_new_to_stint")
 
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -38,16 +42,23 @@ def transition_features(df: DataFrame, s: EventSchema = DEFAULT, caps=CAPS, no_s
     return out.withColumns({"distance": F.when(F.col("_dx").isNotNull(), distance), "speed": F.when(F.col("_dx").isNotNull(), speed), "angle": F.atan2("_dy", "_dx")}).drop("_dx", "_dy")
 
 
-def angle_change(df: DataFrame, s: EventSchema = DEFAULT, shots=SHOT_LIKE, reception: str = "reception", source: str = "pass", lookback: tuple[int, ...] = (2, 3, 4), net=NET, dest=("dest_x", "dest_y")) -> DataFrame:
-    """How far the angle to the net turned on a shot; after a reception it is taken from the destination of a pass 2-4 rows back."""
-    w = s.in_sequence()
+def angle_change(df: DataFrame, s: EventSchema = DEFAULT, shots=ATTEMPTS, reception: str = "reception", source: str = "pass", lookback: tuple[int, ...] = (2, 3, 4), net=NET, dest=("dest_x", "dest_y")) -> DataFrame:
+    """How far the angle to the net turned on a shot, since the row before it in its sequence.
+
+    After a reception the origin is that of the nearest pass 2-4 rows back: its destination, or its own place if it has none. Without such a pass it is the reception's.
+    """
+    w = s.window(s.period, s.sequence)
     angle = lambda x, y: F.atan2(F.lit(net[1]) - y, F.lit(net[0]) - x)
-    from_pass = F.coalesce(*[F.when(F.lag(s.type, n).over(w) == source, F.struct(F.lag(dest[0], n).over(w).alias("x"), F.lag(dest[1], n).over(w).alias("y"))) for n in lookback])
-    before = F.struct(F.lag(s.x).over(w).alias("x"), F.lag(s.y).over(w).alias("y"))
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    to = [F.col(c) for c in dest]
+    aimed = F.when(to[0].isNotNull() & to[1].isNotNull(), place(*to)).otherwise(place(F.col(s.x), F.col(s.y)))
+    d = df.withColumn("_to", aimed)
+    from_pass = F.coalesce(*[F.when(F.lag(s.type, n).over(w) == source, F.lag("_to", n).over(w)) for n in lookback])
+    before = place(F.lag(s.x).over(w), F.lag(s.y).over(w))
     origin = F.when(yes(F.lag(s.type).over(w) == reception), F.coalesce(from_pass, before)).otherwise(before)
-    out = df.withColumn("_o", origin)
+    d = d.withColumn("_o", origin)
     turned = F.abs(wrap_angle(angle(F.col(s.x), F.col(s.y)) - angle(F.col("_o.x"), F.col("_o.y"))))
-    return out.withColumn("angle_change", F.when(_is(shots, s), turned)).drop("_o")
+    return d.withColumn("angle_change", F.when(_is(shots, s), turned)).drop("_o", "_to")
 
 
 def disorder_count(df: DataFrame, s: EventSchema = DEFAULT, threshold: float = -1.0) -> DataFrame:
@@ -117,14 +128,21 @@ def drop_windows(df: DataFrame, start: str, stop: str, s: EventSchema = DEFAULT)
     return d.where("_open IS NULL OR _closed > 0").drop("_open", "_closed")
 
 
-def keep_best_duplicate(df: DataFrame, keys: list[str], type_: str, sources, s: EventSchema = DEFAULT) -> DataFrame:
-    """Of the rows of a type with equal keys the one closest after a source row stays, then the earliest."""
-    n = F.row_number().over(s.window())
-    d = df.withColumn("_n", n)
-    d = d.withColumn("_src", F.last(F.when(_is(sources, s), F.col("_n")), ignorenulls=True).over(s.in_sequence().rowsBetween(*BEFORE)))
+def keep_best_duplicate(df: DataFrame, type_: str = "goal", sources=ATTEMPTS, s: EventSchema = DEFAULT) -> DataFrame:
+    """Of a team's rows of a type in a sequence of a period the one closest after a source row of the same team stays, then the earliest.
+
+    Places count all rows of the sequence. Rows of the type without a team, sequence or period are no duplicates.
+    """
+    keys = [s.group, s.period, s.sequence, s.team]
+    d = df.withColumn("_n", F.row_number().over(s.window(s.period, s.sequence)))
+    own = s.window(s.period, s.sequence, s.team).rowsBetween(*BEFORE)
+    d = d.withColumn("_src", F.last(F.when(_is(sources, s), F.col("_n")), ignorenulls=True).over(own))
     gap = F.coalesce(F.col("_n") - F.col("_src"), F.lit(1 << 30))
     rank = F.row_number().over(Window.partitionBy(*keys, _is((type_,), s)).orderBy(gap, "_n"))
-    return d.withColumn("_rank", rank).where(~_is((type_,), s) | (F.col("_rank") == 1)).drop("_n", "_src", "_rank")
+    known = F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    return d.withColumn("_rank", rank).where(~_is((type_,), s) | ~known | (F.col("_rank") == 1)).drop("_n", "_src", "_rank")
 
 
 def drop_adjacent_duplicates(df: DataFrame, type_: str, s: EventSchema = DEFAULT) -> DataFrame:
@@ -147,27 +165,30 @@ def eos_flag(df: DataFrame, s: EventSchema = DEFAULT, types=TERMINATORS, mode: s
 def link_latest(df: DataFrame, sources, sinks, s: EventSchema = DEFAULT) -> DataFrame:
     """Each sink with the latest source of its sequence that no sink before it has taken, as ``source_id``.
 
-    A walk goes up at sources and down at sinks, and stays at 0 at its lowest. A sink that leaves level d takes the latest source that
-    reached d, so a ``lag`` inside each level pairs them; no loop is needed.
+    A walk goes up at sources and down at sinks, and stays at 0 at its lowest. A sink that leaves level d takes the latest source that reached d. The walk is
+    a scan of brackets: a stretch of rows counts by its sum (sources less sinks) and its lowest point (sinks that it leaves open), and these compose, so the ranges
+    of a hot sequence are walked apart; so are the pairs inside a hot level. No loop is needed.
     """
-    w = s.in_sequence().rowsBetween(*UP_TO)
+    by, order = [s.group, s.sequence], list(s.order)
     d = df.withColumn("_step", F.when(_is(sources, s), 1).when(_is(sinks, s), -1).otherwise(0))
-    d = d.withColumn("_sum", F.sum("_step").over(w))
-    d = d.withColumn("_level", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
-    before = F.col("_level") + F.when(F.col("_step") == -1, 1).otherwise(0)
+    d = scan(deal(d, by, order), by, order, {"_sum": ("sum", F.col("_step"), True)})
+    d = scan(d, by, order, {"_low": ("min", F.col("_sum"), True)})
+    d = d.withColumn("_level", F.col("_sum") - F.least(F.lit(0), F.col("_low")))
     # A sink at level 0 with nothing to take keeps level 0 before it, too.
-    was = F.coalesce(F.lag("_level").over(s.in_sequence()), F.lit(0))
-    d = d.withColumn("_was", was)
-    d = d.withColumn("_at", F.when(F.col("_step") == 1, F.col("_level")).when((F.col("_step") == -1) & (F.col("_was") > 0), before))
-    pair = Window.partitionBy(s.group, s.sequence, "_at").orderBy(*s.order)
-    source = F.lag(F.when(F.col("_step") == 1, F.col(s.id))).over(pair)
-    return d.withColumn("source_id", F.when((F.col("_step") == -1) & F.col("_at").isNotNull(), source)).drop("_step", "_sum", "_level", "_was", "_at")
+    d = scan(d, by, order, {"_was": ("last", F.col("_level"), False)}).drop("_cell")
+    takes = (F.col("_step") == -1) & (F.coalesce("_was", F.lit(0)) > 0)
+    d = d.withColumn("_depth", F.when(F.col("_step") == 1, F.col("_level")).when(takes, F.col("_level") + 1))
+    # On a level sources and sinks take turns, so the last source before a sink is the row before it.
+    at = [*by, "_depth"]
+    d = scan(deal(d, at, order), at, order, {"source_id": ("last", F.when(F.col("_step") == 1, F.col(s.id)), False)})
+    return d.withColumn("source_id", F.when(takes, F.col("source_id"))).drop("_step", "_sum", "_low", "_level", "_was", "_depth", "_cell")
 
 
 def derive_flag(df: DataFrame, s: EventSchema = DEFAULT, goal: str = "goal", sources=SHOT_LIKE, tag: Column | None = None) -> DataFrame:
-    """A goal, a shot followed by its team's goal, or a tagged row."""
+    """A goal, a shot whose next row in the game is its team's goal in the same sequence, or a tagged row."""
     w = s.window()
-    scored = _is(sources, s) & yes(F.lead(s.type).over(w) == goal) & yes(F.lead(s.team).over(w) == F.col(s.team))
+    next_is = lambda c: yes(F.lead(c).over(w) == F.col(c))
+    scored = _is(sources, s) & yes(F.lead(s.type).over(w) == goal) & next_is(s.sequence) & next_is(s.team)
     return df.withColumn("is_goal", _is((goal,), s) | scored | (yes(tag) if tag is not None else F.lit(False)))
 
 
@@ -182,15 +203,18 @@ def inject_after(df: DataFrame, mask: Column, values: dict[str, Column], s: Even
     return d.unionByName(made)
 
 
-def reclassify(df: DataFrame, target: str, new: str, prior=SHOT_LIKE, n: int = 3, resets=("faceoff", "whistle", "goal"), s: EventSchema = DEFAULT) -> DataFrame:
-    """A target row becomes ``new`` if one of the n rows before it, none past a reset, is a prior row of another team."""
-    w = s.window()
-    state = F.lit(None).cast("boolean")
-    for k in range(n, 0, -1):  # the nearest row decides first
+def reclassify(df: DataFrame, target: str, new: str, prior=("shot",), n: int = 3, resets=RESETS, s: EventSchema = DEFAULT) -> DataFrame:
+    """A target row becomes ``new`` if the nearest prior row among the n rows before it in its sequence is another team's.
+
+    The search stops at the nearest prior row, whose team decides (a missing team on either side: no), and at a reset.
+    """
+    w = s.in_sequence()
+    state = F.lit(False)
+    for k in range(n, 0, -1):  # the nearest row decides last
         kind, team = F.lag(s.type, k).over(w), F.lag(s.team, k).over(w)
-        state = F.when(yes(kind.isin(*resets)), False).when(yes(kind.isin(*prior)) & yes(team != F.col(s.team)), True).otherwise(state)
-    d = df.withColumn("_blocked", yes(state))
-    return d.withColumn(s.type, F.when(_is((target,), s) & F.col("_blocked"), new).otherwise(F.col(s.type))).drop("_blocked")
+        state = F.when(yes(kind.isin(*resets)), False).when(yes(kind.isin(*prior)), yes(team != F.col(s.team))).otherwise(state)
+    d = df.withColumn("_other", state)
+    return d.withColumn(s.type, F.when(_is((target,), s) & F.col("_other"), new).otherwise(F.col(s.type))).drop("_other")
 
 
 def demote_before_anchor(df: DataFrame, movers, before: str, anchors, n: int = 5, s: EventSchema = DEFAULT) -> DataFrame:
@@ -213,21 +237,22 @@ def lookahead_label(df: DataFrame, s: EventSchema = DEFAULT, shots=SHOT_LIKE, go
 
 
 def horizon_label(df: DataFrame, s: EventSchema = DEFAULT, horizon: float = 20.0, cap: float | None = PERIOD_SECONDS, goal: str = "goal", extended: tuple[str, str, float] | None = None) -> DataFrame:
-    """What follows within the horizon: 0 the own team's goal, 1 the other's, 2 none; never beyond the period.
+    """What follows within the horizon: 0 the own team's goal, 1 another's (or one without a team), 2 none; never beyond the period.
 
+    Rows without a team have 2: nobody acts in them.
     ``extended`` = (type, until, seconds): rows of the type look until the next ``until`` row and the seconds after it.
     """
     d = next_payload(df, [goal], [s.group, s.period], s.time, [s.team], tie=s.id, type_col=s.type).withColumnRenamed("_next", "_goal")
-    end = F.max(s.time).over(Window.partitionBy(s.group, s.period))
-    if cap is not None:
-        end = F.least(end, F.lit(cap))
+    ends = df.groupBy(s.group, s.period).agg(F.max(s.time).alias("_end"))
+    d = null_safe_join(d, ends, [s.group, s.period])
+    end = F.col("_end") if cap is None else F.least(F.col("_end"), F.lit(cap))
     limit = F.col(s.time) + F.lit(horizon)
     if extended:
         d = next_payload(d, [extended[1]], [s.group, s.period], s.time, [], tie=s.id, type_col=s.type).withColumnRenamed("_next", "_until")
         limit = F.when(_is((extended[0],), s) & F.col("_until").isNotNull(), F.col(f"_until.{s.time}") + extended[2]).otherwise(limit)
-    d = d.withColumns({"_end": end, "_limit": limit})
-    inside = yes(F.col(f"_goal.{s.time}") <= F.least("_limit", "_end"))
-    return d.withColumn("target", F.when(inside & yes(F.col(f"_goal.{s.team}") == F.col(s.team)), 0).when(inside, 1).otherwise(2)).drop("_goal", "_until", "_end", "_limit")
+    inside = yes(F.col(f"_goal.{s.time}") <= F.least(limit, end)) & F.col(s.team).isNotNull()
+    own = yes(F.col(f"_goal.{s.team}") == F.col(s.team))
+    return d.withColumn("target", F.when(inside & own, 0).when(inside, 1).otherwise(2)).drop("_goal", "_until", "_end")
 
 
 def continuation_audit(df: DataFrame, type_: str, allowed, s: EventSchema = DEFAULT) -> DataFrame:
@@ -237,10 +262,10 @@ def continuation_audit(df: DataFrame, type_: str, allowed, s: EventSchema = DEFA
 
 
 def flag_offsetting(df: DataFrame, type_: str, gap: float = 4, s: EventSchema = DEFAULT) -> DataFrame:
-    """Rows of a type with one of another team at most so many ids before or after, among the rows of that type."""
+    """Rows of a type with one of another team at most so many ids before or after, among the rows of that type. A missing team is a team of its own."""
     w = Window.partitionBy(s.group).orderBy(s.id)
     t = df.where(_is((type_,), s))
-    near = lambda f: yes((F.abs(F.col(s.id) - f(s.id).over(w)) <= gap) & (f(s.team).over(w) != F.col(s.team)))
+    near = lambda f: yes((F.abs(F.col(s.id) - f(s.id).over(w)) <= gap) & ~f(s.team).over(w).eqNullSafe(F.col(s.team)))
     return t.withColumn("is_offsetting", near(F.lag) | near(F.lead))
 
 
@@ -252,32 +277,54 @@ def rank_slots(df: DataFrame, key: list[str], role_col: str, slots: dict[str, in
 
 
 def persistent_slots(roster: DataFrame, keys: list[str], step: str, member: str, distance: str, n: int = 6) -> DataFrame:
-    """Slots of a line over its steps: who stays keeps the slot, newcomers take free slots in the order of their distance.
+    """Slots of a line over its steps: who stays keeps the slot, newcomers take free slots in the order of their distance (unknown ones last, then by name).
 
-    The slots of a step depend on those of the step before, so a group (one game and team) is walked in order in one Pandas call.
+    Per row of the roster, doubled members once: ``slot`` (-1 without one), ``is_consistent`` (on the roster of the step before, too), ``is_new_to_stint``.
+    The slots of a step depend on those before, so a group is walked in order. Rows stream through the walk sorted by group and step; what is held
+    is one step's members and the slots, whatever the length of a group, and is carried from batch to batch.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([step, distance, member])
-        steps, members = pdf[step].to_numpy(), pdf[member].to_numpy()
-        starts = np.flatnonzero(np.append(True, steps[1:] != steps[:-1]))
-        slots: dict[str, int] = {}
-        at, who, where = [], [], []
-        for a, b in zip(starts, [*starts[1:], len(steps)], strict=True):
-            here = dict.fromkeys(members[a:b])
-            slots = {m: k for m, k in slots.items() if m in here}
-            free = iter(sorted({*range(n)} - {*slots.values()}))
-            for m in here:
-                if m not in slots and (k := next(free, None)) is not None:
-                    slots[m] = k
-                where.append(slots.get(m, -1))
-            at += [steps[a]] * len(here)
-            who += here
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, step: at, member: who, "slot": np.array(where, np.int32)})
+    names = [*keys, step, member]
+
+    def assign(slots: dict, before: set, here: list) -> list[tuple[int, int, int]]:
+        now = {*here}
+        for m in [m for m in slots if m not in now]:
+            del slots[m]
+        free = iter(sorted({*range(n)} - {*slots.values()}))
+        for m in here:
+            if m not in slots and (k := next(free, None)) is not None:
+                slots[m] = k
+        return [(slots.get(m, -1), int(m in before), int(m not in before)) for m in here]
+
+    def walk(batches):
+        group = at = None
+        slots: dict = {}
+        before: set = set()
+        here: dict = {}  # members of the step, in the order of their distance
+
+        def flush():
+            return [(*group, at, m, *found) for m, found in zip(here, assign(slots, before, [*here]), strict=True)]
+
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names] + [pa.int32()] * 3
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if here and (row[:-2] != group or row[-2] != at):
+                    out += flush()
+                    before, here = {*here}, {}
+                if row[:-2] != group:
+                    group, slots, before = row[:-2], {}, set()
+                at = row[-2]
+                here[row[-1]] = None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*names, *SLOT_FLAGS])
+        if here:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flush(), strict=True), kinds, strict=True)], names=[*names, *SLOT_FLAGS])
 
     kinds = dict(roster.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, step, member)) + ", slot int"
-    return roster.select(*keys, step, member, distance).groupBy(*keys).applyInPandas(walk, schema)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} int" for c in SLOT_FLAGS])
+    rows = roster.select(*names, distance).repartition(*keys).sortWithinPartitions(*keys, step, F.col(distance).asc_nulls_last(), member)
+    return rows.mapInArrow(walk, schema)
 
 
 def changed_flag(df: DataFrame, col: str, s: EventSchema = DEFAULT) -> DataFrame:
@@ -295,17 +342,23 @@ def slots_to_wide(df: DataFrame, keys: list[str], side: str, slot: str, sides: t
 
 
 def relative_delta(df: DataFrame, p_for: str, p_against: str, s: EventSchema = DEFAULT, zero_types=("goal", "whistle")) -> DataFrame:
-    """How the two probabilities changed, seen by the acting team: the row before is swapped when the team changed. First rows and zero types have 0."""
+    """How the two probabilities changed, seen by the acting team: the row before is swapped when the team changed.
+
+    Rows without a team act for the last known one; while none is known, every row is a change. Missing probabilities are 0, and so is what stands before the
+    first row. Zero types have no change.
+    """
     w = s.window()
-    team = F.last(s.team, ignorenulls=True).over(w.rowsBetween(*UP_TO))
-    d = df.withColumn("_team", team)
-    prev = F.lag(F.struct(F.col("_team").alias("t"), F.col(p_for).alias("f"), F.col(p_against).alias("a"))).over(w)
-    d = d.withColumn("_prev", prev)
-    same = F.col("_prev.t").eqNullSafe(F.col("_team"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    d = df.withColumn("_team", F.last(s.team, ignorenulls=True).over(w.rowsBetween(*UP_TO)))
+    d = d.withColumn("_prev", F.lag(F.struct(F.col("_team").alias("t"), F.col(p_for).alias("f"), F.col(p_against).alias("a"))).over(w))
+    same = yes(F.col("_prev.t") == F.col("_team"))
     pf = F.when(same, F.col("_prev.f")).otherwise(F.col("_prev.a"))
-    pa = F.when(same, F.col("_prev.a")).otherwise(F.col("_prev.f"))
-    none = F.col("_prev").isNull() | _is(zero_types, s)
-    return d.withColumns({"delta_for": F.when(none, 0.0).otherwise(F.col(p_for) - pf), "delta_against": F.when(none, 0.0).otherwise(F.col(p_against) - pa)}).drop("_team", "_prev")
+    pa_ = F.when(same, F.col("_prev.a")).otherwise(F.col("_prev.f"))
+    none = _is(zero_types, s)
+    return d.withColumns({
+        "delta_for": F.when(none, 0.0).otherwise(zero(F.col(p_for)) - zero(pf)),
+        "delta_against": F.when(none, 0.0).otherwise(zero(F.col(p_against)) - zero(pa_)),
+    }).drop("_team", "_prev")
 
 
 def next_except(df: DataFrame, payload: list[str], s: EventSchema = DEFAULT, only: tuple[str, ...] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -323,25 +376,37 @@ def inject_with_next(df: DataFrame, after: str, next_type: str, made_type: str,
 
 
 def zone(x: Column, raw: Column | None = None, edge: float = ZONE_EDGE, eps: float = ZONE_EPS) -> Column:
-    """Oz, dz or nz; within the band around an edge the raw value decides."""
+    """Oz, dz or nz (no place: nz); within the band around an edge the sign of the raw value decides, if it has one."""
+    plain = F.when(x > edge, "oz").when(x < -edge, "dz").otherwise("nz")
+    if raw is None:
+        return plain
     near = F.abs(F.abs(x) - edge) <= eps
-    v = F.when(near, F.coalesce(raw, x)).otherwise(x) if raw is not None else x
-    return F.when(v > edge, "oz").when(v < -edge, "dz").when(v.isNotNull(), "nz")
+    return F.when(near & (raw > 0), "oz").when(near & (raw < 0), "dz").otherwise(plain)
+
 
+def stamp_next_zone(df: DataFrame, baselines: DataFrame, s: EventSchema = DEFAULT, at: str = "whistle", next_type: str = "faceoff", raw: str | None = None, probs: tuple[str, str, str] | None = None, edge: float = ZONE_EDGE, eps: float = ZONE_EPS) -> DataFrame:
+    """On each ``at`` row the baselines (zone, base_for, base_against) of the next faceoff's zone; without one those of nz.
 
-def stamp_next_zone(df: DataFrame, baselines: DataFrame, s: EventSchema = DEFAULT, at: str = "whistle", next_type: str = "faceoff") -> DataFrame:
-    """On each ``at`` row the baselines (zone, base_for, base_against) of the next faceoff's zone; without one those of nz."""
-    d = next_except(df, [s.x], s, only=(next_type,))
-    d = d.withColumn("zone", F.when(_is((at,), s), F.coalesce(zone(F.col(f"next_row.{s.x}")), F.lit("nz")))).drop("next_row")
-    return d.join(F.broadcast(baselines), "zone", "left")  # three rows
+    ``raw`` names the place that decides at a zone's edge. ``probs`` (for, against, none) take the baselines on these rows, so that later steps see them as the row's state.
+    """
+    place = zone(F.col(s.x), F.col(raw) if raw else None, edge, eps)
+    d = next_except(df.withColumn("_zone", place), ["_zone"], s, only=(next_type,))
+    d = d.withColumn("zone", F.when(_is((at,), s), F.coalesce("next_row._zone", F.lit("nz")))).drop("next_row", "_zone")
+    d = d.join(F.broadcast(baselines), "zone", "left")  # three rows
+    if probs is None:
+        return d
+    none = F.greatest(F.least(1.0 - F.col("base_for") - F.col("base_against"), F.lit(1.0)), F.lit(0.0))
+    new = zip(probs, (F.col("base_for"), F.col("base_against"), none), strict=True)
+    return d.withColumns({c: F.when(_is((at,), s), v).otherwise(F.col(c)) for c, v in new})
 
 
 def save_credit(df: DataFrame, delta: str, p_opp: str, baseline: str, s: EventSchema = DEFAULT, save: str = "save", whistle: str = "whistle") -> DataFrame:
-    """A save's own delta, and if play stops right after it what the stop took from the other team's chance."""
+    """A save's own delta, and if play stops right after it what the stop took from the other team's chance; ``save_reason`` says which applies."""
     w = s.window()
-    frozen = yes(F.lead(s.type).over(w) == whistle)
-    freeze = F.when(frozen, F.greatest(F.lit(0.0), F.col(p_opp) - F.coalesce(F.lead(baseline).over(w), F.col(p_opp)))).otherwise(0.0)
-    d = df.withColumns({"freeze_credit": freeze, "save_reason": F.when(frozen, "save_freeze").otherwise("save_live")})
+    frozen, base = yes(F.lead(s.type).over(w) == whistle), F.lead(baseline).over(w)
+    freeze = F.when(frozen & base.isNotNull(), F.greatest(F.lit(0.0), F.coalesce(F.col(p_opp), F.lit(0.0)) - base)).otherwise(0.0)
+    with_base, without, live = SAVE_REASONS
+    d = df.withColumns({"freeze_credit": freeze, "save_reason": F.when(frozen & base.isNotNull(), with_base).when(frozen, without).otherwise(live)})
     return d.where(_is((save,), s)).withColumn("save_credit", F.coalesce(F.col(delta), F.lit(0.0)) + F.col("freeze_credit"))
 
 

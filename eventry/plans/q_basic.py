@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from eventry.functions import scalars as C
 from eventry.operators import aggregates as A
 from eventry.operators import project as P
-from eventry.plans.registry import Registry
+from eventry.operators import windows as W
+from eventry.plans.registry import Registry, folder
 from eventry.sources import tables as S
 from eventry.sources.tables import scan_events, scan_parquet
 from eventry.testmap import EV, SCORED, TRACKING, events, scored, table, tracking
@@ -18,12 +16,6 @@ from eventry.testmap import EV, SCORED, TRACKING, events, scored, table, trackin
 R = Registry()
 
 
-def _folder(spark) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-eventry-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 QUERIES, ORACLES = R.queries, R.oracles
 
 
@@ -40,6 +32,15 @@ def s07_scan_events(spark, d):
     return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ingest_order")).alias("place"))
 
 
+# The rows lie in the order of ts and event_id.
+@R.add("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
+def s07_ingest_order(spark, d):
+    from pyspark.sql import Window
+
+    e = scan_events(spark, f"{d}/events.parquet", ["event_id", "user_id"])
+    return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ingest_order")).alias("place"))
+
+
 @R.add(f"WITH {EV} SELECT id, period, t FROM ev WHERE period <= 4 AND (period < 4 OR t < 300000)")
 def f01_filter_time_boundary(spark, d):
     return P.filter_time_boundary(events(spark, d), cutoff=300_000.0).select("id", "period", "t")
@@ -90,6 +91,16 @@ def f13_sanitize_numeric(spark, d):
     return P.sanitize_numeric(li, ["l_quantity", "l_tax"])
 
 
+@R.add("""WITH m AS (SELECT quantile_cont(l_tax, 0.5) FILTER (WHERE l_linenumber > 1) AS tax, quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_linenumber <> 2) AS price FROM lineitem)
+          SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN tax ELSE l_tax END AS l_tax, CASE WHEN l_linenumber = 2 THEN price ELSE l_extendedprice END AS l_extendedprice FROM lineitem, m""")
+def f13_median(spark, d):
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, float("nan")).otherwise(F.col("l_tax")).alias("l_tax"),
+        F.when(F.col("l_linenumber") == 2, float("inf")).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"),
+    )
+    return P.sanitize_numeric(li, ["l_tax", "l_extendedprice"], "median")
+
+
 @R.add(f"""WITH {EV} SELECT id, CASE WHEN coalesce(team = 'T0', false) THEN x ELSE y END AS pos_own, CASE WHEN coalesce(team = 'T0', false) THEN y ELSE x END AS pos_opp,
            greatest(least(CASE WHEN period >= 4 THEN 300.0 ELSE 1200.0 END - t, 1200.0), 0.0) AS time_remaining FROM ev""")
 def f14_possession_relative(spark, d):
@@ -384,21 +395,31 @@ def a33_missing_by(spark, d):
 @R.add("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s02_csv_round_trip(spark, d):
     """S04 writes what S02 reads."""
-    path = _folder(spark)
+    path = folder(spark)
     S.sink_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
     return S.scan_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double")
 
 
 @R.add("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def s03_sink_parquet(spark, d):
-    path = _folder(spark)
+    path = folder(spark)
     S.sink_parquet(table(spark, d, "nation"), path, ["n_regionkey"])
     return scan_parquet(spark, path, ["n_regionkey"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
+@R.add(f"""WITH {EV}, w AS (SELECT id, lag(player) OVER g AS before, player, lag(id) OVER g AS prev, lead(id) OVER q AS later, type FROM ev
+           WINDOW g AS (PARTITION BY game ORDER BY period, t, id), q AS (PARTITION BY game, seq ORDER BY period, t, id))
+           SELECT id, CASE WHEN prev IS NOT NULL AND before IS DISTINCT FROM player THEN 1 ELSE 0 END AS player_changed, CASE WHEN type IN ('whistle', 'goal') AND later IS NULL THEN 1 ELSE 0 END AS is_eos FROM w""")
+def s03_clustered_windows(spark, d):
+    """Two window operators over a table in buckets by game: the plan has no exchange."""
+    path = folder(spark)
+    t = S.sink_clustered(events(spark, d), f"clustered_{path.rsplit('/', 1)[1]}", path, ["game"], ["period", "t", "id"], 16)
+    return W.eos_flag(W.changed_flag(t, "player")).select("id", "player_changed", "is_eos")
+
+
 @R.add("SELECT r_regionkey, r_name FROM region")
 def s05_sink_json(spark, d):
-    path = _folder(spark)
+    path = folder(spark)
     r = table(spark, d, "region").select("r_regionkey", "r_name")
     S.sink_json(r, path)
     return spark.read.schema(r.schema).json(path)
@@ -406,7 +427,7 @@ def s05_sink_json(spark, d):
 
 @R.add("SELECT 'orders' AS artifact, count(*) AS n_rows, 6 AS n_columns, 'pass' AS gate FROM orders UNION ALL SELECT 'part', count(*), 6, 'pass' FROM part")
 def s06_append_manifest(spark, d):
-    path = _folder(spark)
+    path = folder(spark)
     for name in ("orders", "part"):
         S.append_manifest(table(spark, d, name), name, f"{d}/{name}.parquet", path)
     return spark.read.parquet(path).select("artifact", "n_rows", "n_columns", "gate")
@@ -414,7 +435,7 @@ def s06_append_manifest(spark, d):
 
 @R.add("SELECT vec_id, len(embedding) AS width, round(list_sum(embedding), 3) AS total FROM embeddings")
 def s08_sink_vectors(spark, d):
-    path = _folder(spark)
+    path = folder(spark)
     S.sink_vectors(table(spark, d, "embeddings"), ["vec_id"], "embedding", path)
     v = spark.read.parquet(path)
     return v.select("vec_id", F.size("embedding").cast("long").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
@@ -444,10 +465,12 @@ def f11_coordinate_columns(spark, d):
     return P.coordinate_columns(e, "adjusted").select("id", "x", "y")
 
 
-@R.add(f"""WITH {EV}, a AS (SELECT id, type, x / 100 + CASE WHEN type = 'faceoff' THEN 0.02 ELSE 0 END AS f, y / 100 + CASE WHEN type = 'faceoff' THEN 0.2 ELSE 0 END AS g FROM ev)
-           SELECT id, f AS adj_for, g AS adj_against, f - g AS adj_net, CASE WHEN type = 'faceoff' THEN 'penalty_static' ELSE 'model' END AS adj_source FROM a""")
+# Every fifth delta is missing: on a penalty it counts as 0, elsewhere it stays missing.
+@R.add(f"""WITH {EV}, a AS (SELECT id, type = 'faceoff' AS hit, CASE WHEN id % 5 > 0 THEN x / 100 END AS df, y / 100 AS da FROM ev),
+           b AS (SELECT id, hit, CASE WHEN hit THEN coalesce(df, 0) + 0.02 ELSE df END AS f, CASE WHEN hit THEN coalesce(da, 0) + 0.2 ELSE da END AS g FROM a)
+           SELECT id, f AS adj_for, g AS adj_against, f - g AS adj_net, CASE WHEN hit THEN 'penalty_static' ELSE 'model' END AS adj_source FROM b""")
 def f17_adjust_penalty_taker(spark, d):
-    e = events(spark, d).withColumns({"delta_for": F.col("x") / 100, "delta_against": F.col("y") / 100})
+    e = events(spark, d).withColumns({"delta_for": F.when(F.col("id") % 5 > 0, F.col("x") / 100), "delta_against": F.col("y") / 100})
     return P.adjust_penalty_taker(e, penalty="faceoff").select("id", "adj_for", "adj_against", "adj_net", "adj_source")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventry.operators import joins as J
 from eventry.operators.windows import BEFORE
 from eventry.plans.registry import Registry
+from eventry.schema import DEFAULT as S
 from eventry.testmap import EV, TRACKING, events, table, tracking
 
 R = Registry()
@@ -150,19 +151,26 @@ def j18_opponent_map(spark, d):
     return J.opponent_map(events(spark, d))
 
 
-@R.add(f"WITH {EV}, s AS (SELECT game, id, CASE WHEN id % 2 = 0 THEN id - 1 ELSE -5 END AS kept FROM ev WHERE type = 'faceoff') SELECT s.game, s.id, kept, -coalesce(ev.x, 0.0) AS net, 'inverse' AS credit_source FROM s LEFT JOIN ev ON s.game = ev.game AND kept = ev.id")
+_INVERSE = "0.0 - net AS net, greatest(0.0 - net, 0.0) AS adj_for, greatest(net, 0.0) AS adj_against"
+
+
+# Kept rows come twice, the later copy with another net; links of odd ids have no row, every seventh row no net.
+@R.add(f"""WITH {EV}, b AS (SELECT game, id, CASE WHEN id % 7 > 0 THEN x END AS net FROM ev), s AS (SELECT game, id, type, CASE WHEN id % 2 = 0 THEN lag(id) OVER (PARTITION BY game ORDER BY period, t, id) ELSE -5 END AS kept FROM ev)
+           SELECT s.game, s.id, kept, {_INVERSE}, 'faceoff_inverse' AS credit_source FROM s JOIN b ON s.game = b.game AND s.kept = b.id WHERE net IS NOT NULL AND type = 'faceoff'""")
 def j19_inverse_rows(spark, d):
-    e = events(spark, d).withColumn("net", F.col("x"))
-    side = e.where("type = 'faceoff'").select("game", "id", F.when(F.col("id") % 2 == 0, F.col("id") - 1).otherwise(-5).alias("kept"))
-    return J.inverse_rows(e, side, ["game"], "kept", "net", "inverse").select("game", "id", "kept", "net", "credit_source")
+    e = events(spark, d).select("game", "id", "type", F.when(F.col("id") % 7 > 0, F.col("x")).alias("net"), F.lit(1).alias("copy"))
+    base = e.union(e.withColumns({"net": F.lit(7.0), "copy": F.lit(2)}))
+    links = events(spark, d).withColumn("kept", F.when(F.col("id") % 2 == 0, F.lag("id").over(S.window())).otherwise(-5))
+    side = links.where("type = 'faceoff'").select("game", "id", "kept")
+    return J.inverse_rows(base, side, ["game"], "kept", "net", "faceoff_inverse", order=["copy"]).select("game", "id", "kept", "net", "adj_for", "adj_against", "credit_source")
 
 
-@R.add(f"""WITH {EV}, s AS (SELECT game, id, id - 150 AS kept FROM ev WHERE type = 'whistle') SELECT s.game, s.id, kept, -coalesce(b.y, 0.0) AS net, 'penalty_drawn' AS credit_source
-           FROM s LEFT JOIN (SELECT * FROM ev WHERE type = 'pass') b ON s.game = b.game AND kept = b.id""")
+@R.add(f"""WITH {EV}, b AS (SELECT game, id, y AS net FROM ev WHERE type = 'pass'), s AS (SELECT game, id, type, lag(id) OVER (PARTITION BY game ORDER BY period, t, id) AS kept FROM ev)
+           SELECT s.game, s.id, kept, {_INVERSE}, 'penalty_drawer_inverse' AS credit_source FROM s JOIN b ON s.game = b.game AND s.kept = b.id WHERE s.type = 'whistle'""")
 def j20_penalty_inverse_rows(spark, d):
     e = events(spark, d).withColumn("net", F.col("y"))
-    side = e.where("type = 'whistle'").select("game", "id", (F.col("id") - 150).alias("kept"))
-    return J.inverse_rows(e, side, ["game"], "kept", "net", "penalty_drawn", base_type="pass").select("game", "id", "kept", "net", "credit_source")
+    side = e.withColumn("kept", F.lag("id").over(S.window())).where("type = 'whistle'").select("game", "id", "kept")
+    return J.inverse_rows(e, side, ["game"], "kept", "net", "penalty_drawer_inverse", base_type="pass").select("game", "id", "kept", "net", "adj_for", "adj_against", "credit_source")
 
 
 @R.add("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -201,8 +209,6 @@ def j25_pair_rows(spark, d):
 @R.add(f"""WITH {EV}, e AS (SELECT *, lag(id) OVER w AS prev_id, lag(x) OVER w AS prev_x, last_value(CASE WHEN type = 'shot' THEN id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_id FROM ev WINDOW w AS (PARTITION BY game ORDER BY period, t, id))
            SELECT game, id, source_id, prev_id, prev_x FROM e WHERE type = 'goal' AND source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game, source_id ORDER BY id DESC) = 1""")
 def j26_link_chain(spark, d):
-    from eventry.schema import DEFAULT as S
-
     e = events(spark, d)
     w = S.window()
     links = e.withColumns({"prev_id": F.lag("id").over(w), "source_id": F.last(F.when(F.col("type") == "shot", F.col("id")), ignorenulls=True).over(w.rowsBetween(*BEFORE))}).where("source_id IS NOT NULL")

@@ -13,7 +13,7 @@ from eventry.operators import windows as O
 from eventry.operators.aggregates import max_present, strata, window_label_counts
 from eventry.operators.joins import inverse_rows, knn_edges
 from eventry.plans.q_windows import _CHUNKS
-from eventry.plans.registry import Registry
+from eventry.plans.registry import Registry, folder
 from eventry.schema import DEFAULT as S
 from eventry.testmap import DAY, EV, SCORED, TRACKING, events, scored, table, tracking
 
@@ -255,9 +255,9 @@ def v13_check_zero_padding(spark, d):
 @R.add(f"""WITH {EV}, c AS (SELECT 0 AS step_no, 'raw' AS step, count(*) AS rows_after FROM ev UNION ALL SELECT 1, 'typed', count(*) FROM ev WHERE type <> 'whistle' UNION ALL SELECT 2, 'acted', count(*) FROM ev WHERE type <> 'whistle' AND player IS NOT NULL)
            SELECT *, lag(rows_after) OVER (ORDER BY step_no) AS rows_before, coalesce(lag(rows_after) OVER (ORDER BY step_no) - rows_after, 0) AS removed FROM c""")
 def v14_step_counts(spark, d):
-    e = events(spark, d)
-    t = e.where("type <> 'whistle'")
-    return V.step_counts({"raw": e, "typed": t, "acted": t.where("player IS NOT NULL")})
+    path = folder(spark)
+    steps = {"typed": lambda df: df.where("type <> 'whistle'"), "acted": lambda df: df.where("player IS NOT NULL")}
+    return V.step_counts(events(spark, d), steps, lambda df: df.write.parquet(path))
 
 
 @R.add(f"""WITH {EV}, k AS (SELECT * FROM ev WHERE id % 3 <> 0) SELECT 'columns' AS "check", true AS passed, CAST(0 AS BIGINT) AS n UNION ALL {_rows(('index_range', 'count(*) FILTER (WHERE player IS NULL OR CAST(substr(player, 2) AS INT) >= 30)', 'k'))}

@@ -25,16 +25,22 @@ def w01_transition_features(spark, d):
     return O.transition_features(events(spark, d), no_speed=("whistle",)).where("distance IS NOT NULL").select("id", "dt", "distance", "speed", "angle")
 
 
-_ANGLE = "atan2(0.0 - {y}, 89.0 - {x})"
-
-
-@R.add(f"""WITH {EV}, l AS (SELECT *, CASE WHEN coalesce(lag(type) OVER w = 'faceoff', false) THEN coalesce(CASE WHEN lag(type, 2) OVER w = 'pass' THEN lag(y, 2) OVER w END, CASE WHEN lag(type, 3) OVER w = 'pass' THEN lag(y, 3) OVER w END, CASE WHEN lag(type, 4) OVER w = 'pass' THEN lag(y, 4) OVER w END, lag(x) OVER w) ELSE lag(x) OVER w END AS ox,
-           CASE WHEN coalesce(lag(type) OVER w = 'faceoff', false) THEN coalesce(CASE WHEN lag(type, 2) OVER w = 'pass' THEN lag(x, 2) OVER w END, CASE WHEN lag(type, 3) OVER w = 'pass' THEN lag(x, 3) OVER w END, CASE WHEN lag(type, 4) OVER w = 'pass' THEN lag(x, 4) OVER w END, lag(y) OVER w) ELSE lag(y) OVER w END AS oy FROM ev WINDOW w AS ({Q})),
-           a AS (SELECT id, {_ANGLE.format(x='x', y='y')} - {_ANGLE.format(x='ox', y='oy')} AS a FROM l WHERE type = 'shot')
-           SELECT id, round(abs(atan2(sin(a), cos(a))), 6) AS angle_change FROM a""")
+_ANGLE = "atan2({y}, 89.0 - {x})"
+_PASS = ", ".join(f"CASE WHEN lag(type, {k}) OVER w = 'pass' THEN lag(aim, {k}) OVER w END" for k in (2, 3, 4))
+_IN_PERIOD = "PARTITION BY game, period, seq ORDER BY period, t, id"
+
+
+# Passes of every third id have no destination, of every fifth only one half of it.
+@R.add(f"""WITH {EV}, e AS (SELECT *, CASE WHEN id % 3 > 0 THEN y END AS dx, CASE WHEN id % 5 > 0 THEN x END AS dy FROM ev),
+           a AS (SELECT *, CASE WHEN dx IS NOT NULL AND dy IS NOT NULL THEN [dx, dy] ELSE [x, y] END AS aim FROM e),
+           o AS (SELECT *, CASE WHEN coalesce(lag(type) OVER w = 'faceoff', false) THEN coalesce({_PASS}, [lag(x) OVER w, lag(y) OVER w]) ELSE [lag(x) OVER w, lag(y) OVER w] END AS o
+                 FROM a WINDOW w AS ({_IN_PERIOD})),
+           r AS (SELECT id, {_ANGLE.format(x='x', y='y')} - {_ANGLE.format(x='o[1]', y='o[2]')} AS a FROM o WHERE type IN ('shot', 'goal'))
+           SELECT id, round(abs(atan2(sin(a), cos(a))), 6) AS angle_change FROM r""")
 def w02_angle_change(spark, d):
-    e = events(spark, d).withColumns({"dest_x": F.col("y"), "dest_y": F.col("x")})
-    return O.angle_change(e, reception="faceoff").where("type = 'shot'").select("id", F.round("angle_change", 6).alias("angle_change"))
+    e = events(spark, d).withColumns({"dest_x": F.when(F.col("id") % 3 > 0, F.col("y")), "dest_y": F.when(F.col("id") % 5 > 0, F.col("x"))})
+    out = O.angle_change(e, reception="faceoff", shots=("shot", "goal"))
+    return out.where("type IN ('shot', 'goal')").select("id", F.round("angle_change", 6).alias("angle_change"))
 
 
 @R.add(f"WITH {EV}, l AS (SELECT t - lag(t) OVER (PARTITION BY game, seq ORDER BY id) AS dt FROM ev) SELECT count(*) FILTER (WHERE dt < -1) AS n_disorder FROM l")
@@ -85,10 +91,13 @@ def w10_drop_windows(spark, d):
     return O.drop_windows(events(spark, d), "goal", "faceoff").select("id")
 
 
-@R.add(f"""WITH {EV}, o AS (SELECT *, row_number() OVER ({G}) AS n FROM ev), s AS (SELECT *, max(CASE WHEN type = 'shot' THEN n END) OVER ({Q} {_BEFORE}) AS sn FROM o)
-           SELECT id FROM s QUALIFY type <> 'goal' OR row_number() OVER (PARTITION BY game, period, seq, team, type = 'goal' ORDER BY coalesce(n - sn, 1073741824), n) = 1""")
+# The nearest own-team source before each goal, by a join; goals without a team are never duplicates.
+@R.add(f"""WITH {EV}, o AS (SELECT *, row_number() OVER ({_IN_PERIOD}) AS n FROM ev), goals AS (SELECT * FROM o WHERE type = 'goal' AND team IS NOT NULL),
+           s AS (SELECT g.id, min(g.n - b.n) AS gap FROM goals g JOIN o b ON g.game = b.game AND g.period = b.period AND g.seq = b.seq AND g.team = b.team AND b.type = 'shot' AND b.n < g.n GROUP BY g.id),
+           r AS (SELECT goals.id, row_number() OVER (PARTITION BY game, period, seq, team ORDER BY gap NULLS LAST, n) AS r FROM goals LEFT JOIN s USING (id))
+           SELECT id FROM ev WHERE id NOT IN (SELECT id FROM r WHERE r > 1)""")
 def w11_keep_best_duplicate(spark, d):
-    return O.keep_best_duplicate(events(spark, d), ["game", "period", "seq", "team"], "goal", ["shot"]).select("id")
+    return O.keep_best_duplicate(events(spark, d), "goal", ["shot"]).select("id")
 
 
 @R.add(f"""WITH {EV}, l AS (SELECT *, type = 'pass' AND coalesce(lag(type) OVER w = 'pass', false) AS a, type = 'pass' AND coalesce(lead(type) OVER w = 'pass', false) AS b, lag(player) OVER w AS pp, lead(player) OVER w AS np FROM ev WINDOW w AS ({Q}))
@@ -110,7 +119,8 @@ def w14_link_latest(spark, d):
     return O.link_latest(events(spark, d), ["shot"], ["goal"]).select("id", "source_id")
 
 
-@R.add(f"WITH {EV} SELECT id, type = 'goal' OR (type = 'shot' AND coalesce(lead(type) OVER w = 'goal' AND lead(team) OVER w = team, false)) AS is_goal FROM ev WINDOW w AS ({G})")
+@R.add(f"""WITH {EV} SELECT id, type = 'goal' OR (type = 'shot' AND coalesce(lead(type) OVER w = 'goal' AND lead(seq) OVER w = seq AND lead(team) OVER w = team, false)) AS is_goal
+           FROM ev WINDOW w AS ({G})""")
 def w15_derive_flag(spark, d):
     return O.derive_flag(events(spark, d)).select("id", "is_goal")
 
@@ -122,12 +132,13 @@ def w16_inject_after(spark, d):
     return O.inject_after(events(spark, d), (F.col("type") == "shot") & F.coalesce(nxt != "goal", F.lit(True)), {"type": F.lit("save")}).select(F.col("id").cast("double").alias("id"), "t", "type", "is_synthetic")
 
 
-_PRIOR = " ".join(f"WHEN coalesce(lag(type, {k}) OVER w IN ('faceoff', 'whistle', 'goal'), false) THEN false WHEN coalesce(lag(type, {k}) OVER w = 'shot' AND lag(team, {k}) OVER w <> team, false) THEN true" for k in (1, 2, 3))
-
-
-@R.add(f"WITH {EV}, l AS (SELECT *, CASE {_PRIOR} ELSE false END AS b FROM ev WINDOW w AS ({G})) SELECT id, CASE WHEN type = 'pass' AND b THEN 'defensive' ELSE type END AS type FROM l")
+# The nearest of the three rows before that is a shot or a reset decides.
+@R.add(f"""WITH {EV}, o AS (SELECT *, row_number() OVER ({Q}) AS n FROM ev), p AS (SELECT * FROM o WHERE type = 'pass'),
+           m AS (SELECT p.id, p.team, arg_max(b.type, b.n) AS kind, arg_max(coalesce(b.team, ''), b.n) AS other FROM p JOIN o b ON p.game = b.game AND p.seq = b.seq AND b.n BETWEEN p.n - 3 AND p.n - 1
+                 WHERE b.type IN ('shot', 'faceoff', 'whistle', 'goal') GROUP BY p.id, p.team)
+           SELECT ev.id, CASE WHEN m.kind = 'shot' AND m.other <> '' AND m.other <> m.team THEN 'defensive' ELSE type END AS type FROM ev LEFT JOIN m ON ev.id = m.id""")
 def w17_reclassify(spark, d):
-    return O.reclassify(events(spark, d), "pass", "defensive", prior=("shot",)).select("id", "type")
+    return O.reclassify(events(spark, d), "pass", "defensive").select("id", "type")
 
 
 _ANCHOR = ", ".join(f"CASE WHEN lag(type, {k}) OVER w = 'shot' THEN lag(n, {k}) OVER w END" for k in range(5, 0, -1))
@@ -150,7 +161,7 @@ _HORIZON = f"""g AS (SELECT game, period, t AS gt, team AS g FROM ev WHERE type
     j AS (SELECT c.*, gt, g FROM c ASOF LEFT JOIN g ON c.game = g.game AND c.period = g.period AND c.t < g.gt)"""
 
 
-@R.add(f"""WITH {EV}, {_HORIZON}, y AS (SELECT type, CASE WHEN gt <= least(t + {DAY}, cap) AND g = team THEN 0 WHEN gt <= least(t + {DAY}, cap) THEN 1 ELSE 2 END AS target FROM j)
+@R.add(f"""WITH {EV}, {_HORIZON}, y AS (SELECT type, CASE WHEN team IS NULL OR gt IS NULL OR gt > least(t + {DAY}, cap) THEN 2 WHEN g = team THEN 0 ELSE 1 END AS target FROM j)
            SELECT type, target, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY type) AS share FROM y GROUP BY type, target""")
 def w20_horizon_label(spark, d):
     from eventry.operators.aggregates import class_distribution
@@ -159,10 +170,10 @@ def w20_horizon_label(spark, d):
 
 
 @R.add(f"""WITH {EV}, {_HORIZON}, u AS (SELECT game, period, t AS ut FROM ev WHERE type = 'faceoff'), k AS (SELECT j.*, ut FROM j ASOF LEFT JOIN u ON j.game = u.game AND j.period = u.period AND j.t < u.ut),
-           m AS (SELECT *, least(CASE WHEN type = 'whistle' AND ut IS NOT NULL THEN ut + 7200 ELSE t + {DAY} END, cap) AS lim FROM k)
-           SELECT id, CASE WHEN gt <= lim AND g = team THEN 0 WHEN gt <= lim THEN 1 ELSE 2 END AS target FROM m""")
+           m AS (SELECT *, least(CASE WHEN type = 'pass' AND ut IS NOT NULL THEN ut + 7200 ELSE t + {DAY} END, cap) AS lim FROM k)
+           SELECT id, CASE WHEN team IS NULL OR gt IS NULL OR gt > lim THEN 2 WHEN g = team THEN 0 ELSE 1 END AS target FROM m""")
 def w21_extended_horizon(spark, d):
-    return O.horizon_label(events(spark, d), horizon=DAY, cap=604800.0, extended=("whistle", "faceoff", 7200.0)).select("id", "target")
+    return O.horizon_label(events(spark, d), horizon=DAY, cap=604800.0, extended=("pass", "faceoff", 7200.0)).select("id", "target")
 
 
 @R.add(f"WITH {EV}, l AS (SELECT type, lead(type) OVER ({G}) AS next_type FROM ev) SELECT next_type, count(*) AS n, next_type IS NULL OR next_type IN ('faceoff', 'goal') AS allowed FROM l WHERE type = 'whistle' GROUP BY next_type")
@@ -170,9 +181,13 @@ def w22_continuation_audit(spark, d):
     return O.continuation_audit(events(spark, d), "whistle", ["faceoff", "goal"])
 
 
-@R.add(f"""WITH {EV}, p AS (SELECT * FROM ev WHERE type = 'goal') SELECT id, coalesce(abs(id - lag(id) OVER w) <= 400 AND lag(team) OVER w <> team, false) OR coalesce(abs(id - lead(id) OVER w) <= 400 AND lead(team) OVER w <> team, false) AS is_offsetting FROM p WINDOW w AS (PARTITION BY game ORDER BY id)""")
+# Every fourth goal has no team: it counts as a team of its own.
+@R.add(f"""WITH {EV}, p AS (SELECT game, id, CASE WHEN id % 4 > 0 THEN team ELSE 'none' END AS team FROM ev WHERE type = 'goal'),
+           n AS (SELECT *, lag(id) OVER w AS before, lag(team) OVER w AS before_team, lead(id) OVER w AS after, lead(team) OVER w AS after_team FROM p WINDOW w AS (PARTITION BY game ORDER BY id))
+           SELECT id, (before IS NOT NULL AND id - before <= 400 AND before_team <> team) OR (after IS NOT NULL AND after - id <= 400 AND after_team <> team) AS is_offsetting FROM n""")
 def w23_flag_offsetting(spark, d):
-    return O.flag_offsetting(events(spark, d), "goal", 400).select("id", "is_offsetting")
+    e = events(spark, d).withColumn("team", F.when(F.col("id") % 4 > 0, F.col("team")))
+    return O.flag_offsetting(e, "goal", 400).select("id", "is_offsetting")
 
 
 @R.add(f"""WITH {TRACKING}, r AS (SELECT *, row_number() OVER (PARTITION BY event, side ORDER BY distance, member, node) AS s FROM trk)
@@ -203,10 +218,19 @@ def w27_slots_to_wide(spark, d):
     return O.slots_to_wide(t, ["event"], "side", "slot", ("mate", "opp"), 2, {"tx": 0.0, "distance": 200.0})
 
 
-@R.add(f"""WITH {DIALOGUE}, l AS (SELECT *, lag(team) OVER w AS pt, lag(p_for) OVER w AS pf, lag(p_against) OVER w AS pa, lag(id) OVER w AS pid FROM dia WINDOW w AS ({G}))
-           SELECT id, CASE WHEN pid IS NULL OR type = 'whistle' THEN 0 WHEN pt = team THEN p_for - pf ELSE p_for - pa END AS delta_for, CASE WHEN pid IS NULL OR type = 'whistle' THEN 0 WHEN pt = team THEN p_against - pa ELSE p_against - pf END AS delta_against FROM l""")
+# First turns and every fifth one have no team, some probabilities are missing.
+@R.add(f"""WITH {DIALOGUE}, v AS (SELECT *, CASE WHEN id % 1000 > 1 AND id % 5 > 0 THEN team END AS who, nullif(p_for, 0.5) AS pf, CASE WHEN id % 7 > 0 THEN p_against END AS pa FROM dia),
+           k AS (SELECT *, last_value(who IGNORE NULLS) OVER ({G} {_UP}) AS acting FROM v),
+           l AS (SELECT *, coalesce(lag(acting) OVER w = acting, false) AS same, lag(pf) OVER w AS before_f, lag(pa) OVER w AS before_a FROM k WINDOW w AS ({G}))
+           SELECT id, CASE WHEN type IN ('goal', 'whistle') THEN 0 ELSE coalesce(pf, 0) - coalesce(CASE WHEN same THEN before_f ELSE before_a END, 0) END AS delta_for,
+                  CASE WHEN type IN ('goal', 'whistle') THEN 0 ELSE coalesce(pa, 0) - coalesce(CASE WHEN same THEN before_a ELSE before_f END, 0) END AS delta_against FROM l""")
 def w28_relative_delta(spark, d):
-    return O.relative_delta(dialogue(spark, d), "p_for", "p_against").select("id", "delta_for", "delta_against")
+    e = dialogue(spark, d).withColumns({
+        "team": F.when((F.col("id") % 1000 > 1) & (F.col("id") % 5 > 0), F.col("team")),
+        "p_for": F.when(F.col("p_for") != 0.5, F.col("p_for")),
+        "p_against": F.when(F.col("id") % 7 > 0, F.col("p_against")),
+    })
+    return O.relative_delta(e, "p_for", "p_against").select("id", "delta_for", "delta_against")
 
 
 @R.add(f"""WITH {EV}, n AS (SELECT *, last_value(CASE WHEN type = 'faceoff' THEN id END IGNORE NULLS) OVER (PARTITION BY game ORDER BY period DESC, t DESC, id DESC {_BEFORE}) AS nf FROM ev)
@@ -215,19 +239,34 @@ def w29_inject_with_next(spark, d):
     return O.inject_with_next(events(spark, d), "goal", "faceoff", "whistle", {"team": "team", "x": "x"}).select(F.col("id").cast("double").alias("id"), "t", "type", "team", "x")
 
 
-@R.add(f"""WITH {EV}, z AS (SELECT avg(CASE WHEN x > 25.5 THEN y END) AS o, avg(CASE WHEN x < -25.5 THEN value END) AS b FROM ev WHERE type = 'faceoff'),
-           n AS (SELECT *, last_value(CASE WHEN type = 'faceoff' THEN x END IGNORE NULLS) OVER (PARTITION BY game ORDER BY period DESC, t DESC, id DESC {_BEFORE}) AS nx FROM ev)
-           SELECT id, CASE WHEN type = 'whistle' THEN CASE WHEN nx > 25.5 THEN 'oz' WHEN nx < -25.5 THEN 'dz' ELSE 'nz' END END AS zone FROM n""")
-def w30_stamp_next_zone(spark, d):
-    e = events(spark, d)
-    base = zone_baselines(e.where("type = 'faceoff'").withColumn("zone", O.zone(F.col("x"))), "zone", "y", "value")
-    return O.stamp_next_zone(e, base).select("id", "zone")
+_ZONE = """CASE WHEN abs(abs(x) - 25.5) <= 0.5 AND y > 0 THEN 'oz' WHEN abs(abs(x) - 25.5) <= 0.5 AND y < 0 THEN 'dz' WHEN x > 25.5 THEN 'oz' WHEN x < -25.5 THEN 'dz' ELSE 'nz' END"""
 
 
-@R.add(f"""WITH {DIALOGUE}, l AS (SELECT *, coalesce(lead(type) OVER w = 'whistle', false) AS f, lead(p_for) OVER w AS b FROM dia WINDOW w AS ({G}))
-           SELECT id, CASE WHEN f THEN 'save_freeze' ELSE 'save_live' END AS save_reason, p_for + CASE WHEN f THEN greatest(0, p_against - coalesce(b, p_against)) ELSE 0 END AS save_credit FROM l WHERE type = 'turn'""")
+# Places end in .5 beside the edge, where y (as the raw place) decides; baselines come from the faceoffs of each zone.
+@R.add(f"""WITH {EV}, h AS (SELECT * REPLACE (x + 1.5 * (CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) AS x) FROM ev), f AS (SELECT *, {_ZONE} AS z FROM h),
+           m AS (SELECT coalesce(avg(y) FILTER (WHERE z = 'oz'), 0) AS oz_f, coalesce(avg(value) FILTER (WHERE z = 'oz'), 0) AS oz_a, coalesce(avg(y) FILTER (WHERE z = 'dz'), 0) AS dz_f,
+                        coalesce(avg(value) FILTER (WHERE z = 'dz'), 0) AS dz_a, coalesce(avg(y) FILTER (WHERE z = 'nz'), 0) AS nz_f, coalesce(avg(value) FILTER (WHERE z = 'nz'), 0) AS nz_a FROM f WHERE type = 'faceoff'),
+           b AS (SELECT 'oz' AS z, (oz_f + dz_a) / 2 AS bf, (oz_a + dz_f) / 2 AS ba FROM m UNION ALL SELECT 'dz', (dz_f + oz_a) / 2, (dz_a + oz_f) / 2 FROM m UNION ALL SELECT 'nz', (nz_f + nz_a) / 2, (nz_a + nz_f) / 2 FROM m),
+           n AS (SELECT *, last_value(CASE WHEN type = 'faceoff' THEN z END IGNORE NULLS) OVER (PARTITION BY game ORDER BY period DESC, t DESC, id DESC {_BEFORE}) AS nz FROM f),
+           w AS (SELECT *, CASE WHEN type = 'whistle' THEN coalesce(nz, 'nz') END AS zone FROM n)
+           SELECT id, zone, CASE WHEN zone IS NULL THEN 0.25 ELSE bf END AS p_for, CASE WHEN zone IS NULL THEN 0.5 ELSE ba END AS p_against, CASE WHEN zone IS NULL THEN 0.25 ELSE greatest(least(1 - bf - ba, 1), 0) END AS p_none
+           FROM w LEFT JOIN b ON w.zone = b.z""")
+def w30_stamp_next_zone(spark, d):
+    e = events(spark, d).withColumn("x", F.col("x") + 1.5 * F.when(F.col("id") % 2 == 0, 1).otherwise(-1))
+    e = e.withColumns({"p_for": F.lit(0.25), "p_against": F.lit(0.5), "p_none": F.lit(0.25), "raw": F.col("y")})
+    at_faceoffs = e.where("type = 'faceoff'").withColumn("zone", O.zone(F.col("x"), F.col("raw"), eps=0.5))
+    out = O.stamp_next_zone(e, zone_baselines(at_faceoffs, "zone", "y", "value"), raw="raw", probs=("p_for", "p_against", "p_none"), eps=0.5)
+    return out.select("id", "zone", "p_for", "p_against", "p_none")
+
+
+# Every third whistle has no baseline.
+@R.add(f"""WITH {DIALOGUE}, v AS (SELECT *, CASE WHEN id % 3 > 0 THEN p_for END AS base, CASE WHEN id % 7 > 0 THEN p_against END AS opp FROM dia),
+           l AS (SELECT *, coalesce(lead(type) OVER w = 'whistle', false) AS f, lead(base) OVER w AS b FROM v WINDOW w AS ({G}))
+           SELECT id, CASE WHEN f AND b IS NOT NULL THEN 'save_with_freeze_credit' WHEN f THEN 'save_with_whistle_no_baseline' ELSE 'save_play_continued' END AS save_reason,
+                  p_for + CASE WHEN f AND b IS NOT NULL THEN greatest(0, coalesce(opp, 0) - b) ELSE 0 END AS save_credit FROM l WHERE type = 'turn'""")
 def w31_save_credit(spark, d):
-    return O.save_credit(dialogue(spark, d), "p_for", "p_against", "p_for", save="turn").select("id", "save_reason", "save_credit")
+    e = dialogue(spark, d).withColumns({"base": F.when(F.col("id") % 3 > 0, F.col("p_for")), "opp": F.when(F.col("id") % 7 > 0, F.col("p_against"))})
+    return O.save_credit(e, "p_for", "opp", "base", save="turn").select("id", "save_reason", "save_credit")
 
 
 @R.add(f"WITH {DIALOGUE}, l AS (SELECT *, 1 - greatest(coalesce(lag(p_for) OVER ({G}), 0), coalesce(lag(p_against) OVER ({G}), 0)) AS goal_penalty FROM dia) SELECT id, goal_penalty FROM l WHERE type = 'whistle'")

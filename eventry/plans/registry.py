@@ -1,4 +1,15 @@
-"""How the query modules register their queries."""
+"""How the query modules register their queries, and where those that write put their files."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-eventry-")
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 class Registry:

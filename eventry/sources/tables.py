@@ -24,6 +24,12 @@ def sink_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def sink_clustered(df: DataFrame, name: str, path: str, by: list[str], order: list[str], buckets: int) -> DataFrame:
+    """S03 as a table in buckets by ``by``, sorted inside: windows and joins by these columns read it without a shuffle. Returns the table."""
+    df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *by).sortBy(*by, *order).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def sink_csv(df: DataFrame, path: str) -> None:
     """S04."""
     df.write.mode("overwrite").csv(path, header=True)
@@ -43,12 +49,13 @@ def append_manifest(df: DataFrame, name: str, path: str, manifest: str, gate: st
 def scan_events(spark: SparkSession, path: str, required: list[str], order: list[str] | None = None) -> DataFrame:
     """An event table that has the required columns, with its place in the file as the last tie-breaker.
 
-    With ``order`` the columns given must be a total order and are packed as the order; else the scan's own order is kept.
+    With ``order`` the columns given must be a total order and are packed as the order; else a row's place is its file and its number in it, which stay
+    the same however the scan is split.
     """
     df = spark.read.parquet(path)
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"columns are missing: {missing}")
-    place = F.struct(*order) if order else F.monotonically_increasing_id()
+    place = F.struct(*order) if order else F.struct("_metadata.file_path", "_metadata.row_index")
     return df.withColumn("ingest_order", place)
 
 

@@ -230,10 +230,6 @@ def test_contracts_raise(spark, ev):
         P.project_contract(ev, ["game", "absent"])
     with pytest.raises(ValueError):
         P.project_contract(ev, ["game", "game"])
-    with pytest.raises(ValueError):
-        J.align_keys(ev.where("id > 5"), ev, ["id"])
-    with pytest.raises(ValueError):
-        J.attach_source(ev.select("id"), ev.where("id > 5"), ["id"])
 
 
 def test_folds_are_balanced_and_models_predict(spark):

@@ -1,4 +1,4 @@
-"""Whole-table queries against their SQL, under both of their names."""
+"""Queries over whole tables against their SQL."""
 
 from collections import Counter
 from math import isclose
@@ -22,11 +22,11 @@ def test_whole_tables_equal_their_sql(spark, name):
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    want = con.execute(queries.ORACLES[f"{name}_whole"])
+    want = con.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
-    got = queries.QUERIES[f"{name}_whole"](spark, str(DATA)).select(*names).collect()
+    got = queries.QUERIES[name](spark, str(DATA)).select(*names).collect()
     rows = sorted(want.fetchall(), key=repr)
-    assert len(got) == len(rows) == queries.QUERIES[name](spark, str(DATA)).count() and queries.ORACLES[name] == queries.ORACLES[f"{name}_whole"]
+    assert len(got) == len(rows)
     rounded = lambda r: tuple(round(float(x), 6) if isinstance(x, float) else x for x in r)
     if Counter(map(rounded, map(tuple, got))) != Counter(map(rounded, rows)):
         for g, w in zip(sorted(map(tuple, got), key=repr), rows, strict=True):
