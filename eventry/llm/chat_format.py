@@ -131,8 +131,8 @@ def _format(batches):
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The formatted text of every conversation, as one piece per turn: ``conv_id, seq, piece, start`` (code points).
 
-    The pieces of a conversation, joined in the order of ``seq``, are its formatted text. Rows of a conversation are ordered by turn (nulls first),
-    then role and text. Null roles and texts count as empty; rows without an id are one conversation; repeated rows are turns of their own; an
+    The pieces of a conversation, joined in the order of ``seq``, are its formatted text. Ids are whole numbers; long texts count whole. Rows of a
+    conversation are ordered by turn (nulls first), then role and text. Null roles and texts count as empty; rows without an id are one conversation; repeated rows are turns of their own; an
     empty table gives no rows; other columns are ignored. A conversation streams through one task, a turn at a time.
     """
     named = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))

@@ -72,8 +72,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest identifier. A digest has at most one row per run, so a group with a third of all rows never meets in one task.
     The results go back down by (digest, run), which is no hotter than the runs themselves.
 
-    Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. A null text counts as empty. Null ids
-    are smaller than all others. Of repeated rows with the same id exactly one has ``kept``. An empty table gives no rows.
+    Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. Ids are whole numbers. A null text counts as empty; long texts count whole.
+    Null ids are smaller than all others. Of repeated rows with the same id exactly one has ``kept``. An empty table gives no rows.
     Other columns of ``docs`` are ignored, whatever their names.
     """
     leaf = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_leaves, _LEAF))

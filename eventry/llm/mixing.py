@@ -57,7 +57,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``weights`` has one row per id (``doc_id, weight``, positive); ids without one have 1. Texts are measured before they
     meet the weights, so no text is shuffled. Returns one row per input row:
-    ``doc_id, source, size, source_size, target, epochs, taken, key``. Null and empty texts have size 0 and are never taken; a null
+    ``doc_id, source, size, source_size, target, epochs, taken, key``. Null and empty texts have size 0 and are never taken; long texts count whole; a null
     source is a source of its own, the last; repeated rows and null ids are ordered by id and size, and rows that agree in both by nothing
     that matters. An empty table gives no rows; other columns are ignored.
     """

@@ -6,13 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventry.llm._shared import held_out, small_batches, table
+from eventry.llm._shared import cut, held_out, small_batches, table
 
 BITS = 18
-# The fit's bounds: labelled rows that the log-count ratios and the hinge loss are fitted on, characters of the window that a row gives.
+# The fit's bounds: labelled texts (half of each class) that the log-count ratios and the hinge loss are fitted on, characters of the window that a row gives.
 MAX_ROWS, MAX_CHARS = 8_000, 20_000
 SWEEPS, COST, SMOOTH = 8, 1.0, 1.0
 # Words of an n-gram whose pattern of equal words is an indicator.
@@ -148,25 +148,31 @@ def _train(batches):
     yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([ratio.astype(np.float32).tobytes()]), *(pa.array([float(x)]) for x in (bias, slope, offset))], names=["w", "ratio", "bias", "slope", "offset"])
 
 
-def sample(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
-    """``t, y, h``: the ``max_rows`` different labelled windows with the smallest hashes.
+def sample(docs: DataFrame, known: DataFrame, id_col: str = "_d", text_col: str = "_t", max_rows: int = MAX_ROWS) -> DataFrame:
+    """``t, y, h``: of each class (label 1, or another) the ``max_rows / 2`` different texts with the smallest hashes, a window of each.
 
-    A row gives one window of at most MAX_CHARS characters, whose place in a longer text its hash tells; equal windows with equal labels
-    count once. Rows whose hash is far from small go first, so only about twice the sample is sorted.
+    ``known`` has one row per id (``_id, _y``). A text gives one window of at most MAX_CHARS characters, whose place in a longer text its hash tells. Ids and hashes
+    meet the labels, not texts; equal texts count once, and a class of many copies keeps its texts, because hashes far from small go by the number of
+    different ones in the class (a sketch). The chosen hashes, ``max_rows`` at most, are sent to the texts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    h = F.xxhash64(text, F.lit("window"))
-    at = F.pmod(h, F.greatest(F.ceil(F.length(text) / MAX_CHARS), F.lit(1))) * MAX_CHARS + 1
-    n = labelled.count()
+    rows = docs.select(F.col(id_col).alias("_i"), text.alias("t"), F.xxhash64(text, F.lit("window")).alias("h"))
+    labelled = cut(rows.select("_i", "h").join(known, F.col("_i") == F.col("_id")).groupBy("h", F.col("_y").cast("int").alias("y")).agg(F.lit(1).alias("one")))
+    labelled = labelled.select("h", "y", F.coalesce(F.col("y") == 1, F.lit(False)).alias("good"))
+    each = max(1, max_rows // 2)
+    sizes = labelled.groupBy("good").agg(F.approx_count_distinct("h", 0.02).alias("n"))
     # The hash as a share of its range: 64 bits, so even few of 10**15 rows are told apart.
-    small = (h / F.lit(2.0**64) + 0.5) * n < 2 * max_rows
-    few = labelled.where(small).select(F.substring(text, at.cast("int"), F.lit(MAX_CHARS)).alias("t"), F.col(label_col).cast("int").alias("y"), h.alias("h"))
-    return few.groupBy("t", "y").agg(F.min("h").alias("h")).orderBy("h", "t", "y").limit(max_rows)
+    few = labelled.join(F.broadcast(sizes), "good").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * each)  # two rows
+    first = F.row_number().over(Window.partitionBy("good").orderBy("h", "y"))
+    chosen = few.withColumn("_r", first).where(F.col("_r") <= each).select(F.col("h").alias("_h"), "y")
+    at = F.pmod(F.col("h"), F.greatest(F.ceil(F.length("t") / MAX_CHARS), F.lit(1))) * MAX_CHARS + 1
+    windows = rows.join(F.broadcast(chosen), F.col("h") == F.col("_h")).select(F.substring("t", at.cast("int"), F.lit(MAX_CHARS)).alias("t"), "y", "h")
+    return windows.groupBy("h", "y").agg(F.min("t").alias("t")).select("t", "y", "h")
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS):
+def train(docs: DataFrame, known: DataFrame, id_col: str = "_d", text_col: str = "_t", max_rows: int = MAX_ROWS):
     """A model from the ``sample`` of the labelled rows, fitted in one task: one row, of 2 MB whatever the input. Equal inputs give equal models."""
-    one = sample(labelled, text_col, label_col, max_rows).repartition(1).sortWithinPartitions("h", "t", "y")
+    one = sample(docs, known, id_col, text_col, max_rows).repartition(1).sortWithinPartitions("h", "t", "y")
     found = one.select("t", "y").mapInArrow(_train, "w binary, ratio binary, bias double, slope double, offset double").first()
     return found or next(_train([])).to_pylist()[0]
 
@@ -200,8 +206,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).where(~held_out("_d"))
-    labelled = texts.join(known, F.col("_d") == F.col("_id")).select("_d", "_t", "_y")
-    model = train(labelled, "_t", "_y")
+    model = train(texts, known)
     return score(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

@@ -263,14 +263,39 @@ def test_ratios_and_coordinate_descent_equal_plain_loops(monkeypatch):
     assert abs((sum(z * z for z in w) + bias * bias) / 2 + loss - (sum(alpha) - (sum(z * z for z in w) + bias * bias) / 2)) < 1e-2
 
 
-def test_the_labelled_sample_is_bounded(docs):
-    rows = [(i, f"text {i}", "en", "s") for i in range(300)] + [(5, "one text", "en", "s")] * 200 + [(900, "long " * 9_000, "en", "s"), (901, None, "en", "s")]
-    d = docs(rows).selectExpr("*", "doc_id % 2 AS quality")
-    got = Q.sample(d, max_rows=100).toPandas()
-    assert len(got) <= 100 and not got.duplicated(["t", "y"]).any() and got.t.str.len().max() <= Q.MAX_CHARS
-    everything = Q.sample(d, max_rows=1_000).toPandas()
-    assert len(everything) == 303 and (everything.t == "one text").sum() == 1 and (everything.t == "").sum() == 1
-    assert {*got.h} <= {*sorted(everything.h)[:100]}
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "_id long, _y int")
+
+
+def test_the_labelled_sample_is_bounded_and_dealt_by_class(spark):
+    n = 3_000
+    texts = [(i, f"text {i} " + "word " * (i % 7)) for i in range(n)] + [(n + i, "one text again") for i in range(500)]
+    d = spark.createDataFrame(texts, "_d long, _t string")
+    known = labels_of(spark, [(i, int(i % 100 > 0)) for i in range(n + 500)])
+    got = Q.sample(d, known, max_rows=100).toPandas()
+    assert len(got) == 81 and got.y.value_counts().to_dict() == {1: 50, 0: 31}  # all of the rare class; the text of many copies has both labels
+    odd = spark.createDataFrame([(9_000, "long " * 9_000), (9_001, None)], d.schema)
+    whole = Q.sample(d.union(odd), known.union(labels_of(spark, [(9_000, 1), (9_001, 1)])), max_rows=100_000).toPandas()
+    assert len(whole) == n + 4 and whole.t.str.len().max() == Q.MAX_CHARS and (whole.t == "").sum() == 1
+    assert Q.sample(d.limit(0), known).count() == 0 and Q.sample(d, known.limit(0)).count() == 0
+
+
+def test_copies_of_one_text_leave_both_classes_in_the_sample(spark):
+    d = spark.range(43_000).selectExpr("id AS _d", "CASE WHEN id < 40000 THEN 'the one good text of all' ELSE concat('bad text ', id) END AS _t")
+    known = spark.range(43_000).selectExpr("id AS _id", "CAST(id < 40000 AS INT) AS _y")
+    got = Q.sample(d, known).toPandas()
+    assert got.y.value_counts().to_dict() == {0: 3000, 1: 1}
+    good = Q.score(d, Q.train(d, known), "_d", "_t").where("doc_id IN (0, 42000)").toPandas().set_index("doc_id").score
+    assert good[0] > good[42000]
+
+
+def test_a_language_of_copies_is_learnt(spark):
+    d = spark.range(22_000).selectExpr("id AS doc_id", """CASE WHEN id < 20000 THEN concat('zoq vexi qatu brizz ', element_at(array('um', 'ox', 'iz', 'ek', 'ap'), CAST(id % 5 + 1 AS INT)))
+                                                               ELSE concat('the word and thing number ', id, ' of the text') END AS text""", "CASE WHEN id < 20000 THEN 'zz' ELSE 'aa' END AS lang")
+    got = L.sample(d).groupBy("lang").count().toPandas().set_index("lang")["count"].to_dict()
+    assert got == {"zz": 5, "aa": 600}
+    found = L.identify_documents(d).join(d, "doc_id").groupBy("lang", "lang_pred").count().toPandas()
+    assert found[found.lang == found.lang_pred]["count"].sum() > 21_900
 
 
 def test_a_file_takes_its_own_licence_or_the_nearest_above(spark):
