@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from eventry.functions.scalars import FORBIDDEN, has_leak
-from eventry.operators.joins import key_match_rate, next_payload
+from eventry.operators.joins import in_buckets, key_match_rate, next_payload, unequal_buckets
 from eventry.operators.project import yes
 from eventry.schema import DEFAULT, EventSchema
 
@@ -144,7 +144,10 @@ def conservation_residuals(base: DataFrame, inverse: DataFrame, keys: list[str],
 
 def check_immutable(raw: DataFrame, adjusted: DataFrame, keys: list[str], cols: list[str], tolerance: float = 1e-12, exempt: Column | None = None) -> DataFrame:
     """No key of ``raw`` may be gone or have fewer rows in ``adjusted``, and the mean values of a key must be the same, but for keys with
-    an exempt row of ``raw``. ``adjusted`` is given without rows that were added on purpose."""
+    an exempt row of ``raw``. ``adjusted`` is given without rows that were added on purpose. Digests of key buckets are compared first; only rows of unequal buckets
+    are grouped and joined."""
+    differ = unequal_buckets(raw, adjusted, keys, cols)
+    raw, adjusted = in_buckets(raw, keys, differ), in_buckets(adjusted, keys, differ)
     a = raw.groupBy(*keys).agg(F.count("*").alias("_na"), F.max((yes(exempt) if exempt is not None else F.lit(False)).cast("int")).alias("_free"), *[F.avg(c).alias(f"_a_{c}") for c in cols])
     b = adjusted.groupBy(*keys).agg(F.count("*").alias("_nb"), *[F.avg(c).alias(f"_b_{c}") for c in cols])
     pairs = [a[k].eqNullSafe(b[k]) for k in keys]

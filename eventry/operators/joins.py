@@ -145,13 +145,47 @@ def overlay_on_spine(preds: DataFrame, spine: DataFrame, keys: list[str], coales
     return joined.withColumns({c: F.coalesce(F.col(f"_p_{c}"), F.col(c)) if c in spine.columns else F.col(f"_p_{c}") for c in coalesce_cols}).drop(*[f"_p_{c}" for c in coalesce_cols])
 
 
+# Key buckets whose digests are compared before rows are.
+BUCKETS = 4096
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+
+
+def unequal_buckets(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The key buckets (``_bucket``, ``BUCKETS`` at most) in which two tables differ in rows, keys or columns, by digests that are summed before the shuffle."""
+    digest = lambda df, n: df.groupBy(_bucket(keys).alias("_bucket")).agg(*[F.struct(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), *keys, *cols).cast("decimal(38,0)")) for seed in (1, 2)]).alias(n)])
+    both = digest(a, "_a").join(digest(b, "_b"), "_bucket", "full")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("_bucket")
+
+
+def in_buckets(df: DataFrame, keys: list[str], buckets: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows in some key buckets, where they lie (with ``left_anti`` the others)."""
+    return df.withColumn("_bucket", _bucket(keys)).join(F.broadcast(buckets), "_bucket", how).drop("_bucket")  # BUCKETS rows at most
+
+
 def key_parity(a: DataFrame, b: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Per group how many distinct keys are on both sides, or on one only."""
-    flag = lambda df, n: df.select(*keys).distinct().withColumn(n, F.lit(1))
-    both = flag(a, "_a").join(flag(b, "_b"), keys, "full")
+    """Per group how many distinct keys are on both sides, or on one only.
+
+    Digests of key buckets are compared first. Only rows of unequal buckets are joined; of equal ones the keys of one side are counted. ``by`` is one of the keys.
+    """
+    ks = list(dict.fromkeys([*keys, by]))
+    a, b = a.select(*ks), b.select(*ks)
+    differ = unequal_buckets(a, b, ks, [])
+    flag = lambda df, n: in_buckets(df, ks, differ).distinct().withColumn(n, F.lit(1))
+    both = null_safe_full(flag(a, "_a"), flag(b, "_b"), ks)
     count = lambda c: F.sum(c.cast("long"))
     la, lb = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    return both.groupBy(by).agg(count(la & lb).alias("n_both"), count(la & ~lb).alias("n_left_only"), count(~la & lb).alias("n_right_only"))
+    apart = both.groupBy(by).agg(count(la & lb).alias("n_both"), count(la & ~lb).alias("n_left_only"), count(~la & lb).alias("n_right_only"))
+    zero = F.lit(0).cast("long")
+    alike = in_buckets(a, ks, differ, "left_anti").distinct().groupBy(by).agg(F.count("*").alias("n_both")).select(by, "n_both", zero.alias("n_left_only"), zero.alias("n_right_only"))
+    return apart.union(alike).groupBy(by).agg(*[F.sum(c).alias(c) for c in ("n_both", "n_left_only", "n_right_only")])
+
+
+def null_safe_full(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """All keys of two tables of distinct keys, with the other columns of both; null keys match."""
+    return a.unionByName(b, allowMissingColumns=True).groupBy(*keys).agg(*[F.max(c).alias(c) for c in dict.fromkeys([*a.columns, *b.columns]) if c not in keys])
 
 
 def _once(df: DataFrame, keys: list[str], message: str) -> DataFrame:

@@ -279,11 +279,35 @@ def a11_fill_stats(spark, d):
     return A.fill_stats(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], 0.99)
 
 
+# The exact rank of a value that the merged sketches give must be near the quantile.
+@R.add("SELECT 'l_quantity' AS \"column\", true AS near UNION ALL SELECT 'l_extendedprice', true")
+def a11_quantile_sketches(spark, d):
+    li, cols = table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]
+    found = A.merged_quantiles(A.quantile_sketches(li, ["l_returnflag", "l_linenumber"], cols), cols, 0.9).withColumnsRenamed({c: f"q_{c}" for c in cols})
+    share = lambda c, op: F.avg(F.when(op(F.col(c), F.col(f"q_{c}")), 1.0).otherwise(0.0))
+    one = li.join(F.broadcast(found)).agg(*[((share(c, lambda a, b: a < b) <= 0.93) & (share(c, lambda a, b: a <= b) >= 0.87)).alias(c) for c in cols])  # one row
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("near")) for c in cols])).alias("r")).select("r.*")
+
+
 @R.add(f"WITH {EV}, m AS (SELECT count(*) AS n, count(*) - count(team) AS a, count(*) - count(player) AS b FROM ev) SELECT 'team' AS \"column\", a AS n_missing, a / n AS share FROM m UNION ALL SELECT 'player', b, b / n FROM m")
 def a12_missing_report(spark, d):
     return A.missing_report(events(spark, d), ["team", "player"])
 
 
+@R.add("SELECT count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem")
+def a13_distinct_sketches(spark, d):
+    li = table(spark, d, "lineitem")
+    found = A.merged_distinct(A.distinct_sketches(li, ["l_returnflag", "l_linenumber"], ["l_partkey"]), ["l_partkey"])
+    exact = li.agg(F.count_distinct("l_partkey").alias("exact"))
+    return exact.join(F.broadcast(found)).select("exact", (F.abs(F.col("n_l_partkey") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))  # one row
+
+
+@R.add(r"""WITH w AS (SELECT unnest(string_split_regex(text, '[ \t\n\v\f\r]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word)
+           SELECT word, n FROM c WHERE n >= 0.002 * (SELECT sum(n) FROM c)""")
+def a14_frequent_words(spark, d):
+    return A.frequent_words(table(spark, d, "documents"), F.col("text"), 0.002)
+
+
 @R.add("SELECT count(DISTINCT text) AS n_text, count(DISTINCT source) AS n_source FROM documents")
 def a13_distinct_counts(spark, d):
     return A.distinct_counts(table(spark, d, "documents"), ["text", "source"])

@@ -448,3 +448,52 @@ def test_all_folds_equal_a_plain_fit_of_each(spark):
         e = np.exp(x[test] @ beta.T)
         want = e / e.sum(axis=1, keepdims=True)
         assert np.abs(np.array([got[i] for i in np.flatnonzero(test)]) - want).max() < 1e-6
+
+
+def test_sketches_of_parts_merge_to_the_whole(spark):
+    rng = random.Random(4)
+    rows = [(i % 5, rng.gauss(0, 1), rng.randrange(4000)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "part int, v double, k long")
+    whole = A.quantile_sketches(df, ["part"], ["v"])
+    for q in (0.1, 0.5, 0.99):
+        x = A.merged_quantiles(whole, ["v"], q).first().v
+        assert abs(sum(v <= x for _, v, _ in rows) / len(rows) - q) < 0.03
+    halves = A.distinct_sketches(df.where("part < 2"), ["part"], ["k"]).union(A.distinct_sketches(df.where("part >= 2"), ["part"], ["k"]))
+    exact = len({k for *_, k in rows})
+    assert abs(A.merged_distinct(halves, ["k"]).first().n_k - exact) <= 0.03 * exact
+
+
+def test_frequent_words_and_their_summaries(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "of", "a"]) if rng.random() < 0.4 else f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60))) for _ in range(400)]
+    counts: dict = {}
+    for w in " ".join(texts).split():
+        counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", " \n "]], "t string").repartition(6)
+    assert {r.word: r.n for r in A.frequent_words(df, F.col("t"), 0.05).collect()} == {w: n for w, n in counts.items() if n >= 0.05 * total}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        one, other = df.where("t < 'the'"), df.where("t >= 'the'")
+        both = A.word_summary(one, F.col("t"), 40).union(A.word_summary(other, F.col("t"), 40)).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {r.word: r.n for r in both}
+    off = found.pop(None)
+    assert 0 < off <= total / 40 and all(counts[w] - off <= n <= counts[w] for w, n in found.items()) and {"the", "of", "a"} <= {*found}
+    assert A.frequent_words(df.limit(0), F.col("t")).count() == 0
+
+
+def test_parity_by_digests_equals_the_full_join(spark):
+    rng = random.Random(1)
+    a = [(rng.choice(["g", "h", None]), rng.randrange(400)) for _ in range(500)]
+    b = [r for r in a if rng.random() < 0.95] + [("g", 1000 + i) for i in range(9)]
+    df = lambda rows: spark.createDataFrame(rows, "game string, id long")
+    got = {r.game: (r.n_both, r.n_left_only, r.n_right_only) for r in J.key_parity(df(a), df(b), ["game", "id"], "game").collect()}
+    of = lambda keys, g: sum(k[0] == g for k in keys)
+    assert got == {g: (of({*a} & {*b}, g), of({*a} - {*b}, g), of({*b} - {*a}, g)) for g in ("g", "h", None)}
+    assert J.unequal_buckets(df(a), df(a).repartition(3), ["game", "id"], []).count() == 0
+    raw = spark.createDataFrame([(i, float(i)) for i in range(300)], "id long, p double")
+    changed = raw.withColumn("p", F.when(F.col("id").isin(7, 8), 0.5).otherwise(F.col("p"))).where("id <> 9")
+    assert {r.check: r.n for r in V.check_immutable(raw, changed, ["id"], ["p"]).collect()} == {"changed": 2, "lone_keys": 1, "fewer_rows": 0}
+    assert all(r.passed for r in V.check_immutable(raw, raw, ["id"], ["p"]).collect())
