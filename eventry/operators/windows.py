@@ -32,11 +32,16 @@ def _is(types, s: EventSchema) -> Column:
     return yes(F.col(s.type).isin(*types))
 
 
+def _neighbour(df: DataFrame, by: list[str], order: list[str], out: str, fields: dict[str, str], after: bool = False) -> DataFrame:
+    """The fields of the row before (or after) in its group, as one struct; a hot group is walked range by range."""
+    row = F.struct(*[F.col(c).alias(k) for k, c in fields.items()])
+    return scan(deal(df, by, order), by, order, {out: ("last", row, False)}, descending=after).drop("_cell")
+
+
 def transition_features(df: DataFrame, s: EventSchema = DEFAULT, caps=CAPS, no_speed: tuple[str, ...] = ("save",)) -> DataFrame:
     """Time, distance, speed and angle from the event before in the period."""
-    w = s.in_period()
-    dx, dy = F.col(s.x) - F.lag(s.x).over(w), F.col(s.y) - F.lag(s.y).over(w)
-    out = df.withColumns({"dt": F.greatest(F.col(s.time) - F.lag(s.time).over(w), F.lit(0.0)), "_dx": dx, "_dy": dy})
+    d = _neighbour(df, [s.group, s.period], list(s.order), "_at", {"t": s.time, "x": s.x, "y": s.y})
+    out = d.withColumns({"dt": F.greatest(F.col(s.time) - F.col("_at.t"), F.lit(0.0)), "_dx": F.col(s.x) - F.col("_at.x"), "_dy": F.col(s.y) - F.col("_at.y")}).drop("_at")
     distance = F.least(F.hypot("_dx", "_dy"), F.lit(caps["distance"]))
     speed = F.when((F.col("dt") > 0) & ~_is(no_speed, s), F.least(distance / F.col("dt"), F.lit(caps["speed"])))
     return out.withColumns({"distance": F.when(F.col("_dx").isNotNull(), distance), "speed": F.when(F.col("_dx").isNotNull(), speed), "angle": F.atan2("_dy", "_dx")}).drop("_dx", "_dy")
@@ -63,8 +68,8 @@ def angle_change(df: DataFrame, s: EventSchema = DEFAULT, shots=ATTEMPTS, recept
 
 def disorder_count(df: DataFrame, s: EventSchema = DEFAULT, threshold: float = -1.0) -> DataFrame:
     """How often time falls by more than the threshold in a sequence."""
-    d = df.select((F.col(s.time) - F.lag(s.time).over(Window.partitionBy(s.group, s.sequence).orderBy(s.id))).alias("dt"))
-    return d.agg(F.coalesce(F.sum((F.col("dt") < threshold).cast("long")), F.lit(0)).alias("n_disorder"))
+    d = _neighbour(df.select(s.group, s.sequence, s.id, s.time), [s.group, s.sequence], [s.id], "_at", {"t": s.time})
+    return d.select((F.col(s.time) - F.col("_at.t")).alias("dt")).agg(F.coalesce(F.sum((F.col("dt") < threshold).cast("long")), F.lit(0)).alias("n_disorder"))
 
 
 def canonical_order(df: DataFrame, ingest: str, s: EventSchema = DEFAULT, threshold: float = -1.0) -> DataFrame:
@@ -90,42 +95,43 @@ def elapsed_clock(df: DataFrame, s: EventSchema = DEFAULT, order: str = "id", le
 
 def cut_after_terminator(df: DataFrame, s: EventSchema = DEFAULT, terminators=TERMINATORS, keep: Column | None = None) -> DataFrame:
     """Nothing after the first terminator of a sequence, but for rows to keep."""
-    over = F.coalesce(F.max(_is(terminators, s).cast("int")).over(s.in_sequence().rowsBetween(*BEFORE)), F.lit(0)) == 1
-    d = df.withColumn("_over", over)
-    return d.where(~F.col("_over") | (yes(keep) if keep is not None else F.lit(False))).drop("_over")
+    by, order = [s.group, s.sequence], list(s.order)
+    d = scan(deal(df, by, order), by, order, {"_over": ("last", F.when(_is(terminators, s), True), False)})
+    return d.where(F.col("_over").isNull() | (yes(keep) if keep is not None else F.lit(False))).drop("_over", "_cell")
 
 
 def cut_after_types(df: DataFrame, rules: dict[str, Column | None], s: EventSchema = DEFAULT) -> DataFrame:
     """Each type ends a sequence in its own way: after it only the rows that its rule keeps (None: none) stay."""
-    frame = s.in_sequence().rowsBetween(*BEFORE)
-    d = df.withColumns({f"_after_{t}": F.coalesce(F.max(_is((t,), s).cast("int")).over(frame), F.lit(0)) == 1 for t in rules})
+    by, order = [s.group, s.sequence], list(s.order)
+    d = scan(deal(df, by, order), by, order, {f"_after_{t}": ("last", F.when(_is((t,), s), True), False) for t in rules})
     for t, keep in rules.items():
-        d = d.where(~F.col(f"_after_{t}") | (yes(keep) if keep is not None else F.lit(False)))
-    return d.drop(*[f"_after_{t}" for t in rules])
+        d = d.where(F.col(f"_after_{t}").isNull() | (yes(keep) if keep is not None else F.lit(False)))
+    return d.drop("_cell", *[f"_after_{t}" for t in rules])
 
 
 def drop_false_starts(df: DataFrame, s: EventSchema = DEFAULT, start: str = "faceoff", inert=("faceoff", "whistle")) -> DataFrame:
     """Sequences with a start and nothing but inert rows go."""
-    w = Window.partitionBy(s.group, s.sequence)
-    d = df.withColumns({"_start": F.max(_is((start,), s).cast("int")).over(w), "_live": F.max((~_is(inert, s)).cast("int")).over(w)})
-    return d.where("_start = 0 OR _live = 1").drop("_start", "_live")
+    keys = [s.group, s.sequence]
+    seen = df.groupBy(*keys).agg(F.bool_or(_is((start,), s)).alias("_start"), F.bool_or(~_is(inert, s)).alias("_live"))
+    return null_safe_join(df, seen.where("_start AND NOT _live").select(*keys), keys, "left_anti")
 
 
 def cut_after_first(df: DataFrame, type_: str, s: EventSchema = DEFAULT) -> DataFrame:
     """The first such row of a game is its last row."""
-    seen = F.coalesce(F.max(_is((type_,), s).cast("int")).over(s.window().rowsBetween(*BEFORE)), F.lit(0))
-    return df.withColumn("_seen", seen).where("_seen = 0").drop("_seen")
+    by, order = [s.group], list(s.order)
+    d = scan(deal(df, by, order), by, order, {"_seen": ("last", F.when(_is((type_,), s), True), False)})
+    return d.where("_seen IS NULL").drop("_seen", "_cell")
 
 
 def drop_windows(df: DataFrame, start: str, stop: str, s: EventSchema = DEFAULT) -> DataFrame:
     """From each start up to, not including, the next stop of another sequence."""
-    w = s.window()
-    opened = F.last(F.when(_is((start,), s), F.struct(F.col(s.sequence).alias("q"), F.struct(*s.order).alias("at"))), ignorenulls=True).over(w.rowsBetween(*UP_TO))
-    d = df.withColumn("_open", opened)
+    by, order = [s.group], list(s.order)
+    at = F.when(_is((start,), s), F.struct(F.col(s.sequence).alias("q"), F.struct(*order).alias("at")))
+    d = scan(deal(df, by, order), by, order, {"_open": ("last", at, True)})
     closing = _is((stop,), s) & yes(F.col(s.sequence) != F.col("_open.q"))
-    after = Window.partitionBy(s.group, "_open.at").orderBy(*s.order).rowsBetween(*UP_TO)
-    d = d.withColumn("_closed", F.when(F.col("_open").isNotNull(), F.sum(closing.cast("int")).over(after)))
-    return d.where("_open IS NULL OR _closed > 0").drop("_open", "_closed")
+    d = scan(d, by, order, {"_closed": ("last", F.when(closing, F.col("_open.at")), True)})
+    # The last stop counts if it belongs to the start that is open.
+    return d.where(F.col("_open").isNull() | yes(F.col("_closed") == F.col("_open.at"))).drop("_open", "_closed", "_cell")
 
 
 def keep_best_duplicate(df: DataFrame, type_: str = "goal", sources=ATTEMPTS, s: EventSchema = DEFAULT) -> DataFrame:
@@ -186,10 +192,10 @@ def link_latest(df: DataFrame, sources, sinks, s: EventSchema = DEFAULT) -> Data
 
 def derive_flag(df: DataFrame, s: EventSchema = DEFAULT, goal: str = "goal", sources=SHOT_LIKE, tag: Column | None = None) -> DataFrame:
     """A goal, a shot whose next row in the game is its team's goal in the same sequence, or a tagged row."""
-    w = s.window()
-    next_is = lambda c: yes(F.lead(c).over(w) == F.col(c))
-    scored = _is(sources, s) & yes(F.lead(s.type).over(w) == goal) & next_is(s.sequence) & next_is(s.team)
-    return df.withColumn("is_goal", _is((goal,), s) | scored | (yes(tag) if tag is not None else F.lit(False)))
+    d = _neighbour(df, [s.group], list(s.order), "_next", {"type": s.type, "sequence": s.sequence, "team": s.team}, after=True)
+    same = lambda k, c: yes(F.col(f"_next.{k}") == F.col(c))
+    scored = _is(sources, s) & yes(F.col("_next.type") == goal) & same("sequence", s.sequence) & same("team", s.team)
+    return d.withColumn("is_goal", _is((goal,), s) | scored | (yes(tag) if tag is not None else F.lit(False))).drop("_next")
 
 
 def inject_after(df: DataFrame, mask: Column, values: dict[str, Column], s: EventSchema = DEFAULT, id_step: float = 0.5, time_step: float = 0.1) -> DataFrame:

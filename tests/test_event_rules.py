@@ -268,6 +268,8 @@ def test_other_asof_operators_of_hot_groups_equal_the_plain_plan(spark, monkeypa
             J.asof_nearest(goals, right, ["game"], "t", "t", ["rid"], tie="rid"), J.next_payload(ev, ["goal"], ["game", "period"], "t", ["team"]),
             J.attach_destination(ev, ["game"], ["period", "t", "id"], ["pass"], ["reception"], ["x", "y"]), J.attach_destination(ev, ["game"], ["period", "t", "id"], ["pass"], ["reception"], ["x"], None, "last", "player"),
             J.first_in_range(goals, right, ["game"], "t", 0, 9, ["rid"], tie="rid"), W.horizon_label(ev), W.link_latest(ev, ["shot"], ["goal"]),
+            W.transition_features(ev), W.disorder_count(ev), W.cut_after_terminator(ev, keep=F.col("type") == "faceoff"), W.cut_after_types(ev, {"goal": None, "whistle": F.col("type") == "goal"}),
+            W.cut_after_first(ev.where("type <> 'goal' OR id % 4 = 0"), "goal"), W.drop_windows(ev, "faceoff", "whistle"), W.drop_false_starts(ev), W.derive_flag(ev),
         ]
 
     plain = [sorted(map(repr, df.collect())) for df in runs()]
