@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 import xxhash
 
 from eventry.llm import exact_dedup, simhash
@@ -15,10 +16,11 @@ def fold(t):
     return (t or "").encode().lower()
 
 
-def test_exact_dedup_equals_brute_force(docs, odd_texts):
+@pytest.mark.parametrize("steps, parts", [(1, 9), (2, 9), (3, 33), (2, 1)])
+def test_exact_dedup_equals_brute_force(docs, odd_texts, steps, parts):
     rng = random.Random(1)
-    rows = odd_texts + [(100 + i, rng.choice(["Aa", "aA", "bb", "É", "é"])) for i in range(60)]
-    got = exact_dedup.exact_dedup(docs(rows).repartition(9), fan_in=2).toPandas()
+    rows = odd_texts + [(100 + i, rng.choice(["Aa", "aA", "bb", "É", "é"])) for i in range(60)] + [(200 + i, f"T{i % 90}") for i in range(200)]
+    got = exact_dedup.exact_dedup(docs(rows).repartition(parts), steps=steps).toPandas()
     assert len(got) == len(rows)
     groups = {}
     for i, t in rows:
@@ -33,6 +35,26 @@ def test_exact_dedup_equals_brute_force(docs, odd_texts):
             assert g[g.kept].doc_id.iloc[0] == max(known)
 
 
+def test_runs_are_merged_chunk_by_chunk(monkeypatch):
+    """Runs of one cell, in chunks of three entries, against one sort of all entries; a digest is in several runs, and at the edges of chunks."""
+    monkeypatch.setattr(exact_dedup, "CHUNK_ROWS", 3)
+    rng, chunks, flat = random.Random(4), [], []
+    for crew in (0, 1):
+        for run in range(4):
+            digests = sorted(rng.sample([hashlib.sha256(bytes([i])).digest() for i in range(40)], 25))
+            entries = [(d, 1, 1, rng.randrange(9), run, k, rng.randrange(1, 5)) for k, d in enumerate(digests)]
+            flat += [(crew, e) for e in entries]
+            chunks += [b.to_pylist()[0] for b in exact_dedup._pack(iter((crew, e) for e in entries), 0, 0)]
+    assert max(len(c["n"]) for c in chunks) == 3
+    chunks.sort(key=lambda c: (c["crew"], c["span"], c["low"]))
+    batches = [pa.RecordBatch.from_pylist(chunks[i : i + 7]) for i in range(0, len(chunks), 7)]
+    want = []
+    for key, same in itertools.groupby(sorted(flat), lambda x: (x[0], x[1][:2])):
+        same = [e for _, e in same]
+        want.append((key[0], (*same[-1][:-1], sum(e[-1] for e in same))))
+    assert list(exact_dedup._merged(batches)) == want
+
+
 def test_exact_dedup_keeps_one_row_with_its_columns(docs, odd_texts):
     d = docs(odd_texts)
     kept = exact_dedup.keep_one(d)
