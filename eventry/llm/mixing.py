@@ -11,8 +11,8 @@ from eventry.llm._shared import cut, table
 WEIGHTS, SHARE, REPEAT = (3.0, 1.0, 2.0), 1.5, 2.0
 # Sampling weight of a document by its quality label; without a label it is 1.
 QUALITY = {1: 2.0, 0: 0.5}
-# Documents that one prefix-sum bucket is meant to hold.
-BUCKET_ROWS = 512
+# Documents that one prefix-sum bucket is meant to hold, and buckets whose sums are summed first.
+BUCKET_ROWS, RUN_OF_BUCKETS = 512, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Each source is repeated as often as whole epochs fit its target; the rest is drawn without replacement: documents in the
     order of the keys -ln(u) / weight, u a uniform hash of id and text (many rows may have no id, or the same), as long as their sizes fit what is left (the document
-    at the edge is taken if that comes nearer). Prefix sums go over key buckets first and within a bucket next, so the
+    at the edge is taken if that comes nearer). Prefix sums go over stretches of key buckets first, then over buckets, and within a bucket last, so the
     largest source is spread over many tasks, and everything is a function of the rows: reruns agree.
 
     ``weights`` has one row per id (``doc_id, weight``, positive); ids without one have 1. Texts are measured before they
@@ -75,9 +75,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = max(16, -(-largest // BUCKET_ROWS))
     # 1 - exp(-key) spreads the keys over (0, 1) in their order.
     d = d.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * buckets).cast("long"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
+    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("stretch", F.floor(F.col("bucket") / RUN_OF_BUCKETS))
+    # Two levels: a task sees the buckets of one stretch, or one row per stretch of its source.
+    before = lambda value, *keys, by: F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = sums.groupBy("source", "stretch").agg(F.sum("in_bucket").alias("in_stretch"))
+    stretches = stretches.select("source", "stretch", before("in_stretch", "source", by="stretch").alias("ahead"))
+    inside = sums.withColumn("offset", before("in_bucket", "source", "stretch", by="bucket")).alias("i")
+    offsets = inside.join(stretches.alias("s"), F.col("i.source").eqNullSafe(F.col("s.source")) & (F.col("i.stretch") == F.col("s.stretch"))).select(
+        "i.source", "bucket", (F.col("offset") + F.col("ahead")).alias("offset")
+    )
     t = targets.alias("t").join(offsets.alias("o"), F.col("t.source").eqNullSafe(F.col("o.source"))).select(
         F.col("o.source").alias("source"), "bucket", "offset", "source_size", "target",
         F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long").alias("epochs"),

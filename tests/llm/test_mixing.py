@@ -60,3 +60,22 @@ def test_empty_table(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("a  b\tc\n",), ("",), (None,), ("é x y",)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [3, 0, 0, 2]
+
+
+def test_prefix_sums_over_stretches_of_buckets_equal_a_plain_sum(spark, monkeypatch):
+    """Many small buckets in stretches of two, hot source and null source, names that clash: taken follows the keys' order as one running sum."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(mixing, "RUN_OF_BUCKETS", 2)
+    rows = [(i, "w " * (i * 7 % 23 + 1), "hot" if i % 3 else (None if i % 2 else "cold"), i, i, "x", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bucket long, stretch long, offset string, ahead string")
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source", dropna=False):
+        g = g.sort_values(["key", "doc_id"])
+        left, total, want = g.target.iloc[0] - g.epochs.iloc[0] * g.source_size.iloc[0], 0, []
+        for size, epochs in zip(g["size"], g.epochs, strict=True):
+            total += size
+            over = total - left
+            drawn = over <= 0 or (total - size < left and over <= left - (total - size))
+            want.append(epochs * size + (size if drawn else 0))
+        assert list(g.taken) == want
