@@ -121,8 +121,8 @@ def small_batches(batch: pa.RecordBatch, text_at: int, limit: int = 8 << 20):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (u, v)`` by alternating large-star and small-star rounds: ``node, root``.
 
-    Every round takes minima per node (pre-aggregated before the shuffle) and joins them back, so no neighbourhood is ever
-    held by a task. Rounds are checkpointed; they end when a round leaves the edges as they were.
+    Every round takes minima per node (pre-aggregated before the shuffle), and they go back down to each part of a node's edges, so no
+    neighbourhood is ever held by a task: a star of any size is spread over many. Rounds are checkpointed; they end when a round leaves the edges as they were.
     """
     edges = cut(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -132,10 +132,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = spread_join(down, low, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
         after = mark(edges)
         if after == before:
