@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from fractions import Fraction
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,39 +150,78 @@ def merged_distinct(sketches: DataFrame, cols: list[str]) -> DataFrame:
     return sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in cols])
 
 
+def _texts(df: DataFrame, text: Column) -> DataFrame:
+    return df.select(F.make_valid_utf8(text.cast("string")).cast("binary").alias("text")).where("text IS NOT NULL")
+
+
+def _words(batches):
+    """The words of each text as bytes; white space is that of ``\\s``. A long text is not split at once."""
+    for batch in batches:
+        for text in batch.column(0):
+            t = text.as_py()
+            yield t.split() if len(t) < 1 << 22 else (m.group() for m in re.finditer(rb"\S+", t))
+
+
+def _columns(held: dict[bytes | None, int]) -> list[pa.Array]:
+    return [pa.array([*held], pa.binary()).cast(pa.string()), pa.array([*held.values()], pa.int64())]
+
+
+def _summaries(df: DataFrame, text: Column, size: int) -> DataFrame:
+    """``word_summary`` whose rows without a word have the number of all words, too: ``total``, 0 in others."""
+
+    def run(batches):
+        held, off, total = Counter(), 0, 0
+
+        def trimmed():
+            over = sorted(held.values(), reverse=True)[size]
+            return Counter({w: n - over for w, n in held.items() if n > over}), off + over
+
+        before = 0  # counts held after the last trim
+        for words in _words(batches):
+            held.update(words)
+            if len(held) > size + max(size, 50_000):  # a trim goes over all words held, so it waits for many new ones
+                total += held.total() - before
+                held, off = trimmed()
+                before = held.total()
+        total += held.total() - before
+        if len(held) > size:
+            held, off = trimmed()
+        yield pa.RecordBatch.from_arrays([*_columns({**held, None: off}), pa.array([*[0] * len(held), total], pa.int64())], names=["word", "n", "total"])
+
+    return _texts(df, text).mapInArrow(run, "word string, n long, total long")
+
+
 def word_summary(df: DataFrame, text: Column, size: int) -> DataFrame:
     """A14 in parts: ``word, n`` with at most ``size`` words a task, and a row without a word whose n is how far the counts may be too low.
 
     When a task holds more words, the count of the first one too many is taken off all. So no count is too high, and none is too low by more than all words / size.
     Summaries are merged by adding them up: by word, the row without a word included.
     """
-
-    def run(batches):
-        held: dict[str, int] = {}
-        off = 0
-        for batch in batches:
-            for item in pc.value_counts(batch.column(0)).to_pylist():
-                held[item["values"]] = held.get(item["values"], 0) + item["counts"]
-            if len(held) > size:
-                over = sorted(held.values(), reverse=True)[size]
-                held, off = {w: n - over for w, n in held.items() if n > over}, off + over
-        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), off], pa.int64())], names=["word", "n"])
-
-    return df.select(F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word")).mapInArrow(run, "word string, n long")
+    return _summaries(df, text, size).select("word", "n")
 
 
 def frequent_words(df: DataFrame, text: Column, share: float = 0.01) -> DataFrame:
     """A14 for the words that make up at least a share of all: ``word, n``, exact, without a shuffle of all words.
 
-    Summaries of 2 / share words are short by less than half the share, so at most 2 / share words can qualify; these are sent to the texts and counted.
+    Summaries of 2 / share words are short by less than half the share, so at most 2 / share words can qualify; these are sent to the counts of tasks and added up.
+    Words are counted in tasks, and the texts are read twice (three times where they were put into one partition, which leaves no shuffle to share).
     """
-    parts = word_summary(df, text, int(2 / share) + 1).groupBy("word").agg(F.sum("n").alias("n"))
-    words = F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word")
-    total = df.select(F.sum(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))).alias("_all"))
-    off = parts.where("word IS NULL").select(F.col("n").alias("_off"))
-    likely = parts.where("word IS NOT NULL").join(F.broadcast(total)).join(F.broadcast(off)).where(F.col("n") + F.col("_off") >= share * F.col("_all")).select("word")  # one row each
-    counts = df.select(words).join(F.broadcast(likely), "word").groupBy("word").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(total)).where(F.col("n") >= share * F.col("_all")).drop("_all")
+
+    def run(batches):
+        held = Counter()
+        for words in _words(batches):
+            held.update(words)
+            if len(held) > 200_000:  # what is held in a task is bounded; counts of a word are added up below
+                yield pa.RecordBatch.from_arrays(_columns(held), names=["word", "n"])
+                held = Counter()
+        yield pa.RecordBatch.from_arrays(_columns(held), names=["word", "n"])
+
+    parts = _summaries(df, text, int(2 / share) + 1).groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    # told apart by the sums, and no null in the join: conditions on the word would move below the shuffle, and the texts be summarised once for each side
+    whole = parts.where("total > 0").select(F.col("n").alias("_off"), F.col("total").alias("_all"))
+    likely = parts.where("total = 0").join(F.broadcast(whole)).where(F.col("n") + F.col("_off") >= share * F.col("_all")).select(F.coalesce("word", F.lit("")).alias("word"), "_all")  # one row
+    counts = _texts(df, text).mapInArrow(run, "word string, n long")
+    return counts.join(F.broadcast(likely), "word").groupBy("word").agg(F.sum("n").alias("n"), F.max("_all").alias("_all")).where(F.col("n") >= share * F.col("_all")).drop("_all")
 
 
 def zscore(df: DataFrame, cols: list[str], eps: float = 1e-6) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -486,6 +487,27 @@ def test_frequent_words_and_their_summaries(spark):
     assert A.frequent_words(df.limit(0), F.col("t")).count() == 0
 
 
+def test_frequent_words_read_the_texts_twice_and_count_in_tasks(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "of", "zo\u00eb\u00a0x", "a\u2028b\x1cc"]) if rng.random() < 0.3 else f"w{rng.randrange(10**9)}" for _ in range(400)) for _ in range(1500)]
+    texts += ["\t of\x0bthe\fthe\r\n ", "", None, "long " * 850_000]  # the last one is over 4 MB
+    counts: dict = {}
+    for w in re.split(r"[ \t\n\x0b\f\r]+", " ".join(t or "" for t in texts)):
+        if w:
+            counts[w] = counts.get(w, 0) + 1
+    total, read = sum(counts.values()), spark.sparkContext.accumulator(0)
+    assert len(counts) > 400_000  # more than a task holds
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2).mapInArrow(seen, "t string")
+    assert {r.word: r.n for r in A.frequent_words(df, F.col("t"), 0.02).collect()} == {w: n for w, n in counts.items() if n >= 0.02 * total}
+    assert read.value == 2 * len(texts)
+
+
 def test_parity_by_digests_equals_the_full_join(spark):
     rng = random.Random(1)
     a = [(rng.choice(["g", "h", None]), rng.randrange(400)) for _ in range(500)]
