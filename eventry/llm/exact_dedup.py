@@ -64,7 +64,9 @@ def _sorted_run(batches):
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(size)) - 1
         kept = whole.take(pa.array(last))
-        kept = kept.set_column(kept.schema.get_field_index("n"), "n", pa.array(np.add.reduceat(whole["n"].to_numpy(), first), pa.int64()))
+        # The field stays as it came, nullable or not: what is held must fit the next batch.
+        at = whole.schema.get_field_index("n")
+        kept = kept.set_column(at, whole.schema.field(at), pa.array(np.add.reduceat(whole["n"].to_numpy(), first), pa.int64()))
         held = kept.slice(len(last) - 1)
         yield from kept.slice(0, len(last) - 1).to_batches()
     if held is not None:

@@ -19,3 +19,13 @@ def docs(spark):
 def odd_texts():
     """Nulls, empty and blank texts, ties, repeated rows, null ids, and a long text."""
     return [(1, None), (2, ""), (3, " \n\t"), (4, "Same text here"), (5, "SAME text here"), (5, "SAME text here"), (None, "same text here"), (6, "é Ü 日本 x"), (7, "word " * 20_000), (None, None)]
+
+
+@pytest.fixture()
+def small_records(spark):
+    """Arrow batches of seven rows, so that small partitions have several."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    yield
+    spark.conf.set(name, before)

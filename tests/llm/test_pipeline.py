@@ -37,6 +37,21 @@ def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "simhash_dedup", "decontaminate", "mix_sources"]
 
 
+def test_dedup_stages_over_partitions_with_several_batches(small_records, spark, docs):
+    """More rows in a partition than an Arrow batch holds."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["The", "the", "house", "water", "this"]) for _ in range(rng.choice([2, 40])))) for i in range(150)]
+    last = {}
+    for i, t in rows:
+        last[fold(t)] = i
+    found = P.exact_copies(spark, docs(rows).coalesce(2), "")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(last.values())
+    left = [r for r in rows if last[fold(r[1])] == r[0]]
+    groups = plain_groups([plain_fingerprint(t) for _, t in left], [i for i, _ in left])
+    found = P.near_copies(spark, docs(left).coalesce(2), "")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(i for i, _ in left if groups[i] == i)
+
+
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
