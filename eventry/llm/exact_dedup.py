@@ -103,7 +103,7 @@ def _merged(batches):
     """
     cell, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a batch has many chunks
             entries = list(zip(*(row[f] for f in _ENTRY), strict=True))
             done = bisect_left(held, (row["low"],)) if cell == (row["crew"], row["span"]) else len(held)
             yield from ((cell[0], e) for e in held[:done])

@@ -35,6 +35,21 @@ def test_exact_dedup_equals_brute_force(docs, odd_texts, steps, parts):
             assert g[g.kept].doc_id.iloc[0] == max(known)
 
 
+def test_exact_dedup_of_partitions_with_several_batches(small_records, docs, odd_texts):
+    """A partition with more rows than an Arrow batch holds (10,000 unless set): groups lie in one batch, over two, and over many."""
+    rows = odd_texts + [(100 + i, f"T{i % 9 if i < 60 else i}") for i in range(120)]
+    got = exact_dedup.exact_dedup(docs(rows).coalesce(1).union(docs(rows[:40]).coalesce(1))).toPandas()
+    groups = {}
+    for i, t in rows + rows[:40]:
+        groups.setdefault(hashlib.sha256(fold(t)).hexdigest(), []).append(i)
+    assert len(got) == len(rows) + 40
+    assert {*got.text_sha256} == {*groups}
+    for sha, g in got.groupby("text_sha256"):
+        assert len(g) == len(groups[sha]) == g.group_size.iloc[0]
+        assert g.kept.sum() == 1
+        assert set(g.keep_id) == {max(i for i in groups[sha] if i is not None)}
+
+
 def test_runs_are_merged_chunk_by_chunk(monkeypatch):
     """Runs of one cell, in chunks of three entries, against one sort of all entries; a digest is in several runs, and at the edges of chunks."""
     monkeypatch.setattr(exact_dedup, "CHUNK_ROWS", 3)
